@@ -410,3 +410,348 @@ def q_truncate_label(spark, sf_dir):
     pairs = b.select(C.patient, C.clinic).distinct()
     return pairs.withColumn(
         "label", textfmt.truncate(F.concat_ws(" - ", C.patient, C.clinic), 20))
+
+
+# ----------------------------------------------------------------- S1 – S8, C1 – C6
+# Text rows appended to feed A — a header line read as data
+# and edge cases of the time and amount parsers (C2, C3, S6). The first three
+# survive cleaning, the rest are dropped.
+EDGE_ROWS_A = [
+    ("id_transaksi", "id_pasien", "no_urut", "nama_pasien", "waktu", "dokter", "jenis_layanan",
+     "poli", "sumber_pembayaran", "biaya", "diskon", "flag"),
+    ("E-1", "P-1", "1", "Edge Patient", "5/1/2025 9:05", "Edge Doctor", "R", "Brand#E",
+     "1-URGENT", "1,234,567.89", "0.00", "O"),
+    ("E-2", "P-1", "2", "Edge Patient", "05/01/2025  10:00", "Edge Doctor", "R", "Brand#E",
+     "1-URGENT", " 5 ", "0.00", "O"),
+    ("E-3", "P-2", "1", "Edge Patient Two", "29/02/2024 00:00", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "1,2,3", "0.00", "O"),
+    ("E-4", "P-2", "2", "Edge Patient Two", "31/02/2025 10:00", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "100", "0.00", "O"),
+    ("E-5", "P-2", "3", "Edge Patient Two", "05/01/2025 10:00", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "abc", "0.00", "O"),
+    ("E-6", "P-2", "4", "Edge Patient Two", "05/01/2025 10:00", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "nan", "0.00", "O"),
+    ("E-7", "P-2", "5", "Edge Patient Two", "NA", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "100", "0.00", "O"),
+    ("E-8", "P-2", "6", "Edge Patient Two", "05/01/2025 10:00", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "5d", "0.00", "O"),
+    ("E-9", "P-2", "7", "Edge Patient Two", "2025-01-05 10:00", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "100", "0.00", "O"),
+    ("E-10", "P-2", "8", "Edge Patient Two", "05/01/2025 10:00", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "inf", "0.00", "O"),
+]
+# Expected typed values of the surviving edge rows: (id, time, amount).
+EDGE_CLEAN = [("E-1", "2025-01-05 09:05:00", "1234567.89"),
+              ("E-2", "2025-01-05 10:00:00", "5"),
+              ("E-3", "2024-02-29 00:00:00", "123")]
+
+
+def _sql_text(v) -> str:
+    from costmart.schema import NA_TOKENS
+    if v is None or v in NA_TOKENS:
+        return "NULL"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _edge_values_raw() -> str:
+    rows = []
+    for r in EDGE_ROWS_A:
+        vals = [_sql_text(v) for v in r] + ["CAST(NULL AS VARCHAR)"]
+        rows.append("(" + ", ".join(vals) + ")")
+    return ",\n  ".join(rows)
+
+
+def _edge_clean_rows():
+    import datetime as dt
+    by_id = {r[0]: r for r in EDGE_ROWS_A}
+    out = []
+    for tid, ts, amount in EDGE_CLEAN:
+        r = by_id[tid]
+        t = dt.datetime.fromisoformat(ts)
+        out.append(dict(id_transaksi=tid, id_pasien=r[1], nama_pasien=r[3], waktu=ts,
+                        biaya=amount, tanggal=t.date().isoformat(), tahun=t.year,
+                        bulan=t.month, hari_dlm_minggu=t.weekday(),
+                        bulan_tahun=t.strftime("%Y-%m"), minggu=t.isocalendar()[1],
+                        poli=r[7], dokter=r[5], sumber_pembayaran=r[8]))
+    return out
+
+
+def _edge_values_clean() -> str:
+    rows = []
+    for e in _edge_clean_rows():
+        rows.append(
+            f"('{e['id_transaksi']}', '{e['id_pasien']}', '{e['nama_pasien']}', "
+            f"TIMESTAMP '{e['waktu']}', CAST({e['biaya']} AS DOUBLE), DATE '{e['tanggal']}', "
+            f"{e['tahun']}, {e['bulan']}, {e['hari_dlm_minggu']}, '{e['bulan_tahun']}', "
+            f"{e['minggu']}, '{e['poli']}', '{e['dokter']}', '{e['sumber_pembayaran']}', "
+            f"CAST(NULL AS VARCHAR))")
+    return ",\n  ".join(rows)
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Render the tables as the two CSV feeds (plus the edge rows) in a fresh
+    folder below the shared checkpoint folder."""
+    from costmart.schema import FEED_A_COLUMNS, string_schema
+    from costmart.session import shared_dir
+    from costmart.sources.derive import write_feeds
+    edge = spark.createDataFrame(EDGE_ROWS_A, string_schema(FEED_A_COLUMNS))
+    return write_feeds(billing(spark, sf_dir), shared_dir(spark, "feeds"), extra_a=edge)
+
+
+def _read_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from costmart.sources.feeds import feed_a, feed_b, read_feeds
+    path_a, path_b = _feeds(spark, sf_dir)
+    return read_feeds(spark, [feed_a(path_a), feed_b(path_b)])
+
+
+RAW_TEXT_SQL = """
+SELECT id_transaksi, CAST(id_pasien AS VARCHAR) AS id_pasien, CAST(no_urut AS VARCHAR) AS no_urut,
+       nama_pasien, strftime(waktu, '%d/%m/%Y %H:%M') AS waktu, dokter, jenis_layanan, poli,
+       CASE WHEN flag = 'F' THEN jenis_jaminan ELSE sumber_pembayaran END AS sumber_pembayaran,
+       format('{:,.2f}', CAST(biaya AS DOUBLE)) AS biaya,
+       CAST(CAST(diskon AS DECIMAL(4,2)) AS VARCHAR) AS diskon, flag, jenis_jaminan
+FROM billing"""
+
+
+@query("ingest_union", with_billing(f"""
+{RAW_TEXT_SQL}
+UNION ALL
+SELECT * FROM (VALUES
+  {_edge_values_raw()}) AS e(id_transaksi, id_pasien, no_urut, nama_pasien, waktu, dokter,
+     jenis_layanan, poli, sumber_pembayaran, biaya, diskon, flag, jenis_jaminan)"""))
+def q_ingest_union(spark, sf_dir):
+    """Both feeds read, renamed, unioned by name, NA words -> NULL."""
+    return _read_unified(spark, sf_dir)
+
+
+CLEAN_COLS = ["id_transaksi", "id_pasien", "nama_pasien", "waktu", "biaya", "tanggal", "tahun",
+              "bulan", "hari_dlm_minggu", "bulan_tahun", "minggu", "poli", "dokter",
+              "sumber_pembayaran", "jenis_jaminan"]
+
+
+@query("clean_rows", with_billing(f"""
+SELECT id_transaksi, CAST(id_pasien AS VARCHAR) AS id_pasien, nama_pasien, waktu,
+       CAST(biaya AS DOUBLE) AS biaya, tanggal, tahun, bulan, hari_dlm_minggu, bulan_tahun, minggu,
+       poli, dokter,
+       CASE WHEN flag = 'F' THEN jenis_jaminan ELSE sumber_pembayaran END AS sumber_pembayaran,
+       jenis_jaminan
+FROM billing
+UNION ALL
+SELECT * FROM (VALUES
+  {_edge_values_clean()}) AS e({", ".join(CLEAN_COLS)})"""))
+def q_clean_rows(spark, sf_dir):
+    """Header rows dropped, time and amount typed, bad rows dropped."""
+    from costmart.operators.clean import clean
+    cleaned = clean(_read_unified(spark, sf_dir))
+    return cleaned.select(*[F.col(c).cast("double").alias(c) if c == "biaya" else F.col(c)
+                            for c in CLEAN_COLS])
+
+
+@query("row_audit", with_billing(f"""
+SELECT CAST(count(*) + {len(EDGE_ROWS_A)} AS BIGINT) AS n_raw,
+       CAST(count(*) + {len(EDGE_CLEAN)} AS BIGINT) AS n_clean,
+       count(*) FILTER (WHERE tahun BETWEEN 1996 AND 1998 AND poli = 'Brand#19') AS n_filtered
+FROM billing"""))
+def q_row_audit(spark, sf_dir):
+    """Raw, clean and filtered counts in one pass over the raw feeds."""
+    from costmart.operators.clean import row_audit
+    spec = filters.FilterSpec(kind="tahun", start="1996-01-01", end="1998-12-31", clinic="Brand#19")
+    return row_audit(_read_unified(spark, sf_dir), spec)
+
+
+@query("payer_default", with_billing("""
+SELECT id_transaksi, sumber_pembayaran, sumber_pembayaran AS jenis_jaminan
+FROM billing WHERE flag = 'O'
+UNION ALL
+SELECT * FROM (VALUES ('E-1', '1-URGENT', '1-URGENT'), ('E-2', '1-URGENT', '1-URGENT'),
+                      ('E-3', '2-HIGH', '2-HIGH')) AS e(id_transaksi, sumber_pembayaran, jenis_jaminan)"""))
+def q_payer_default(spark, sf_dir):
+    """Feed A alone has no payer column; it is filled from the source."""
+    from costmart.operators.clean import clean
+    from costmart.sources.feeds import feed_a, read_feed
+    path_a, _ = _feeds(spark, sf_dir)
+    cleaned = clean(read_feed(spark, feed_a(path_a)))
+    return cleaned.select("id_transaksi", "sumber_pembayaran", "jenis_jaminan")
+
+
+# ----------------------------------------------------------------- S7, S9, S10
+@query("materialized_billing", with_billing(f"""
+SELECT {ROW_VIEW_SQL} FROM billing
+WHERE tanggal BETWEEN DATE '1996-03-15' AND DATE '1997-08-31'"""))
+def q_materialized_billing(spark, sf_dir):
+    """The cleaned table written once by month; a date filter then reads
+    only the matching month folders (PartitionFilters)."""
+    from costmart.session import shared_dir
+    from costmart.sources.sinks import read_table, write_table
+    path = shared_dir(spark, "billing")
+    write_table(billing(spark, sf_dir), path)
+    spec = filters.FilterSpec(kind="tanggal", start="1996-03-15", end="1997-08-31")
+    return _rows(filters.apply_filters(read_table(spark, path), spec))
+
+
+def _export_roundtrip(spark, df, layout, types, sort_by):
+    from costmart.session import shared_dir
+    from costmart.sources.sinks import read_csv, write_csv
+    path = shared_dir(spark, "export")
+    write_csv(df, path, layout, sort_by=sort_by)
+    return read_csv(spark, path, layout, types)
+
+
+@query("export_patient_csv", PATIENT_SUMMARY_SQL)
+def q_export_patient_csv(spark, sf_dir):
+    """Patient summary written as CSV (sorted by total) and read back."""
+    from pyspark.sql import types as T
+
+    from costmart.sources.sinks import PATIENT_EXPORT
+    summary = marts.patient_summary(billing(spark, sf_dir), order_by=ORDER_KEY)
+    types = {"id_pasien": T.LongType(), "n_visits": T.LongType(),
+             "total_cost": T.DoubleType(), "mean_cost": T.DoubleType()}
+    return _export_roundtrip(spark, summary, PATIENT_EXPORT, types,
+                             [F.desc("Total Biaya"), "Nama Pasien", "ID Pasien"])
+
+
+@query("export_payer_csv", ORACLE["payer_summary"])
+def q_export_payer_csv(spark, sf_dir):
+    """Payer summary written as CSV and read back."""
+    from pyspark.sql import types as T
+
+    from costmart.sources.sinks import PAYER_EXPORT
+    summary = marts.payer_summary(billing(spark, sf_dir))
+    types = {"n_rows": T.LongType(), "n_patients": T.LongType(), "total_cost": T.DoubleType(),
+             "mean_cost": T.DoubleType(), "min_cost": T.DoubleType(), "max_cost": T.DoubleType()}
+    return _export_roundtrip(spark, summary, PAYER_EXPORT, types,
+                             [F.desc("Total Biaya"), "Jenis Jaminan"])
+
+
+# ----------------------------------------------------------------- C7, M1 – M8
+def _codes_sql(column: str) -> str:
+    return f"""
+SELECT '{column}' AS column_name, v AS value,
+       CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT coalesce(CAST({column} AS VARCHAR), 'nan') AS v FROM billing)"""
+
+
+@query("ordinal_codes", with_billing(
+    " UNION ALL ".join(_codes_sql(c) for c in ["dokter", "poli", "jenis_layanan"])))
+def q_ordinal_codes(spark, sf_dir):
+    from costmart.operators.encode import fit_codes
+    b = billing(spark, sf_dir)
+    parts = [fit_codes(b, c).select(F.lit(c).alias("column_name"), "value", "code")
+             for c in ["dokter", "poli", "jenis_layanan"]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _coded_billing(spark, sf_dir) -> DataFrame:
+    from costmart.operators.encode import encode
+    from costmart.schema import ENCODED
+    from costmart.sources.fixture import row_key
+    b = billing(spark, sf_dir).withColumn("row_key", row_key())
+    return encode(b, ENCODED)
+
+
+FEATURES_SQL_CTE = """
+codes AS (""" + " UNION ALL ".join(_codes_sql(c) for c in ["dokter", "poli", "jenis_layanan"]) + """),
+coded AS (SELECT b.*, cd.code AS dokter_encoded, cp.code AS poli_encoded,
+                 cl.code AS jenis_layanan_encoded
+          FROM billing b
+          JOIN codes cd ON cd.column_name = 'dokter' AND cd.value = coalesce(b.dokter, 'nan')
+          JOIN codes cp ON cp.column_name = 'poli' AND cp.value = coalesce(b.poli, 'nan')
+          JOIN codes cl ON cl.column_name = 'jenis_layanan'
+                       AND cl.value = coalesce(b.jenis_layanan, 'nan'))"""
+
+
+@query("feature_table", with_billing("""
+SELECT row_key, CAST(bulan AS DOUBLE) AS bulan, CAST(hari_dlm_minggu AS DOUBLE) AS hari_dlm_minggu,
+       CAST(hari_dlm_bulan AS DOUBLE) AS hari_dlm_bulan,
+       CAST(dokter_encoded AS DOUBLE) AS dokter_encoded, CAST(poli_encoded AS DOUBLE) AS poli_encoded,
+       CAST(jenis_layanan_encoded AS DOUBLE) AS jenis_layanan_encoded,
+       CAST(biaya AS DOUBLE) AS label
+FROM coded""", FEATURES_SQL_CTE))
+def q_feature_table(spark, sf_dir):
+    from costmart.operators.predict import feature_table
+    return feature_table(_coded_billing(spark, sf_dir), keep=["row_key"])
+
+
+SPLIT_SQL = "(CAST(('0x' || substr(md5('42|' || row_key), 1, 8)) AS BIGINT) % 100) < 80"
+
+
+@query("train_test_split", with_billing(f"""
+SELECT row_key, {SPLIT_SQL} AS is_train FROM billing"""))
+def q_train_test_split(spark, sf_dir):
+    from costmart.operators.predict import hash_split
+    from costmart.sources.fixture import row_key
+    b = billing(spark, sf_dir).withColumn("row_key", row_key())
+    return hash_split(b, "row_key", seed=42).select("row_key", "is_train")
+
+
+GROUP_MEAN_CTE = f"""
+split AS (SELECT *, {SPLIT_SQL} AS is_train FROM billing),
+gm AS (SELECT poli, CAST(sum(biaya) AS DOUBLE) / count(biaya) AS g FROM split
+       WHERE is_train GROUP BY poli),
+overall AS (SELECT CAST(sum(biaya) AS DOUBLE) / count(biaya) AS o FROM split WHERE is_train),
+pred AS (SELECT s.row_key, CAST(s.biaya AS DOUBLE) AS actual, coalesce(gm.g, overall.o) AS prediction
+         FROM split s LEFT JOIN gm ON s.poli = gm.poli, overall WHERE NOT s.is_train)"""
+
+
+def _group_mean_pred(spark, sf_dir) -> DataFrame:
+    from costmart.operators.predict import group_mean_predictions, hash_split
+    from costmart.sources.fixture import row_key
+    b = billing(spark, sf_dir).withColumn("row_key", row_key())
+    return group_mean_predictions(hash_split(b, "row_key", 42), C.clinic, keep=["row_key"])
+
+
+@query("regression_metrics", with_billing("""
+SELECT n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 4) AS r2,
+       CASE WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.5 THEN 'fair' WHEN r2 > 0.3 THEN 'moderate'
+            ELSE 'low' END AS quality
+FROM (SELECT count(*) AS n, avg(abs(actual - prediction)) AS mae,
+             sqrt(avg((actual - prediction) * (actual - prediction))) AS rmse,
+             1.0 - sum((actual - prediction) * (actual - prediction))
+                   / nullif(sum((actual - (SELECT avg(actual) FROM pred))
+                                * (actual - (SELECT avg(actual) FROM pred))), 0) AS r2
+      FROM pred)""", GROUP_MEAN_CTE))
+def q_regression_metrics(spark, sf_dir):
+    """M5 + M6 on the group-mean predictor (SQL can compute it)."""
+    from costmart.operators.predict import metrics
+    return metrics(_group_mean_pred(spark, sf_dir))
+
+
+@query("sample_pairs", with_billing("""
+SELECT actual, prediction, abs(actual - prediction) AS abs_error
+FROM pred ORDER BY md5('42|' || row_key) LIMIT 1000""", GROUP_MEAN_CTE))
+def q_sample_pairs(spark, sf_dir):
+    """M7: a repeatable 1,000-pair sample of (actual, prediction)."""
+    from costmart.operators.predict import sample_pairs
+    return sample_pairs(_group_mean_pred(spark, sf_dir), "row_key", 1000, 42)
+
+
+@query("ideal_line", with_billing("""
+SELECT min(least(actual, prediction)) AS lo, max(greatest(actual, prediction)) AS hi
+FROM (SELECT actual, prediction FROM pred ORDER BY md5('42|' || row_key) LIMIT 1000)""",
+                                  GROUP_MEAN_CTE))
+def q_ideal_line(spark, sf_dir):
+    """M8: ends of the y = x line over the sample."""
+    from costmart.operators.predict import ideal_line, sample_pairs
+    return ideal_line(sample_pairs(_group_mean_pred(spark, sf_dir), "row_key", 1000, 42))
+
+
+@query("forest_predict")
+def q_forest_predict(spark, sf_dir):
+    """M1–M4: random forest on the training part, predictions for the test
+    part. Rows-only check (no SQL forest). 20 trees of depth 5 keep the check
+    fast; the library default is 100 trees."""
+    from costmart.operators.predict import (
+        feature_table,
+        fit_forest,
+        hash_split,
+        predict,
+        require_rows,
+    )
+    coded = hash_split(_coded_billing(spark, sf_dir), "row_key", 42)
+    require_rows(coded)
+    table = feature_table(coded, keep=["row_key", "is_train"])
+    model = fit_forest(table.where("is_train"), num_trees=20, max_depth=5)
+    return predict(model, table.where(~F.col("is_train")), keep=["row_key"])
