@@ -74,17 +74,24 @@ def quality_band(r2: Column | str) -> Column:
 
 def metrics(pred: DataFrame, actual: str = "actual", prediction: str = "prediction",
             digits: int = 4) -> DataFrame:
-    """M5 + M6: one row (n, mae, rmse, r2, quality). The label mean is a scalar
-    subquery, so the variance term is computed in one stable second pass."""
+    """M5 + M6: one row (n, mae, rmse, r2, quality) in a single aggregate pass.
+
+    The total sum of squares is Σy² − (Σy)²/n, so no second pass over the
+    predictions is needed (they may come from a model, which Spark treats as
+    non-deterministic). R² is NULL for a constant label."""
     y, p = F.col(actual).cast("double"), F.col(prediction).cast("double")
-    ybar = pred.select(F.avg(y)).scalar()
     err = y - p
-    out = pred.agg(
+    parts = pred.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        (F.lit(1.0) - F.try_divide(F.sum(err * err), F.sum((y - ybar) * (y - ybar)))).alias("r2"),
+        F.sum(err * err).alias("_sse"),
+        F.sum(y).alias("_sy"),
+        F.sum(y * y).alias("_syy"),
     )
+    ss_tot = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
+    out = parts.withColumn(
+        "r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.when(ss_tot != 0, ss_tot)))
     return out.select(
         "n", F.round("mae", digits).alias("mae"), F.round("rmse", digits).alias("rmse"),
         F.round("r2", digits).alias("r2"), quality_band("r2").alias("quality"))

@@ -707,12 +707,13 @@ def _group_mean_pred(spark, sf_dir) -> DataFrame:
 SELECT n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 4) AS r2,
        CASE WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.5 THEN 'fair' WHEN r2 > 0.3 THEN 'moderate'
             ELSE 'low' END AS quality
-FROM (SELECT count(*) AS n, avg(abs(actual - prediction)) AS mae,
-             sqrt(avg((actual - prediction) * (actual - prediction))) AS rmse,
-             1.0 - sum((actual - prediction) * (actual - prediction))
-                   / nullif(sum((actual - (SELECT avg(actual) FROM pred))
-                                * (actual - (SELECT avg(actual) FROM pred))), 0) AS r2
-      FROM pred)""", GROUP_MEAN_CTE))
+FROM (SELECT n, mae, rmse,
+             1.0 - sse / nullif(syy - sy * sy / n, 0) AS r2
+      FROM (SELECT count(*) AS n, avg(abs(actual - prediction)) AS mae,
+                   sqrt(avg((actual - prediction) * (actual - prediction))) AS rmse,
+                   sum((actual - prediction) * (actual - prediction)) AS sse,
+                   sum(actual) AS sy, sum(actual * actual) AS syy
+            FROM pred))""", GROUP_MEAN_CTE))
 def q_regression_metrics(spark, sf_dir):
     """M5 + M6 on the group-mean predictor (SQL can compute it)."""
     from costmart.operators.predict import metrics
