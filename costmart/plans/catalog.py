@@ -756,3 +756,26 @@ def q_forest_predict(spark, sf_dir):
     table = feature_table(coded, keep=["row_key", "is_train"])
     model = fit_forest(table.where("is_train"), num_trees=20, max_depth=5)
     return predict(model, table.where(~F.col("is_train")), keep=["row_key"])
+
+
+# ----------------------------------------------------------------- streaming ingest
+@query("stream_ingest", ORACLE["clean_rows"])
+def q_stream_ingest(spark, sf_dir):
+    """S1–S7 as a stream: feed files -> clean -> month-partitioned table
+    (availableNow trigger), then the table is read back."""
+    from costmart.schema import FEED_B_RENAME
+    from costmart.session import shared_dir
+    from costmart.sources.feeds import feed_a, feed_b
+    from costmart.sources.sinks import read_table
+    from costmart.streaming.ingest import start_ingest
+    path_a, path_b = _feeds(spark, sf_dir)
+    base = shared_dir(spark, "stream")
+    q = start_ingest(spark, [feed_a(path_a), feed_b(path_b)], f"{base}/table", f"{base}/_checkpoint",
+                     header_columns={path_b: list(FEED_B_RENAME)})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    table = read_table(spark, f"{base}/table")
+    return table.select(*[F.col(c).cast("double").alias(c) if c == "biaya"
+                          else F.col(c).cast("string").alias(c) if c == "bulan_tahun"
+                          else F.col(c) for c in CLEAN_COLS])
