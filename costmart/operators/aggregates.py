@@ -40,50 +40,54 @@ def _join_ranked(ranked: DataFrame, keys: Sequence[str], value: str, out: str,
 
 
 def first_k_distinct(df: DataFrame, keys: Sequence[str], value: str, k: int,
-                     order_by: Sequence[str], out: str, sep: str = ", ") -> DataFrame:
+                     order_by: Sequence[str], out: str, sep: str = ", ",
+                     first_col: str | None = None) -> DataFrame:
     """A1: the first k distinct non-null values of ``value`` in row order.
 
     Row order is given by ``order_by`` (explicit columns, decision D6).
-    Returns one row per key that has a non-null value.
+    ``first_col``: the input is pre-aggregated and carries, per row, the
+    smallest order struct of the rows it stands for. Returns one row per key
+    that has a non-null value.
     """
+    first = F.col(first_col) if first_col else F.struct(*[F.col(c) for c in order_by])
     first_seen = (
         df.where(_not_null([*keys, value]))
         .groupBy(*keys, value)
-        .agg(F.min(F.struct(*[F.col(c) for c in order_by])).alias(_FIRST))
+        .agg(F.min(first).alias(_FIRST))
     )
     w = Window.partitionBy(*keys).orderBy(F.col(_FIRST), F.col(value))
     ranked = first_seen.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) <= k)
     return _join_ranked(ranked, keys, value, out, sep)
 
 
+def _value_counts(df: DataFrame, keys: Sequence[str], value: str,
+                  count_col: str | None) -> DataFrame:
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    return df.where(_not_null([*keys, value])).groupBy(*keys, value).agg(n.alias(_N))
+
+
 def top_k_values(df: DataFrame, keys: Sequence[str], value: str, k: int, out: str,
-                 sep: str = ", ") -> DataFrame:
+                 sep: str = ", ", count_col: str | None = None) -> DataFrame:
     """A3: the k most frequent non-null values, most frequent first.
 
-    Ties go to the smaller value (decision D5). One row per key that has a
-    non-null value.
+    Ties go to the smaller value (decision D5). ``count_col``: the input is
+    pre-aggregated and this column holds each row's row count. One row per
+    key that has a non-null value.
     """
-    counts = (
-        df.where(_not_null([*keys, value]))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias(_N))
-    )
+    counts = _value_counts(df, keys, value, count_col)
     w = Window.partitionBy(*keys).orderBy(F.desc(_N), F.col(value))
     ranked = counts.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) <= k)
     return _join_ranked(ranked, keys, value, out, sep)
 
 
-def mode_or(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def mode_or(df: DataFrame, keys: Sequence[str], value: str, out: str,
+            count_col: str | None = None) -> DataFrame:
     """A2: the most frequent non-null value (ties -> smallest).
 
     Keys whose values are all null get no row; callers left-join and
     ``coalesce`` to their default (see ``marts.patient_summary``).
     """
-    counts = (
-        df.where(_not_null([*keys, value]))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias(_N))
-    )
+    counts = _value_counts(df, keys, value, count_col)
     w = Window.partitionBy(*keys).orderBy(F.desc(_N), F.col(value))
     return (counts.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1)
             .select(*keys, F.col(value).alias(out)))

@@ -7,9 +7,10 @@ The dense rank is computed without a window over all distinct values (which
 would run in one task; doctor names grow with the data): the distinct values
 are range-partitioned and sorted, each partition's size is counted, and a
 value's code is its partition's offset plus its position in the partition.
-Only the offsets (one row per partition, a bound set by configuration) are
-broadcast. The tagged values are checkpointed to the shared checkpoint folder
-so both uses see the same partition numbering.
+Only the offsets (one row per partition and column, a bound set by
+configuration) are broadcast. The tagged values are checkpointed to the shared
+checkpoint folder so both uses see the same partition numbering. Several
+columns are fit in one pass (``fit_all_codes``).
 """
 
 from __future__ import annotations
@@ -29,20 +30,35 @@ def code_key(c: Column | str) -> Column:
     return F.coalesce(col.cast("string"), F.lit(NULL_TEXT))
 
 
-def fit_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code) for every distinct value of ``column`` (NULL -> 'nan')."""
+def fit_all_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, code) for every distinct value of each column,
+    from one pass over ``df`` (NULL -> 'nan')."""
     ensure_checkpoint_dir(df.sparkSession)
-    values = df.select(code_key(column).alias("value")).distinct()
-    tagged = (values.repartitionByRange("value").sortWithinPartitions("value")
-              .select("value", F.spark_partition_id().alias("_part"),
-                      F.monotonically_increasing_id().alias("_mid"))
+    pairs = (df.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("column_name"), code_key(c).alias("value"))
+                for c in columns])).alias("_p"))
+             .select("_p.*").distinct())
+    tagged = (pairs.repartitionByRange("column_name", "value")
+              .sortWithinPartitions("column_name", "value")
+              .select("column_name", "value", F.spark_partition_id().alias("_part"),
+                      (F.monotonically_increasing_id()
+                       - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("_pos"))
               .checkpoint())
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "_part")
-            .select("value", (F.col("_off") + local).cast("int").alias("code")))
+    # Per (partition, column): how many values, and the position of the first.
+    stats = tagged.groupBy("_part", "column_name").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = (Window.partitionBy("column_name").orderBy("_part")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stats.select("_part", "column_name", "_first",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (tagged.join(F.broadcast(offsets), ["_part", "column_name"])
+            .select("column_name", "value",
+                    (F.col("_off") + F.col("_pos") - F.col("_first")).cast("int").alias("code")))
+
+
+def fit_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) for every distinct value of ``column`` (NULL -> 'nan')."""
+    return fit_all_codes(df, [column]).drop("column_name")
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -55,9 +71,11 @@ def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str | None =
 
 
 def encode(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Fit codes on ``fit_on`` (default: ``df``) and add them to ``df``."""
+    """Fit codes on ``fit_on`` (default: ``df``) in one pass and add them to ``df``."""
     source = fit_on if fit_on is not None else df
+    codes = fit_all_codes(source, columns)
     out = df
     for c in columns:
-        out = apply_codes(out, fit_codes(source, c), c)
+        one = codes.where(F.col("column_name") == c).drop("column_name")
+        out = apply_codes(out, one, c)
     return out

@@ -174,8 +174,8 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     """
     x = F.col(column).cast("double")
     vals = df.where(F.col(column).isNotNull())
-    lo = vals.select(F.min(x)).scalar()
-    hi = vals.select(F.max(x)).scalar()
+    bounds = vals.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
@@ -195,21 +195,32 @@ def patient_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
     3 distinct clinics and first 2 distinct doctors in row order, and the main
     payer (mode, else 'Tidak Diketahui').
 
-    The one mart that grows with the data (a row per patient). The four parts
-    come out hash-partitioned on the same key, so the joins add no shuffle.
-    Sorting (total, descending) is left to the consumer: ``export`` sorts.
+    One pass over the rows: they are first aggregated to one row per
+    (patient, clinic, doctor, payer) carrying the sum, counts and the smallest
+    order struct. That aggregate is shuffled once and reused (same exchange)
+    by the totals, both first-k lists and the mode, which then work on the
+    reduced rows. The parts come out hash-partitioned on the patient key, so
+    the final joins add no shuffle. The one mart that grows with the data (a
+    row per patient); sorting by total is left to the consumer (``export``).
     """
     keys = [cols.patient, cols.patient_id]
     order = list(order_by or cols.order_by)
-    base = _nonnull(df, *keys)
-    totals = base.groupBy(*keys).agg(
-        money(F.sum(cols.cost)).alias("total_cost"),
-        mean_of(cols.cost).alias("mean_cost"),
-        F.count(cols.cost).alias("n_visits"),
+    grain = _nonnull(df, *keys).groupBy(*keys, cols.clinic, cols.doctor, cols.payer).agg(
+        F.sum(cols.cost).alias("_sum"),
+        F.count(cols.cost).alias("_cnt"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.min(F.struct(*[F.col(c) for c in order])).alias("_first"),
     )
-    clinics = first_k_distinct(base, keys, cols.clinic, FIRST_CLINICS, order, "clinics")
-    doctors = first_k_distinct(base, keys, cols.doctor, FIRST_DOCTORS, order, "doctors")
-    payer = mode_or(base, keys, cols.payer, "main_payer")
+    totals = grain.groupBy(*keys).agg(
+        money(F.sum("_sum")).alias("total_cost"),
+        F.try_divide(F.sum("_sum").cast("double"), F.sum("_cnt")).alias("mean_cost"),
+        F.sum("_cnt").alias("n_visits"),
+    )
+    clinics = first_k_distinct(grain, keys, cols.clinic, FIRST_CLINICS, order, "clinics",
+                               first_col="_first")
+    doctors = first_k_distinct(grain, keys, cols.doctor, FIRST_DOCTORS, order, "doctors",
+                               first_col="_first")
+    payer = mode_or(grain, keys, cols.payer, "main_payer", count_col="_rows")
     return (totals.join(clinics, keys, "left").join(doctors, keys, "left")
             .join(payer, keys, "left")
             .select(*keys, "total_cost", "mean_cost", "n_visits",
@@ -220,19 +231,32 @@ def patient_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
 
 def payer_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
     """Per payer: total, mean, min, max, count, distinct patients, and the
-    3 most frequent clinics and doctors. Sorted by total, descending."""
+    3 most frequent clinics and doctors. Sorted by total, descending.
+
+    As in ``patient_summary``, one aggregate at (payer, patient, clinic,
+    doctor) grain feeds all three parts through one reused shuffle. A hot
+    payer is collapsed by the partial aggregate before that shuffle.
+    """
     key = cols.payer
-    base = _nonnull(df, key)
-    stats = base.groupBy(key).agg(
-        money(F.sum(cols.cost)).alias("total_cost"),
-        mean_of(cols.cost).alias("mean_cost"),
-        money(F.min(cols.cost)).alias("min_cost"),
-        money(F.max(cols.cost)).alias("max_cost"),
-        F.count(cols.cost).alias("n_rows"),
+    grain = _nonnull(df, key).groupBy(key, cols.patient_id, cols.clinic, cols.doctor).agg(
+        F.sum(cols.cost).alias("_sum"),
+        F.count(cols.cost).alias("_cnt"),
+        F.min(cols.cost).alias("_min"),
+        F.max(cols.cost).alias("_max"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    stats = grain.groupBy(key).agg(
+        money(F.sum("_sum")).alias("total_cost"),
+        F.try_divide(F.sum("_sum").cast("double"), F.sum("_cnt")).alias("mean_cost"),
+        money(F.min("_min")).alias("min_cost"),
+        money(F.max("_max")).alias("max_cost"),
+        F.sum("_cnt").alias("n_rows"),
         F.count_distinct(cols.patient_id).alias("n_patients"),
     )
-    clinics = top_k_values(base, [key], cols.clinic, TOP_PER_PAYER, "top_clinics")
-    doctors = top_k_values(base, [key], cols.doctor, TOP_PER_PAYER, "top_doctors")
+    clinics = top_k_values(grain, [key], cols.clinic, TOP_PER_PAYER, "top_clinics",
+                           count_col="_rows")
+    doctors = top_k_values(grain, [key], cols.doctor, TOP_PER_PAYER, "top_doctors",
+                           count_col="_rows")
     return (stats.join(clinics, key, "left").join(doctors, key, "left")
             .select(key, "total_cost", "mean_cost", "min_cost", "max_cost", "n_rows", "n_patients",
                     F.coalesce("top_clinics", F.lit("")).alias("top_clinics"),

@@ -634,14 +634,8 @@ FROM (SELECT DISTINCT coalesce(CAST({column} AS VARCHAR), 'nan') AS v FROM billi
 @query("ordinal_codes", with_billing(
     " UNION ALL ".join(_codes_sql(c) for c in ["dokter", "poli", "jenis_layanan"])))
 def q_ordinal_codes(spark, sf_dir):
-    from costmart.operators.encode import fit_codes
-    b = billing(spark, sf_dir)
-    parts = [fit_codes(b, c).select(F.lit(c).alias("column_name"), "value", "code")
-             for c in ["dokter", "poli", "jenis_layanan"]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from costmart.operators.encode import fit_all_codes
+    return fit_all_codes(billing(spark, sf_dir), ["dokter", "poli", "jenis_layanan"])
 
 
 def _coded_billing(spark, sf_dir) -> DataFrame:
@@ -753,7 +747,9 @@ def q_forest_predict(spark, sf_dir):
     )
     coded = hash_split(_coded_billing(spark, sf_dir), "row_key", 42)
     require_rows(coded)
-    table = feature_table(coded, keep=["row_key", "is_train"])
+    # Materialised once in the shared checkpoint folder: the forest makes
+    # several passes over its input, and scoring reads it again.
+    table = feature_table(coded, keep=["row_key", "is_train"]).checkpoint()
     model = fit_forest(table.where("is_train"), num_trees=20, max_depth=5)
     return predict(model, table.where(~F.col("is_train")), keep=["row_key"])
 

@@ -6,11 +6,15 @@ One row per ``lineitem``::
 
 Join plan. The order side is joined to its dimensions first
 (orders ⋈ customer ⋈ nation), so the fact table is shuffled once on the order
-key against an already-enriched order row. ``part`` and ``supplier`` join on
-their keys. No side is hinted for broadcast: Spark broadcasts a side only when
-its estimated (or, under AQE, measured) size is below
-``spark.sql.autoBroadcastJoinThreshold`` and falls back to a sort-merge join
-otherwise — the size check is Spark's, so growing dimensions stay safe.
+key against an already-enriched order row (one fact shuffle fewer than joining
+orders and customer to the fact one by one). That join is pinned to a
+sort-merge join: both sides grow with the data, and without the hint Spark's
+estimate for a joined side (the product of its inputs) would make the *fact*
+look like the smaller side and broadcast it at small scales. ``part`` and
+``supplier`` join on their keys with no hint: Spark broadcasts such a side
+only when its estimated (or, under AQE, measured) size is below
+``spark.sql.autoBroadcastJoinThreshold`` and uses a sort-merge join otherwise,
+so growing dimensions stay safe.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ def billing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("o_orderkey", "o_custkey", "o_orderpriority", "c_name", "n_name")
     )
     joined = (
-        li.join(order_side, li.l_orderkey == order_side.o_orderkey)
+        li.join(order_side.hint("merge"), li.l_orderkey == order_side.o_orderkey)
         .join(part, li.l_partkey == part.p_partkey)
         .join(supplier, li.l_suppkey == supplier.s_suppkey)
     )
