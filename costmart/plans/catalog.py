@@ -775,3 +775,38 @@ def q_stream_ingest(spark, sf_dir):
     return table.select(*[F.col(c).cast("double").alias(c) if c == "biaya"
                           else F.col(c).cast("string").alias(c) if c == "bulan_tahun"
                           else F.col(c) for c in CLEAN_COLS])
+
+
+# ----------------------------------------------------------------- C8 display tables
+def _display_oracle(summary_sql: str, layout) -> str:
+    money = ("total_cost", "mean_cost", "min_cost", "max_cost")
+    cols = ", ".join(
+        (f"format('Rp {{:,.0f}}', {c}) AS \"{label}\"" if c in money else f"{c} AS \"{label}\"")
+        for c, label in layout)
+    head, _, tail = summary_sql.rpartition("\nSELECT ")
+    return f"{head}\n, summary AS (SELECT {tail})\nSELECT {cols} FROM summary"
+
+
+def _patient_display_sql() -> str:
+    from costmart.sources.sinks import PATIENT_DISPLAY
+    return _display_oracle(PATIENT_SUMMARY_SQL, PATIENT_DISPLAY)
+
+
+def _payer_display_sql() -> str:
+    from costmart.sources.sinks import PAYER_DISPLAY
+    return _display_oracle(ORACLE["payer_summary"], PAYER_DISPLAY)
+
+
+@query("patient_display", _patient_display_sql())
+def q_patient_display(spark, sf_dir):
+    """C8 + X1: the per-patient table as shown, money as 'Rp 1,234'."""
+    from costmart.sources.sinks import PATIENT_DISPLAY, display_table
+    return display_table(marts.patient_summary(billing(spark, sf_dir), order_by=ORDER_KEY),
+                         PATIENT_DISPLAY)
+
+
+@query("payer_display", _payer_display_sql())
+def q_payer_display(spark, sf_dir):
+    """C8 + X1: the per-payer table as shown."""
+    from costmart.sources.sinks import PAYER_DISPLAY, display_table
+    return display_table(marts.payer_summary(billing(spark, sf_dir)), PAYER_DISPLAY)

@@ -9,6 +9,9 @@ each mart is then a short aggregate over it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -42,6 +45,21 @@ class Dashboard:
     def release(self) -> None:
         self.filtered.unpersist()
 
+    def render(self, consume: Callable[[str, DataFrame], None], parallelism: int = 4) -> None:
+        """Run ``consume(name, mart)`` for every mart, ``parallelism`` at a time.
+
+        The marts are independent jobs over the same persisted frame; most are
+        a couple of small stages, so submitting several at once keeps the
+        executors busy. ``consume`` writes or shows a mart (e.g. to a sink);
+        it should not collect a mart that grows with the data.
+        """
+        items = list(self.marts().items())
+        # Materialise the shared frame once before the concurrent jobs read it.
+        self.filtered.count()
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            for f in [pool.submit(consume, name, df) for name, df in items]:
+                f.result()
+
     def marts(self) -> dict[str, DataFrame]:
         """Every table of entries 1 and 2 (lazy; each runs when consumed)."""
         c, f = self.cols, self.filtered

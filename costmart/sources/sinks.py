@@ -75,3 +75,35 @@ def read_csv(spark: SparkSession, path: str, layout: Sequence[tuple[str, str]],
                            for c, _ in layout])
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
             .csv(path))
+
+
+# On-screen tables of the summaries (money shown as 'Rp 1,234').
+PATIENT_DISPLAY = [
+    ("nama_pasien", "Nama Pasien"),
+    ("n_visits", "Jumlah Kunjungan"),
+    ("total_cost", "Total Biaya"),
+    ("mean_cost", "Rata-rata Biaya"),
+    ("clinics", "Poli"),
+    ("doctors", "Dokter"),
+    ("main_payer", "Jenis Jaminan Utama"),
+]
+PAYER_DISPLAY = [
+    ("jenis_jaminan", "Jenis Jaminan"),
+    ("n_rows", "Jumlah Transaksi"),
+    ("n_patients", "Jumlah Pasien Unik"),
+    ("total_cost", "Total Biaya"),
+    ("mean_cost", "Rata-rata Biaya"),
+    ("min_cost", "Biaya Min"),
+    ("max_cost", "Biaya Max"),
+    ("top_clinics", "Top 3 Poli"),
+    ("top_doctors", "Top 3 Dokter"),
+]
+MONEY_COLUMNS = ("total_cost", "mean_cost", "min_cost", "max_cost")
+
+
+def display_table(df: DataFrame, layout: Sequence[tuple[str, str]],
+                  money: Sequence[str] = MONEY_COLUMNS) -> DataFrame:
+    """Pick and rename columns for display; money as 'Rp 1,234' (X1)."""
+    from costmart.functions.textfmt import rupiah
+    return df.select(*[(rupiah(c) if c in money else F.col(c)).alias(label)
+                       for c, label in layout])
