@@ -1,9 +1,10 @@
 """Filters (F0–F8): one Column predicate per dashboard selection.
 
 Every predicate is a plain Column, so Catalyst pushes it into the Parquet scan.
-Date and year ranges also bound the month key: on a table partitioned by
-``bulan_tahun`` that bound becomes a ``PartitionFilters`` entry (Catalyst does
-not derive it from a date bound on its own).
+Each period filter is stated on both time forms: the month key (on a table
+partitioned by ``bulan_tahun`` that bound becomes a ``PartitionFilters``
+entry) and the date (which Catalyst pushes to the scan of the time column as a
+range). Catalyst derives neither from the other on its own.
 """
 
 from __future__ import annotations
@@ -48,17 +49,35 @@ def date_range(start: DateLike, end: DateLike, cols: Columns = DEFAULT_COLUMNS)
             & month_range(a, b, cols))
 
 
-def month_range(start: DateLike, end: DateLike, cols: Columns = DEFAULT_COLUMNS) -> Column:
-    """inclusive month range on the 'yyyy-MM' key (text order = time order)."""
+def _month_end(d: dt.date) -> dt.date:
+    first_next = dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)
+    return first_next - dt.timedelta(days=1)
+
+
+def month_range(start: DateLike, end: DateLike, cols: Columns = DEFAULT_COLUMNS,
+                with_date: bool = False) -> Column:
+    """inclusive month range on the 'yyyy-MM' key (text order = time order).
+
+    ``with_date`` adds the same range as a date bound (first day of the first
+    month .. last day of the last); a bound on the date reaches the Parquet
+    scan of the time column, a bound on formatted text does not."""
     a, b = _as_date(start), _as_date(end)
-    return F.col(cols.month_key).between(a.strftime("%Y-%m"), b.strftime("%Y-%m"))
+    pred = F.col(cols.month_key).between(a.strftime("%Y-%m"), b.strftime("%Y-%m"))
+    if with_date:
+        pred = pred & F.col(cols.date).between(F.lit(a.replace(day=1)), F.lit(_month_end(b)))
+    return pred
 
 
-def year_range(start: DateLike, end: DateLike, cols: Columns = DEFAULT_COLUMNS) -> Column:
-    """inclusive year range, plus the month-key bound for pruning."""
+def year_range(start: DateLike, end: DateLike, cols: Columns = DEFAULT_COLUMNS,
+               with_date: bool = False) -> Column:
+    """inclusive year range, plus the month-key bound for pruning and,
+    with ``with_date``, the date bound for scan pushdown."""
     a, b = _as_date(start).year, _as_date(end).year
-    return (F.col(cols.year).between(a, b)
+    pred = (F.col(cols.year).between(a, b)
             & F.col(cols.month_key).between(f"{a:04d}-01", f"{b:04d}-12"))
+    if with_date:
+        pred = pred & F.col(cols.date).between(F.lit(dt.date(a, 1, 1)), F.lit(dt.date(b, 12, 31)))
+    return pred
 
 
 def _is_on(choice: str | None, all_label: str) -> bool:
@@ -84,12 +103,13 @@ def filter_predicate(spec: FilterSpec, columns: Sequence[str],
     """AND of the time range and the category tests; None = keep all."""
     preds: list[Column] = []
     if spec.start and spec.end:
+        has_date = cols.date in columns
         if spec.kind == "tanggal":
             preds.append(date_range(spec.start, spec.end, cols))
         elif spec.kind == "bulan":
-            preds.append(month_range(spec.start, spec.end, cols))
+            preds.append(month_range(spec.start, spec.end, cols, with_date=has_date))
         elif spec.kind == "tahun":
-            preds.append(year_range(spec.start, spec.end, cols))
+            preds.append(year_range(spec.start, spec.end, cols, with_date=has_date))
     preds.extend(category_predicates(spec, columns, cols))
     if not preds:
         return None

@@ -168,18 +168,22 @@ def bucket_other(df: DataFrame, key: str, n: int = SHARE_TOP_N, other: str = OTH
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Counts in ``bins`` equal-width bins between min and max.
 
-    The last bin is closed; min = max gives one bin. The bounds are scalar
-    subqueries (one small aggregate job, then literals), so the rows are not
-    joined to anything.
+    The last bin is closed; min = max gives one bin. The bounds come from one
+    scalar subquery (a small aggregate job whose result is a literal), so the
+    rows are not joined to anything.
     """
     x = F.col(column).cast("double")
     vals = df.where(F.col(column).isNotNull())
     bounds = vals.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
+    staged = vals.select(x.alias("_x"), bounds.alias("_b")).select(
+        "_x", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(hi == lo, F.lit(0)).otherwise(
-        F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
-    counted = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
+        F.least(F.floor((F.col("_x") - lo) / width), F.lit(bins - 1))).cast("int")
+    counted = staged.groupBy(b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.any_value("_lo").alias("_lo"),
+        F.any_value("_hi").alias("_hi"))
     return counted.select(
         "bin",
         (lo + F.col("bin") * width).alias("lo"),
