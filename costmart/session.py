@@ -57,3 +57,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def scale_conf(input_bytes: int, total_cores: int,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized for a run over ``input_bytes`` of Parquet.
+
+    The initial shuffle partition count is set high (input / target, at least
+    three waves of the cores) and AQE coalesces it down to the
+    ``target_partition_bytes`` the data actually produces; file splits are
+    sized so a scan task reads about one target. Skew-join splitting stays on.
+    Apply with ``SparkSession.builder.config(map=...)`` or ``spark.conf.set``.
+    """
+    partitions = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(min(partitions, 100_000)),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }

@@ -41,3 +41,12 @@ def test_truncate_and_labels(spark):
     assert (lab.a, lab.b) == ("Jan 2025", "January 2025")
     n = spark.range(1).select(textfmt.count_text(F.lit(1234567)).alias("n")).first().n
     assert n == "1,234,567"
+
+
+def test_scale_conf_sizes_partitions():
+    from costmart.session import scale_conf
+    small = scale_conf(1 << 30, 8)
+    big = scale_conf(100 << 40, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert big["spark.sql.adaptive.enabled"] == "true"
