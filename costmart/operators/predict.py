@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from costmart.functions.textfmt import abs_error
 from costmart.schema import FEATURES, MIN_MODEL_ROWS, SAMPLE_POINTS
+from costmart.session import ensure_checkpoint_dir
 
 LABEL = "biaya"
 
@@ -49,12 +50,21 @@ def hash_split(df: DataFrame, key: Column | str, seed: int = 42, train_pct: int
 
 def fit_forest(train: DataFrame, features: Sequence[str] = FEATURES, num_trees: int = 100,
                max_depth: int = 10, max_bins: int = 128, seed: int = 42) -> PipelineModel:
-    """M4: random forest regressor on the feature table's ``label``."""
+    """M4: random forest regressor on the feature table's ``label``.
+
+    Training is distributed (per-level histogram aggregation). For deep trees
+    (``max_depth`` > 8) node ids are cached and checkpointed every 10
+    iterations to the shared checkpoint folder, so later levels neither
+    recompute earlier ones nor build a long lineage that an executor loss would
+    have to replay; for shallow trees the caching costs more than it saves.
+    """
+    ensure_checkpoint_dir(train.sparkSession)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features",
                                 handleInvalid="keep")
     forest = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
                                    maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                                   featureSubsetStrategy="all")
+                                   featureSubsetStrategy="all",
+                                   cacheNodeIds=max_depth > 8, checkpointInterval=10)
     return Pipeline(stages=[assembler, forest]).fit(train)
 
 
