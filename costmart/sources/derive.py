@@ -9,6 +9,7 @@ CSV writes of the ``billing`` view.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,15 @@ def _as_feed_text(billing: DataFrame) -> DataFrame:
     )
 
 
-def feed_a_frame(billing: DataFrame) -> DataFrame:
-    return _as_feed_text(billing.where(F.col("flag") == "O")).select(*FEED_A_COLUMNS)
+def feed_a_frame(text: DataFrame) -> DataFrame:
+    """Feed A rows from the rendered text (``_as_feed_text``)."""
+    return text.where(F.col("flag") == "O").select(*FEED_A_COLUMNS)
 
 
-def feed_b_frame(billing: DataFrame) -> DataFrame:
+def feed_b_frame(text: DataFrame) -> DataFrame:
+    """Feed B rows, under the source header names."""
     source_name = {v: k for k, v in FEED_B_RENAME.items()}
-    return _as_feed_text(billing.where(F.col("flag") == "F")).select(
+    return text.where(F.col("flag") == "F").select(
         *[F.col(c).alias(source_name[c]) for c in FEED_B_RENAME.values()])
 
 
@@ -43,11 +46,16 @@ def write_feeds(billing: DataFrame, base: str, extra_a: DataFrame | None = None)
     """Write feed A (plus optional extra text rows, e.g. a header line read as
     data) and feed B below ``base``; return both paths."""
     path_a, path_b = f"{base}/feed_a", f"{base}/feed_b"
-    feed_a_frame(billing).write.mode("overwrite").option("sep", ",").csv(path_a)
-    if extra_a is not None:
-        (extra_a.select(*FEED_A_COLUMNS).write.mode("append").option("sep", ",")
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .csv(path_a))
-    (feed_b_frame(billing).write.mode("overwrite").option("sep", ";")
-     .option("header", True).csv(path_b))
+    # Both layouts come from one pass over the view (kept until both are written).
+    text = _as_feed_text(billing).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        feed_a_frame(text).write.mode("overwrite").option("sep", ",").csv(path_a)
+        if extra_a is not None:
+            (extra_a.select(*FEED_A_COLUMNS).write.mode("append").option("sep", ",")
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+             .csv(path_a))
+        (feed_b_frame(text).write.mode("overwrite").option("sep", ";")
+         .option("header", True).csv(path_b))
+    finally:
+        text.unpersist()
     return path_a, path_b
