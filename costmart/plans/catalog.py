@@ -723,6 +723,15 @@ def q_sample_pairs(spark, sf_dir):
     return sample_pairs(_group_mean_pred(spark, sf_dir), "row_key", 1000, 42)
 
 
+@query("prediction_examples", with_billing("""
+SELECT actual, prediction, abs(actual - prediction) AS abs_error
+FROM pred ORDER BY md5('7|' || row_key) LIMIT 10""", GROUP_MEAN_CTE))
+def q_prediction_examples(spark, sf_dir):
+    """M7: ten example predictions with their absolute error."""
+    from costmart.operators.predict import sample_pairs
+    return sample_pairs(_group_mean_pred(spark, sf_dir), "row_key", 10, seed=7)
+
+
 @query("ideal_line", with_billing("""
 SELECT min(least(actual, prediction)) AS lo, max(greatest(actual, prediction)) AS hi
 FROM (SELECT actual, prediction FROM pred ORDER BY md5('42|' || row_key) LIMIT 1000)""",
