@@ -810,8 +810,10 @@ def _payer_display_sql() -> str:
 def q_patient_display(spark, sf_dir):
     """C8 + X1: the per-patient table as shown, money as 'Rp 1,234'."""
     from costmart.sources.sinks import PATIENT_DISPLAY, display_table
-    return display_table(marts.patient_summary(billing(spark, sf_dir), order_by=ORDER_KEY),
-                         PATIENT_DISPLAY)
+    summary = marts.patient_summary(billing(spark, sf_dir), order_by=ORDER_KEY)
+    # Shown by total, descending: a distributed range sort, done only here.
+    ordered = summary.orderBy(F.desc("total_cost"), "nama_pasien", "id_pasien")
+    return display_table(ordered, PATIENT_DISPLAY)
 
 
 @query("payer_display", _payer_display_sql())

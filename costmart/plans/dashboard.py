@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from costmart.operators import marts, predict
 from costmart.operators.encode import encode
 from costmart.operators.filters import FilterSpec, apply_filters
+from costmart.session import ensure_checkpoint_dir
 from costmart.schema import (
     DEFAULT_COLUMNS,
     ENCODED,
@@ -30,8 +31,14 @@ from costmart.schema import (
 
 
 class Dashboard:
+    """``materialize``: 'persist' keeps the filtered frame in executor memory
+    and disk (a lost block is recomputed from its lineage); 'checkpoint'
+    writes it once to the shared checkpoint folder, so an executor loss costs a
+    re-read instead of a recomputation of the joins (preferable on large
+    clusters, where losses are routine)."""
+
     def __init__(self, cleaned: DataFrame, spec: FilterSpec, cols: Columns = DEFAULT_COLUMNS,
-                 order_by: list[str] | None = None):
+                 order_by: list[str] | None = None, materialize: str = "persist"):
         self.cols = cols
         self.cleaned = cleaned
         self.spec = spec
@@ -39,8 +46,14 @@ class Dashboard:
         used = {cols.patient, cols.patient_id, cols.clinic, cols.doctor, cols.payer, cols.cost,
                 cols.month_key, cols.date, *self.order_by}
         keep = [c for c in cleaned.columns if c in used]
-        self.filtered = apply_filters(cleaned, spec, cols).select(*keep) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        narrowed = apply_filters(cleaned, spec, cols).select(*keep)
+        if materialize == "checkpoint":
+            ensure_checkpoint_dir(cleaned.sparkSession)
+            self.filtered = narrowed.checkpoint()
+        elif materialize == "persist":
+            self.filtered = narrowed.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            raise ValueError(f"materialize must be 'persist' or 'checkpoint', not {materialize!r}")
 
     def release(self) -> None:
         self.filtered.unpersist()

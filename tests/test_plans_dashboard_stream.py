@@ -66,3 +66,12 @@ def test_stream_ingest_equals_batch(spark, billing_small):
                       header_columns={pb: list(FEED_B_RENAME)})
     q2.awaitTermination()
     assert sinks.read_table(spark, f"{base}/table").count() == batch.count()
+
+
+def test_dashboard_checkpoint_mode(billing_small):
+    dash = Dashboard(billing_small, FilterSpec(), materialize="checkpoint")
+    try:
+        k = dash.marts()["kpis"].first()
+        assert k.n_rows == billing_small.count()
+    finally:
+        dash.release()
