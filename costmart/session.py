@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
-                  app: str = "costmart") -> SparkSession:
+                  app: str = "costmart", extra: dict[str, str] | None = None) -> SparkSession:
     """Session for tests and the local bench (no UI, AQE on, UTC clock)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,6 +28,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("COSTMART_DRIVER_MEMORY", "16g"))
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
