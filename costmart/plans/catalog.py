@@ -724,12 +724,18 @@ def q_sample_pairs(spark, sf_dir):
 
 
 @query("prediction_examples", with_billing("""
-SELECT actual, prediction, abs(actual - prediction) AS abs_error
-FROM pred ORDER BY md5('7|' || row_key) LIMIT 10""", GROUP_MEAN_CTE))
+SELECT actual, prediction, abs_error, format('Rp {:,.0f}', actual) AS actual_text,
+       format('Rp {:,.0f}', prediction) AS prediction_text,
+       format('Rp {:,.0f}', abs_error) AS error_text
+FROM (SELECT actual, prediction, abs(actual - prediction) AS abs_error
+      FROM pred ORDER BY md5('7|' || row_key) LIMIT 10)""", GROUP_MEAN_CTE))
 def q_prediction_examples(spark, sf_dir):
-    """M7: ten example predictions with their absolute error."""
+    """M7 + X1: ten example predictions with their absolute error, also as text."""
     from costmart.operators.predict import sample_pairs
-    return sample_pairs(_group_mean_pred(spark, sf_dir), "row_key", 10, seed=7)
+    ex = sample_pairs(_group_mean_pred(spark, sf_dir), "row_key", 10, seed=7)
+    return ex.withColumns({"actual_text": textfmt.rupiah("actual"),
+                           "prediction_text": textfmt.rupiah("prediction"),
+                           "error_text": textfmt.rupiah("abs_error")})
 
 
 @query("ideal_line", with_billing("""
