@@ -27,6 +27,15 @@ def _not_null(cols: Sequence[str]) -> Column:
     return cond
 
 
+def order_value(order_by: Sequence[str]) -> Column:
+    """The row-order value: the column itself when there is one (a numeric or
+    time column keeps the aggregate hash-based), else a struct compared field
+    by field (Spark aggregates a struct minimum with a sort-based aggregate)."""
+    if len(order_by) == 1:
+        return F.col(order_by[0])
+    return F.struct(*[F.col(c) for c in order_by])
+
+
 def _join_ranked(ranked: DataFrame, keys: Sequence[str], value: str, out: str,
                  sep: str) -> DataFrame:
     """(keys, value, rn) with rn <= k -> (keys, 'v1, v2, ...') in rn order.
@@ -49,7 +58,7 @@ def first_k_distinct(df: DataFrame, keys: Sequence[str], value: str, k: int,
     smallest order struct of the rows it stands for. Returns one row per key
     that has a non-null value.
     """
-    first = F.col(first_col) if first_col else F.struct(*[F.col(c) for c in order_by])
+    first = F.col(first_col) if first_col else order_value(order_by)
     first_seen = (
         df.where(_not_null([*keys, value]))
         .groupBy(*keys, value)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costmart.functions.textfmt import compact, month_label, rupiah, truncate
-from costmart.operators.aggregates import first_k_distinct, mode_or, top_k_values
+from costmart.operators.aggregates import first_k_distinct, mode_or, order_value, top_k_values
 from costmart.schema import (
     DEFAULT_COLUMNS,
     FIRST_CLINICS,
@@ -213,7 +213,7 @@ def patient_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
         F.sum(cols.cost).alias("_sum"),
         F.count(cols.cost).alias("_cnt"),
         F.count(F.lit(1)).alias("_rows"),
-        F.min(F.struct(*[F.col(c) for c in order])).alias("_first"),
+        F.min(order_value(order)).alias("_first"),
     )
     totals = grain.groupBy(*keys).agg(
         money(F.sum("_sum")).alias("total_cost"),

@@ -57,3 +57,8 @@ def test_no_cartesian_or_nested_loop(spark):
         p = plan(fn(spark, SF))
         assert "CartesianProduct" not in p, name
         assert "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_single_order_column_stays_hash_aggregate(billing_small):
+    p = plan(marts.patient_summary(billing_small, order_by=["l_orderkey"]))
+    assert "SortAggregate" not in p and "HashAggregate" in p
