@@ -101,8 +101,10 @@ class Dashboard:
         coded = encode(apply_filters(self.cleaned, self.spec, self.cols), ENCODED,
                        fit_on=self.cleaned)
         predict.require_rows(coded)
+        # Written once to the shared checkpoint folder: the forest passes over
+        # its input several times and scoring reads it again.
         table = predict.feature_table(predict.hash_split(coded, key, seed), FEATURES,
-                                      keep=[key, "is_train"])
+                                      keep=[key, "is_train"]).checkpoint()
         model = predict.fit_forest(table.where("is_train"), num_trees=num_trees,
                                    max_depth=max_depth, seed=seed)
         scored = predict.predict(model, table.where("not is_train"), keep=[key])
