@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from costmart.functions import textfmt
 from costmart.operators import aggregates, filters, marts, options
 from costmart.plans.oracle import with_billing
-from costmart.schema import ALL_DOCTORS, DEFAULT_COLUMNS as C, UNKNOWN
+from costmart.schema import ALL_CLINICS, ALL_DOCTORS, ALL_PAYERS, DEFAULT_COLUMNS as C, UNKNOWN
 from costmart.sources.fixture import ORDER_KEY, billing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,6 +370,23 @@ def q_value_options(spark, sf_dir):
     return options.value_options(billing(spark, sf_dir), C.doctor, ALL_DOCTORS)
 
 
+def _options_sql(column: str, all_label: str) -> str:
+    return with_billing(f"""
+SELECT '{all_label}' AS option, true AS is_all
+UNION ALL
+SELECT DISTINCT {column} AS option, false AS is_all FROM billing WHERE {column} IS NOT NULL""")
+
+
+@query("clinic_options", _options_sql("poli", ALL_CLINICS))
+def q_clinic_options(spark, sf_dir):
+    return options.value_options(billing(spark, sf_dir), C.clinic, ALL_CLINICS)
+
+
+@query("payer_options", _options_sql("jenis_jaminan", ALL_PAYERS))
+def q_payer_options(spark, sf_dir):
+    return options.value_options(billing(spark, sf_dir), C.payer, ALL_PAYERS)
+
+
 @query("month_label_parse", with_billing("""
 SELECT DISTINCT bulan_tahun,
        strftime(strptime(bulan_tahun || '-01', '%Y-%m-%d'), '%B %Y') AS label,
