@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costmart.functions.textfmt import compact, month_label, rupiah, truncate
+from costmart.functions.textfmt import compact, count_text, month_label, rupiah, truncate
 from costmart.operators.aggregates import first_k_distinct, mode_or, order_value, top_k_values
 from costmart.schema import (
     DEFAULT_COLUMNS,
@@ -70,11 +70,20 @@ def kpis(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, exact: bool = True) ->
     )
 
 
+def kpi_display(k: DataFrame) -> DataFrame:
+    """G1 as shown: money as 'Rp 1,234', counts with thousands separators."""
+    return k.select(
+        *[rupiah(c).alias(f"{c}_text") for c in ("total", "mean", "max", "min")],
+        *[count_text(c).alias(f"{c}_text")
+          for c in ("n_rows", "n_patients", "n_clinics", "n_doctors", "n_payers")])
+
+
 def filter_stats(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
     """Rows, mean and sum under a filter, with their display text."""
     s = df.agg(F.count(F.lit(1)).alias("n_rows"), mean_of(cols.cost).alias("mean"),
                money(F.sum(cols.cost)).alias("total"))
-    return s.withColumns({"mean_text": rupiah("mean"), "total_text": rupiah("total")})
+    return s.withColumns({"n_rows_text": count_text("n_rows"), "mean_text": rupiah("mean"),
+                          "total_text": rupiah("total")})
 
 
 # --------------------------------------------------------------------- G2, G3

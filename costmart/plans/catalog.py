@@ -48,6 +48,22 @@ def q_kpi_summary(spark, sf_dir):
     return marts.kpis(billing(spark, sf_dir))
 
 
+@query("kpi_display", with_billing(f"""
+SELECT format('Rp {{:,.0f}}', total) AS total_text, format('Rp {{:,.0f}}', mean) AS mean_text,
+       format('Rp {{:,.0f}}', max) AS max_text, format('Rp {{:,.0f}}', min) AS min_text,
+       format('{{:,}}', n_rows) AS n_rows_text, format('{{:,}}', n_patients) AS n_patients_text,
+       format('{{:,}}', n_clinics) AS n_clinics_text, format('{{:,}}', n_doctors) AS n_doctors_text,
+       format('{{:,}}', n_payers) AS n_payers_text
+FROM (SELECT CAST(sum(biaya) AS DOUBLE) AS total, {MEAN} AS mean,
+             CAST(max(biaya) AS DOUBLE) AS max, CAST(min(biaya) AS DOUBLE) AS min,
+             count(*) AS n_rows, count(DISTINCT id_pasien) AS n_patients,
+             count(DISTINCT poli) AS n_clinics, count(DISTINCT dokter) AS n_doctors,
+             count(DISTINCT jenis_jaminan) AS n_payers FROM billing)"""))
+def q_kpi_display(spark, sf_dir):
+    """G1 + X1 + X6: the KPI row as displayed."""
+    return marts.kpi_display(marts.kpis(billing(spark, sf_dir)))
+
+
 def _top_sql(key: str, n: int) -> str:
     return with_billing(f"""
 SELECT {key}, count(*) AS n_rows FROM billing WHERE {key} IS NOT NULL
@@ -310,7 +326,8 @@ def q_filter_combined(spark, sf_dir):
 
 
 @query("filter_stats", with_billing(f"""
-SELECT n_rows, mean, total, format('Rp {{:,.0f}}', mean) AS mean_text,
+SELECT n_rows, mean, total, format('{{:,}}', n_rows) AS n_rows_text,
+       format('Rp {{:,.0f}}', mean) AS mean_text,
        format('Rp {{:,.0f}}', total) AS total_text
 FROM (SELECT count(*) AS n_rows, {MEAN} AS mean, CAST(sum(biaya) AS DOUBLE) AS total
       FROM billing WHERE tahun BETWEEN 1997 AND 1998 AND dokter = 'Supplier#000000007')"""))
