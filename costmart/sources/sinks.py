@@ -37,7 +37,7 @@ PAYER_EXPORT = [
 
 
 def write_table(df: DataFrame, path: str, cols: Columns = DEFAULT_COLUMNS,
-                mode: str = "overwrite") -> None:
+                mode: str = "overwrite", months_only: bool = False) -> None:
     """The cleaned table as Parquet, one folder per month key, so period
     filters prune whole folders (``PartitionFilters``).
 
@@ -45,13 +45,25 @@ def write_table(df: DataFrame, path: str, cols: Columns = DEFAULT_COLUMNS,
     bounds come from a sample, so a month holding a third of all rows is split
     over many tasks while small months share one, and each task writes to few
     month folders (no hash repartition by month, which would put a hot month
-    into a single task)."""
-    (df.repartitionByRange(cols.month_key, cols.time, cols.transaction)
-     .write.mode(mode).partitionBy(cols.month_key).parquet(path))
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    into a single task).
+
+    ``months_only``: with mode 'overwrite', replace only the month folders
+    present in ``df`` (dynamic partition overwrite), e.g. when one month's
+    feed is delivered again; other months stay as they are."""
+    writer = (df.repartitionByRange(cols.month_key, cols.time, cols.transaction)
+              .write.mode(mode).partitionBy(cols.month_key))
+    if months_only:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
+    """The month-partitioned table; the month key is read back as text
+    (folder names like '2025-01' are not left to type inference)."""
+    inferred = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType(), True) if f.name == cols.month_key else f
+              for f in inferred.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, layout: Sequence[tuple[str, str]],

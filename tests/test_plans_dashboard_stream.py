@@ -75,3 +75,15 @@ def test_dashboard_checkpoint_mode(billing_small):
         assert k.n_rows == billing_small.count()
     finally:
         dash.release()
+
+
+def test_table_replaces_only_delivered_months(spark, billing_small):
+    path = shared_dir(spark, "test-months")
+    sinks.write_table(billing_small, path)
+    one = billing_small.where(F.col("bulan_tahun") == "1996-05")
+    sinks.write_table(one.limit(3), path, months_only=True)
+    back = sinks.read_table(spark, path)
+    assert dict(back.dtypes)["bulan_tahun"] == "string"
+    assert back.where(F.col("bulan_tahun") == "1996-05").count() == 3
+    assert back.where(F.col("bulan_tahun") != "1996-05").count() == (
+        billing_small.where(F.col("bulan_tahun") != "1996-05").count())
