@@ -60,7 +60,7 @@ def lower_az(text: pa.Array) -> pa.Array:
     return pc.ascii_lower(text)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str,
+def pieces(batches: Iterable[pa.RecordBatch], column: str | int,
            max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``max_bytes`` of ``column``.
 
