@@ -246,13 +246,13 @@ def _place_small(plan: _Plan, lengths: list[tuple[int, int]]) -> None:
                 plan.gaps[gap - each * length].append((sequence, used))
 
 
-def make_plan(counts: dict[int, int], capacity: int, groups: int = 256,
+def make_plan(counts: dict[int, int], capacity: int, groups: int = 1024,
               small: int | None = None) -> np.ndarray:
     """Slot runs (length, first rank, count, first sequence, offset), sorted, from a count per length.
 
-    ``small`` is the longest small piece (default: a sixteenth of the capacity).
+    ``small`` is the longest small piece (default: a third of the capacity).
     """
-    small = capacity // 16 if small is None else small
+    small = capacity // 3 if small is None else small
     plan = _Plan(capacity)
     ordered = sorted(((n, c) for n, c in counts.items() if c), reverse=True)
     for length, count in ordered:
@@ -286,7 +286,7 @@ def ranked(found: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame,
             .drop("bucket", "inside", "before")), counts
 
 
-def place(found: DataFrame, capacity: int, groups: int = 256,
+def place(found: DataFrame, capacity: int, groups: int = 1024,
           bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``found`` (a written table with length) with sequence_id and offset."""
     rows, counts = ranked(found, bucket_rows)
@@ -309,7 +309,7 @@ def place(found: DataFrame, capacity: int, groups: int = 256,
         run, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, groups: int = 256,
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, groups: int = 1024,
          end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
          outputs: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (, ids), sequence_id, offset."""

@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costmart.llm import exact_dedup, sharding
+from costmart.llm import exact_dedup, fertility, lexicon, packing, sharding
 from costmart.llm.common import shared_ready, table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, tokeniser fertility and verdict of all documents."""
+    return fertility.measure(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents; the largest doc_id of equal texts stays."""
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"), keep="largest")
@@ -20,9 +30,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 24)
 
 
+def op9_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with the transducer lexicon and decoded again, as digests."""
+    return lexicon.encode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"),
+                          outputs=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fertility": op1_fertility,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op9_lexicon_bpe": op9_lexicon_bpe,
+    "op10_packing": op10_packing,
 }
 
 #: A-Z and a-z for DuckDB's translate().
