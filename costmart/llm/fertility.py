@@ -20,6 +20,7 @@ them through untouched, whatever their names.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -89,35 +90,37 @@ def dominant_script(text: str) -> str:
 
 
 class Vocabularies:
-    """Per word: tokens of the byte-level BPE, ids and byte fallbacks of the piece BPE."""
+    """Per word: tokens of the byte-level BPE, and ids of the piece BPE as bytes."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
+        import base64
+
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
-        self._byte = Tokenizer.from_file(byte_bpe)
+        import tiktoken
+        with open(byte_bpe, "rb") as f:
+            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+        self._byte = tiktoken.Encoding("fertility", pat_str=public_tokenizers.PATTERN,
+                                       mergeable_ranks=ranks, special_tokens={})
         self._piece = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
-        self._fallback = {i for i in range(self._piece.get_piece_size())
-                          if self._piece.is_byte(i)}
-        self._seen: dict[str, tuple[int, bytes, int]] = {}
+        self.fallback = np.array([self._piece.is_byte(i)
+                                  for i in range(self._piece.get_piece_size())])
+        self._seen: dict[str, tuple[int, bytes]] = {}
 
-    def words(self, words: set[str]) -> dict[str, tuple[int, bytes, int]]:
+    def words(self, words: set[str]) -> dict[str, tuple[int, bytes]]:
         seen = self._seen
         new = list(words.difference(seen))
         if new:
             if len(seen) + len(new) > CACHE_WORDS:
                 seen = self._seen = {w: seen[w] for w in words if w in seen}
-            tokens = self._byte.encode_batch_fast([f" {w}" for w in new],
-                                                  add_special_tokens=False)
-            for w, t, ids in zip(new, tokens, self._piece.encode(new, num_threads=1)):
-                seen[w] = (len(t.ids), np.array(ids, "<u4").tobytes(),
-                           sum(i in self._fallback for i in ids))
+            tokens = self._byte.encode_ordinary
+            for w, ids in zip(new, self._piece.encode(new, num_threads=1)):
+                seen[w] = (len(tokens(f" {w}")), array("I", ids).tobytes())
         return seen
 
 
 @lru_cache(maxsize=2)
 def _vocabularies(byte_bpe: str, piece_bpe: str) -> Vocabularies:
-    import os
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Vocabularies(byte_bpe, piece_bpe)
 
 
@@ -148,7 +151,8 @@ def entropy(ids: np.ndarray) -> float:
     """Bits per token of the token counts."""
     if not len(ids):
         return 0.0
-    counts = np.bincount(np.unique(ids, return_inverse=True)[1])
+    ends = np.flatnonzero(np.diff(np.sort(ids), append=np.uint32(0xFFFFFFFF)))
+    counts = np.diff(ends, prepend=-1)
     return float(math.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
 
 
@@ -169,8 +173,8 @@ def judge(text: str | None, vocabularies: Vocabularies, bands: dict[str, Band])
     known = vocabularies.words(set(words))
     counts = [known[w] for w in words]
     tokens = sum([c[0] for c in counts])
-    ids = np.frombuffer(b"".join([c[1] for c in counts]), "<u4")
-    fallback = sum([c[2] for c in counts]) / len(ids) if len(ids) else 0.0
+    ids = np.frombuffer(b"".join([c[1] for c in counts]), np.uint32)
+    fallback = float(vocabularies.fallback[ids].mean()) if len(ids) else 0.0
     rate = chars / tokens if tokens else 0.0
     bits = entropy(ids)
     script = dominant_script(text)
@@ -183,7 +187,7 @@ def judge(text: str | None, vocabularies: Vocabularies, bands: dict[str, Band])
 
 def _paths(byte_bpe: str | None, piece_bpe: str | None) -> tuple[str, str]:
     import public_tokenizers
-    return (byte_bpe or public_tokenizers.path("byte_bpe_50k.json"),
+    return (byte_bpe or public_tokenizers.path("byte_bpe_50k.tiktoken"),
             piece_bpe or public_tokenizers.path("piece_bpe_32k.model"))
 
 
