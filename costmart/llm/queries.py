@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costmart.llm import exact_dedup, fertility, lexicon, packing, sharding
+from costmart.llm import (exact_dedup, extract, fertility, hosts, lexicon, packing,
+                          sharding)
 from costmart.llm.common import shared_ready, table
 
 
@@ -25,11 +26,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to 24 shuffled shards, read back as digests."""
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 24)
 
 
+#: The given rules: a host with its subdomains, and a path prefix.
+URL_RULES = [hosts.parse_rule(verdict, text) for verdict, text in (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def op6_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and link-graph verdict of all pages."""
+    return hosts.judge(table(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 def op9_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with the transducer lexicon and decoded again, as digests."""
     return lexicon.encode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"),
@@ -44,7 +62,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_extract": op4_extract,
     "op5_sharding": op5_sharding,
+    "op6_hosts": op6_hosts,
     "op9_lexicon_bpe": op9_lexicon_bpe,
     "op10_packing": op10_packing,
 }
