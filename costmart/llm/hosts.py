@@ -5,7 +5,8 @@ page first, the longest rule that fits.  Hosts get seed weights from the share
 of their pages that rules allow or block.  Trust spreads from allowed hosts
 along links (personalised PageRank), distrust from blocked hosts against the
 links, to hosts that link to them.  A page without a rule is blocked if its
-host's distrust is more than ``block_share`` of trust and distrust together.
+host's distrust is at least ``min_distrust`` and more than ``block_share`` of
+its trust and distrust together.
 
 Built from DataFrame functions only.  Links are counted per host pair before
 anything is joined, so a host that holds a third of all pages is one row in
@@ -120,9 +121,9 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85,
     return score
 
 
-def judge(pages: DataFrame, rules: list[Rule], block_share: float = 0.75, damping: float = 0.85,
-          rounds: int = 12, id_col: str = "page_id", url_col: str = "url",
-          html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], block_share: float = 0.75,
+          min_distrust: float = 0.5, damping: float = 0.85, rounds: int = 12,
+          id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
     rows = ruled(pages, rules, id_col, url_col)
     by_host = rows.where("host != ''").groupBy("host").agg(
@@ -135,7 +136,8 @@ def judge(pages: DataFrame, rules: list[Rule], block_share: float = 0.75, dampin
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))),
                                  F.lit(0.0)).alias(kind)
     hosts = scores.groupBy("host").agg(of("trust"), of("distrust"))
-    bad = F.col("distrust") > block_share * (F.col("trust") + F.col("distrust"))
+    bad = ((F.col("distrust") >= min_distrust)
+           & (F.col("distrust") > block_share * (F.col("trust") + F.col("distrust"))))
     return (rows.join(hosts, "host", "left")
             .withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
             .select("page_id", "host", "path", "rule",
