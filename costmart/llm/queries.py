@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costmart.llm import (exact_dedup, extract, fertility, hosts, lexicon, packing,
-                          sharding)
+from costmart.llm import (exact_dedup, extract, fertility, hosts, langid, lexicon, packing,
+                          sharding, toxicity)
 from costmart.llm.common import shared_ready, table
 
 
@@ -48,6 +48,18 @@ def op6_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by the weakly supervised classifier."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, family first."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op9_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with the transducer lexicon and decoded again, as digests."""
     return lexicon.encode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"),
@@ -65,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_extract": op4_extract,
     "op5_sharding": op5_sharding,
     "op6_hosts": op6_hosts,
+    "op7_toxicity": op7_toxicity,
+    "op8_langid": op8_langid,
     "op9_lexicon_bpe": op9_lexicon_bpe,
     "op10_packing": op10_packing,
 }
