@@ -138,7 +138,8 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
 
     After each pass the correlations of the voters given the class are taken
     from the residuals; a voter's weight is one over its sum of squared
-    correlations, so a voter that n others repeat counts 1/(n + 1).
+    correlations, so a voter that n others repeat counts 1/(n + 1).  The last
+    voter, silence, is the anchor: it keeps its accuracy and its whole vote.
     """
     n, m = votes.shape
     fired = votes.sum(axis=0)
@@ -148,7 +149,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
         for _ in range(rounds):
             # Two imagined firings at the first guess keep rare voters near it.
             share = (votes.T @ post + 2 * start) / (fired + 2)
-            model.accuracies = np.clip(share, 0.02, 0.98)
+            model.accuracies = np.append(np.clip(share, 0.02, 0.98)[:-1], start[-1])
             new = model.posterior(votes)
             done = np.abs(new - post).max(initial=0) < 1e-4
             post = new
@@ -163,13 +164,14 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds:
         np.fill_diagonal(cor, 1)
         model.correlations = cor
         model.weights = 1 / (np.where(cor > 0.2, cor, 0) ** 2).sum(axis=0)
+        model.weights[-1] = 1
     return model
 
 
 # ---- the classifier ------------------------------------------------------
 
-def fit_linear(rows: list[list[int]], size: int, target: np.ndarray, penalty: float = 1e-3,
-               rounds: int = 120, rate: float = 0.5) -> np.ndarray:
+def fit_linear(rows: list[list[int]], size: int, target: np.ndarray, penalty: float = 1e-4,
+               rounds: int = 200, rate: float = 1.5) -> np.ndarray:
     """Logistic regression on sets of features with soft labels; the last weight is the bias."""
     lengths = np.array([len(r) for r in rows])
     columns = np.array([c for r in rows for c in r], np.int64)
