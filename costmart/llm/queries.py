@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costmart.llm import (exact_dedup, extract, fertility, hosts, langid, lexicon, packing,
-                          sharding, toxicity)
+from costmart.llm import (exact_dedup, extract, fertility, hosts, langid, lexicon, minhash,
+                          packing, sharding, toxicity)
 from costmart.llm.common import shared_ready, table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -26,6 +27,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    return minhash.components(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extract.extract(table(spark, sf_dir, "pages"))
@@ -62,18 +68,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with the transducer lexicon and decoded again, as digests."""
-    return lexicon.encode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"),
+    return lexicon.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
                           outputs=False)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2048)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_minhash": op3_minhash,
     "op4_extract": op4_extract,
     "op5_sharding": op5_sharding,
     "op6_hosts": op6_hosts,
