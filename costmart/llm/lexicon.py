@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costmart.llm.common import pairs, pieces
+from costmart.llm.common import keep_table, pairs, pieces
 
 #: Words compiled into the automaton, and merged words that a worker remembers.
 MAX_WORDS = 60_000
@@ -312,12 +312,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text") -> list[str]:
-    """The words of all texts with the highest counts (ties: the smaller word)."""
-    rows = (docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-            .mapInArrow(_counted, "word string, n long")
-            .groupBy("word").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "word").limit(max_words).collect())
-    return [r["word"] for r in rows]
+    """The most frequent words of all texts: whole frequency classes, at most ``max_words``.
+
+    Counts are split into 16 classes per doubling.  The classes from the top
+    on that together hold at most ``max_words`` words are taken, so neither
+    the driver nor a task sorts or holds more than that; words that occur once
+    are in no class.
+    """
+    counts = keep_table(
+        docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+        .mapInArrow(_counted, "word string, n long")
+        .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+        .withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    least, total = None, 0
+    for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():
+        total += r["count"]
+        if total > max_words:
+            break
+        least = r["class"]
+    if least is None:
+        return []
+    return sorted(r["word"] for r in counts.where(F.col("class") >= least).select("word").collect())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, max_words: int = MAX_WORDS,
