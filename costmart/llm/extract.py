@@ -74,7 +74,9 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []   # tag, dropped, container number
+        # Tag, 0 or how it is dropped (1: inside a block, 2: inside an inline element, whose
+        # text is no line of its own), container number.
+        self.open: list[tuple[str, int, int]] = []
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.articles: list[int] = []                 # container numbers of article and main
         self.containers = 0
@@ -135,7 +137,9 @@ class _Lines(HTMLParser):
             self._close_nearest(*IMPLIED_END[tag])
         if tag in VOID:
             return
-        dropped = bool(self.open and self.open[-1][1]) or self._dropped(tag, attrs)
+        dropped = self.open[-1][1] if self.open else 0
+        if not dropped and self._dropped(tag, attrs):
+            dropped = 1 if tag in BLOCK else 2
         container = 0
         if tag in ("article", "main", "section", "div", "td", "body", "table", "blockquote") or \
                 any(k == "role" and v in ("main", "article") for k, v in attrs):
@@ -161,7 +165,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self._text.append(data)
+        if not self.open or self.open[-1][1] != 2:
+            self._text.append(data)
 
     def finish(self) -> None:
         """End of the page; a tag, comment or script that has no end is left out."""

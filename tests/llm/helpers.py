@@ -1,0 +1,56 @@
+"""Small frames and brute-force versions for the operator tests."""
+
+import re
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Nulls in every column, empty and blank texts, a very long text, repeated rows.
+LONG = " ".join(f"w{i % 977} x{i}" for i in range(30_000))
+EDGES = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4),
+    (4, LONG, "en", "s", len(LONG)), (5, "One two", "en", "s", 7), (6, "one TWO", "en", "s", 7),
+    (7, "Éa b c d", "fr", "s", 8), (8, "éa b c d", "fr", "s", 8),
+    (9, "same row", "en", "s", 8), (9, "same row", "en", "s", 8), (None, "no id", "en", "s", 5),
+]
+
+
+def frame(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame(rows, schema)
+
+
+def edges(spark, *more):
+    """The edge rows with extra columns whose names clash with results."""
+    from pyspark.sql import functions as F
+    docs = frame(spark, [*EDGES, *more])
+    for name in ("kept", "score", "h", "bucket", "text_sha256", "row_number"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    return docs
+
+
+def shingles(text, width):
+    words = WORD.findall((text or "").translate(LOWER))
+    if len(words) >= width:
+        return frozenset(zip(*(words[i:] for i in range(width))))
+    return frozenset([tuple(words)] if words else [])
+
+
+def brute_components(rows, width, percent):
+    """id -> (set size, smallest reachable id) by comparing all pairs."""
+    sets = {i: shingles(t, width) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i)) for i in ids}
