@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,57 +58,89 @@ def word_features(word: str) -> list[str]:
     return [word[:k] for k in STEMS if k <= len(word)] + [f"{word}$"]
 
 
-def text_features(text: str) -> set[str]:
-    found: set[str] = set()
-    for w in set(_WORD.findall(text.lower())):
-        found.update(word_features(w))
-    return found
+class FeatureIds:
+    """Numbers the features of a sample, so that a text is a short array of them."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self._ids: dict[str, int] = {}
+        self._words: dict[str, list[int]] = {}
+
+    def _number(self, feature: str) -> int:
+        if feature not in self._ids:
+            self._ids[feature] = len(self.names)
+            self.names.append(feature)
+        return self._ids[feature]
+
+    def of(self, features: list[str]) -> np.ndarray:
+        return np.array([self._number(f) for f in features], np.int32)
+
+    def text(self, text: str) -> np.ndarray:
+        """Sorted distinct features of a text."""
+        found: list[int] = []
+        for w in set(_WORD.findall(text.lower())):
+            if w not in self._words:
+                if len(self._words) > CACHE_WORDS:
+                    self._words.clear()
+                self._words[w] = [self._number(f) for f in word_features(w)]
+            found += self._words[w]
+        return np.unique(np.array(found, np.int32))
+
+
+def frequencies(texts: list[np.ndarray], size: int) -> np.ndarray:
+    """In how many texts each feature is."""
+    total = np.zeros(size)
+    for t in texts:
+        total[t] += 1
+    return total
 
 
 # ---- voters and the label model -----------------------------------------
 
-def learned_stems(features: list[set[str]], labels: list[int], odds: float = 100.0,
-                  least: int = 4, depth: int = 3, most: int = 400) -> list[str]:
+def learned_stems(texts: list[np.ndarray], labels: list[int], names: list[str],
+                  odds: float = 100.0, least: int = 4, depth: int = 3,
+                  most: int = 400) -> list[str]:
     """Words and stems at least ``odds`` times as frequent in toxic texts, by greedy cover.
 
     The next one is that which fires in most toxic texts with fewer than
     ``depth`` voters so far; the end is where it adds fewer than ``least``.
     A sample with under 25 * ``odds`` clean texts cannot show such odds; it
-    asks for a 25th of its clean texts instead.
+    asks for a 25th of its clean texts instead, but at least 20.
     """
-    toxic, clean = Counter(), Counter()
-    for f, y in zip(features, labels):
-        (toxic if y else clean).update(f)
-    n1, n0 = sum(labels), len(labels) - sum(labels)
+    bad = [t for t, y in zip(texts, labels) if y]
+    n1, n0 = len(bad), len(texts) - len(bad)
     if not n1 or not n0:
         return []
-    good = {f for f, c in toxic.items() if c >= least
-            and (c / n1) / ((clean[f] + 0.5) / n0) >= min(odds, n0 / 25)}
-    open_ = [f & good for f, y in zip(features, labels) if y]
-    where: dict[str, list[int]] = {}
+    toxic = frequencies(bad, len(names))
+    clean = frequencies([t for t, y in zip(texts, labels) if not y], len(names))
+    good = (toxic >= least) & ((toxic / n1) / ((clean + 0.5) / n0) >= min(odds, max(20, n0 / 25)))
+    open_ = [t[good[t]] for t in bad]
+    where: dict[int, list[int]] = {}
     for i, fs in enumerate(open_):
-        for f in fs:
+        for f in fs.tolist():
             where.setdefault(f, []).append(i)
-    gain, covered, chosen = Counter({f: len(w) for f, w in where.items()}), [0] * n1, []
+    gain, covered, chosen = {f: len(w) for f, w in where.items()}, [0] * n1, []
     while gain and len(chosen) < most:
         best = max(gain.values())
         if best < least:
             break
         # Of those that fire about as often, the one with fewest clean texts, then the longest.
         f = min((f for f, g in gain.items() if g >= 0.97 * best),
-                key=lambda f: (clean[f], -len(f), f))
-        chosen.append(f)
+                key=lambda f: (clean[f], -len(names[f]), names[f]))
+        chosen.append(names[f])
         del gain[f]
         for i in where[f]:
             covered[i] += 1
             if covered[i] == depth:
-                gain.subtract(open_[i] & gain.keys())
+                for g in open_[i].tolist():
+                    if g in gain:
+                        gain[g] -= 1
     return chosen
 
 
-def vote(text: str, features: set[str], words: list[str]) -> list[int]:
+def vote(text: str, features: np.ndarray, voters: np.ndarray) -> list[int]:
     """1 where a voter fires: the words and stems, the patterns, and silence of the words."""
-    fired = [int(w in features) for w in words]
+    fired = np.isin(voters, features).astype(int).tolist()
     return [*fired, *(int(bool(p.search(text))) for p in PATTERNS.values()), int(not any(fired))]
 
 
@@ -228,26 +259,30 @@ def fit_sample(texts: list[str], labels: list[int], size: int = 400,
     if not once:
         return ToxicityModel(dict.fromkeys(listed, 4.0), -4.0)
     texts, labels = list(once), list(once.values())
-    features = [text_features(t) for t in texts]
-    voters = list(dict.fromkeys([*listed, *learned_stems(features, labels)]))
-    votes = np.array([vote(t, f, voters) for t, f in zip(texts, features)], float)
+    ids = FeatureIds()
+    features = [ids.text(t) for t in texts]
+    voters = list(dict.fromkeys([*listed, *learned_stems(features, labels, ids.names)]))
+    numbers = ids.of(voters)
+    votes = np.array([vote(t, f, numbers) for t, f in zip(texts, features)], float)
     start = np.array([0.95] * len(voters) + [0.5] * len(PATTERNS) + [0.02])
     post = fit_label_model(votes, start, prior).posterior(votes)
     # Features: those that differ most between the posterior classes, and all voters.
-    mass, plain = Counter(), Counter()
-    for f, p in zip(features, (post > 0.5).tolist()):
-        (mass if p else plain).update(f)
-    total, rest = max(1.0, float((post > 0.5).sum())), max(1.0, float((post <= 0.5).sum()))
-    gain = {f: mass[f] / total - plain[f] / rest for f in mass.keys() | plain.keys()
-            if mass[f] + plain[f] >= 5}
-    best = sorted(gain, key=lambda f: (-abs(gain[f]), f))[:size]
-    columns = {f: i for i, f in enumerate(dict.fromkeys([*voters, *best]))}
-    rows = [[columns[f] for f in fs if f in columns] for fs in features]
-    weight = fit_linear(rows, len(columns), post)
-    learned = {f: float(weight[i]) for f, i in columns.items() if weight[i]}
+    high = post > 0.5
+    mass = frequencies([f for f, h in zip(features, high) if h], len(ids.names))
+    plain = frequencies([f for f, h in zip(features, high) if not h], len(ids.names))
+    gain = np.abs(mass / max(1, high.sum()) - plain / max(1, (~high).sum()))
+    gain[mass + plain < 5] = 0
+    gain = {i: g for i, g in enumerate(gain.tolist()) if g}
+    best = sorted(gain, key=lambda i: (-gain[i], ids.names[i]))[:min(size, len(texts) // 10)]
+    chosen = list(dict.fromkeys([*numbers.tolist(), *best]))
+    column = np.full(len(ids.names), -1)
+    column[chosen] = np.arange(len(chosen))
+    rows = [column[f][column[f] >= 0].tolist() for f in features]
+    weight = fit_linear(rows, len(chosen), post)
+    learned = {ids.names[i]: float(w) for i, w in zip(chosen, weight) if w}
     # A listed insult that the sample does not show keeps a vote.
-    for w in listed:
-        if not mass[w] and not plain[w]:
+    for w, i in zip(listed, numbers.tolist()):
+        if not mass[i] and not plain[i]:
             learned[w] = 4.0
     return ToxicityModel(learned, float(weight[-1]))
 
