@@ -17,6 +17,10 @@ from costmart.schema import FEED_TIME_FORMAT
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+# One or two digits for day, month, hour and minute, four for the year.
+TIME_PATTERN = r"^\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{1,2}\z"
+
+
 def parse_timestamp(text: Column, fmt: str = FEED_TIME_FORMAT) -> Column:
     """'dd/mm/yyyy HH:MM' text -> timestamp_ntz; unparsable -> NULL.
 
@@ -24,7 +28,8 @@ def parse_timestamp(text: Column, fmt: str = FEED_TIME_FORMAT) -> Column:
     month, hour and minute are accepted; leading or trailing blanks are not.
     """
     squeezed = F.regexp_replace(text, r"\s+", " ")
-    return F.try_to_timestamp(squeezed, F.lit(fmt)).cast("timestamp_ntz")
+    shaped = F.when(text.rlike(TIME_PATTERN), squeezed) if fmt == FEED_TIME_FORMAT else squeezed
+    return F.try_to_timestamp(shaped, F.lit(fmt)).cast("timestamp_ntz")
 
 
 def strip_thousands(text: Column) -> Column:
@@ -33,5 +38,5 @@ def strip_thousands(text: Column) -> Column:
 
 def parse_amount(text: Column, precision: int = 18, scale: int = 2) -> Column:
     """'1,234.50' -> decimal; non-numbers, overflow -> NULL."""
-    plain = F.trim(strip_thousands(text))
+    plain = F.regexp_replace(strip_thousands(text), r"^\s+|\s+$", "")
     return F.when(plain.rlike(NUMBER_PATTERN), plain).try_cast(f"decimal({precision},{scale})")

@@ -94,9 +94,21 @@ def mode_or(df: DataFrame, keys: Sequence[str], value: str, out: str,
     """A2: the most frequent non-null value (ties -> smallest).
 
     Keys whose values are all null get no row; callers left-join and
-    ``coalesce`` to their default (see ``marts.patient_summary``).
+    ``coalesce`` to their default (see ``marts.patient_summary``), or use
+    ``mode_or_default``.
     """
     counts = _value_counts(df, keys, value, count_col)
     w = Window.partitionBy(*keys).orderBy(F.desc(_N), F.col(value))
     return (counts.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1)
             .select(*keys, F.col(value).alias(out)))
+
+
+def mode_or_default(df: DataFrame, keys: Sequence[str], value: str, out: str,
+                    default: str) -> DataFrame:
+    """A2 for every key, in one pass: NULL ranks behind all values, so a key
+    without any gets ``default``."""
+    counts = (df.where(_not_null(keys)).groupBy(*keys, value)
+              .agg(F.count(F.lit(1)).alias(_N)))
+    w = Window.partitionBy(*keys).orderBy(F.col(value).isNull(), F.desc(_N), F.col(value))
+    return (counts.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1)
+            .select(*keys, F.coalesce(value, F.lit(default)).alias(out)))

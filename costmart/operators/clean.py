@@ -45,7 +45,8 @@ def clean(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
 
 def row_audit(raw: DataFrame, spec: FilterSpec | None = None,
               cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    """Raw, clean and filtered row counts in one pass over the raw table."""
+    """Raw, clean and filtered row counts in one pass over the raw table
+    (and malformed lines, if the feeds were read with ``malformed="mark"``)."""
     t = parse_timestamp(F.col(cols.time))
     valid = (~is_header_row(cols)) & t.isNotNull() & parse_amount(F.col(cols.cost)).isNotNull()
     staged = raw.withColumn("_valid", valid).withColumns(calendar_columns(t, cols))
@@ -56,4 +57,5 @@ def row_audit(raw: DataFrame, spec: FilterSpec | None = None,
         F.count(F.lit(1)).alias("n_raw"),
         F.count_if(F.col("_valid")).alias("n_clean"),
         F.count_if(kept).alias("n_filtered"),
+        *([F.count_if("malformed").alias("n_malformed")] if "malformed" in raw.columns else []),
     )

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from costmart.session import ensure_checkpoint_dir
 
 NULL_TEXT = "nan"
+#: Rows of a code table that may be broadcast, and salts of the join beyond it.
+BROADCAST_CODES, SALTS = 200_000, 16
 
 
 def code_key(c: Column | str) -> Column:
@@ -62,12 +64,21 @@ def fit_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Add ``<column>_encoded``. The code table is joined on its value; Spark
-    broadcasts it only if its size is under the broadcast threshold."""
+    """Add ``<column>_encoded``.
+
+    A code table counted to be of at most ``BROADCAST_CODES`` rows is
+    broadcast, so the rows are not shuffled on the column. A larger one is
+    joined on the value and a salt: it is repeated ``SALTS`` times, and a hot
+    value's rows go to as many tasks.
+    """
     out = out or f"{column}_encoded"
     keyed = df.withColumn("_code_key", code_key(column))
     c = codes.withColumnRenamed("value", "_code_key").withColumnRenamed("code", out)
-    return keyed.join(c, "_code_key", "left").drop("_code_key")
+    if c.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES:
+        return keyed.join(F.broadcast(c), "_code_key", "left").drop("_code_key")
+    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    c = c.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.join(c, ["_code_key", "_salt"], "left").drop("_code_key", "_salt")
 
 
 def encode(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -33,6 +33,7 @@ from costmart.schema import (
     UNKNOWN,
     Columns,
 )
+from costmart.session import materialise
 
 
 def money(c: Column) -> Column:
@@ -71,11 +72,13 @@ def kpis(df: DataFrame, cols: Columns = DEFAULT_COLUMNS, exact: bool = True) ->
 
 
 def kpi_display(k: DataFrame) -> DataFrame:
-    """G1 as shown: money as 'Rp 1,234', counts with thousands separators."""
+    """G1 as shown: money as 'Rp 1,234'; rows and patients with thousands
+    separators, clinics, doctors and payers as plain numbers."""
     return k.select(
         *[rupiah(c).alias(f"{c}_text") for c in ("total", "mean", "max", "min")],
-        *[count_text(c).alias(f"{c}_text")
-          for c in ("n_rows", "n_patients", "n_clinics", "n_doctors", "n_payers")])
+        *[count_text(c).alias(f"{c}_text") for c in ("n_rows", "n_patients")],
+        *[F.col(c).cast("string").alias(f"{c}_text")
+          for c in ("n_clinics", "n_doctors", "n_payers")])
 
 
 def filter_stats(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
@@ -202,36 +205,40 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
 
 
 # --------------------------------------------------------------------- G12, G13
+def patient_grain(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
+                  order_by: Sequence[str] | None = None) -> DataFrame:
+    """One row per (patient, clinic, doctor, payer): sum, counts, first row order."""
+    order = list(order_by or cols.row_order(df.columns))
+    return (_nonnull(df, cols.patient, cols.patient_id)
+            .groupBy(cols.patient, cols.patient_id, cols.clinic, cols.doctor, cols.payer).agg(
+                F.sum(cols.cost).alias("_sum"),
+                F.count(cols.cost).alias("_cnt"),
+                F.count(F.lit(1)).alias("_rows"),
+                F.min(order_value(order)).alias("_first")))
+
+
 def patient_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
                     order_by: Sequence[str] | None = None) -> DataFrame:
     """Per (patient name, patient id): total, mean, visit count, the first
     3 distinct clinics and first 2 distinct doctors in row order, and the main
     payer (mode, else 'Tidak Diketahui').
 
-    One pass over the rows: they are first aggregated to one row per
-    (patient, clinic, doctor, payer) carrying the sum, counts and the smallest
-    order struct. That aggregate is shuffled once and reused (same exchange)
-    by the totals, both first-k lists and the mode, which then work on the
-    reduced rows. The parts come out hash-partitioned on the patient key, so
-    the final joins add no shuffle. The one mart that grows with the data (a
-    row per patient); sorting by total is left to the consumer (``export``).
+    The rows are aggregated once to ``patient_grain``, which is written to the
+    shared folder when this function is called: one scan and one shuffle of
+    the rows. The totals, both first-k lists and the mode read that table.
+    The one mart that grows with the data (a row per patient); sorting by total
+    is left to the consumer (``export``).
     """
     keys = [cols.patient, cols.patient_id]
-    order = list(order_by or cols.order_by)
-    grain = _nonnull(df, *keys).groupBy(*keys, cols.clinic, cols.doctor, cols.payer).agg(
-        F.sum(cols.cost).alias("_sum"),
-        F.count(cols.cost).alias("_cnt"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.min(order_value(order)).alias("_first"),
-    )
+    grain = materialise(patient_grain(df, cols, order_by), "patient-grain")
     totals = grain.groupBy(*keys).agg(
         money(F.sum("_sum")).alias("total_cost"),
         F.try_divide(F.sum("_sum").cast("double"), F.sum("_cnt")).alias("mean_cost"),
         F.sum("_cnt").alias("n_visits"),
     )
-    clinics = first_k_distinct(grain, keys, cols.clinic, FIRST_CLINICS, order, "clinics",
+    clinics = first_k_distinct(grain, keys, cols.clinic, FIRST_CLINICS, [], "clinics",
                                first_col="_first")
-    doctors = first_k_distinct(grain, keys, cols.doctor, FIRST_DOCTORS, order, "doctors",
+    doctors = first_k_distinct(grain, keys, cols.doctor, FIRST_DOCTORS, [], "doctors",
                                first_col="_first")
     payer = mode_or(grain, keys, cols.payer, "main_payer", count_col="_rows")
     return (totals.join(clinics, keys, "left").join(doctors, keys, "left")
@@ -242,33 +249,46 @@ def patient_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
                     F.coalesce("main_payer", F.lit(UNKNOWN)).alias("main_payer")))
 
 
+def payer_grain(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
+    """Rows per (payer, clinic), (payer, doctor) and (payer, patient) in one pass.
+
+    Grouping sets: each set has few keys, so a task sums a hot payer up before
+    the one shuffle. ``_part`` names the set of a row.
+    """
+    key = cols.payer
+    sets = [[key, cols.clinic], [key, cols.doctor], [key, cols.patient_id]]
+    clinic_set, doctor_set = 0b011, 0b101     # bits of the columns left out, in order
+    return (_nonnull(df, key).groupingSets(sets, key, cols.clinic, cols.doctor, cols.patient_id)
+            .agg(F.grouping_id().alias("_set"),
+                 F.sum(cols.cost).alias("_sum"), F.count(cols.cost).alias("_cnt"),
+                 F.min(cols.cost).alias("_min"), F.max(cols.cost).alias("_max"),
+                 F.count(F.lit(1)).alias("_rows"))
+            .withColumn("_part", F.when(F.col("_set") == clinic_set, "clinic")
+                        .when(F.col("_set") == doctor_set, "doctor").otherwise("patient"))
+            .drop("_set"))
+
+
 def payer_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
     """Per payer: total, mean, min, max, count, distinct patients, and the
     3 most frequent clinics and doctors. Sorted by total, descending.
 
-    As in ``patient_summary``, one aggregate at (payer, patient, clinic,
-    doctor) grain feeds all three parts through one reused shuffle. A hot
-    payer is collapsed by the partial aggregate before that shuffle.
+    ``payer_grain`` is written to the shared folder when this function is
+    called (one scan and one shuffle of the rows); the three parts read it.
     """
     key = cols.payer
-    grain = _nonnull(df, key).groupBy(key, cols.patient_id, cols.clinic, cols.doctor).agg(
-        F.sum(cols.cost).alias("_sum"),
-        F.count(cols.cost).alias("_cnt"),
-        F.min(cols.cost).alias("_min"),
-        F.max(cols.cost).alias("_max"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    stats = grain.groupBy(key).agg(
+    grain = materialise(payer_grain(df, cols), "payer-grain")
+    part = lambda name: grain.where(F.col("_part") == name)
+    stats = part("patient").groupBy(key).agg(
         money(F.sum("_sum")).alias("total_cost"),
         F.try_divide(F.sum("_sum").cast("double"), F.sum("_cnt")).alias("mean_cost"),
         money(F.min("_min")).alias("min_cost"),
         money(F.max("_max")).alias("max_cost"),
         F.sum("_cnt").alias("n_rows"),
-        F.count_distinct(cols.patient_id).alias("n_patients"),
+        F.count(cols.patient_id).alias("n_patients"),   # one row per patient
     )
-    clinics = top_k_values(grain, [key], cols.clinic, TOP_PER_PAYER, "top_clinics",
+    clinics = top_k_values(part("clinic"), [key], cols.clinic, TOP_PER_PAYER, "top_clinics",
                            count_col="_rows")
-    doctors = top_k_values(grain, [key], cols.doctor, TOP_PER_PAYER, "top_doctors",
+    doctors = top_k_values(part("doctor"), [key], cols.doctor, TOP_PER_PAYER, "top_doctors",
                            count_col="_rows")
     return (stats.join(clinics, key, "left").join(doctors, key, "left")
             .select(key, "total_cost", "mean_cost", "min_cost", "max_cost", "n_rows", "n_patients",

@@ -15,7 +15,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costmart.functions.textfmt import abs_error
+from costmart.functions.textfmt import abs_error, rupiah
 from costmart.schema import FEATURES, MIN_MODEL_ROWS, SAMPLE_POINTS
 from costmart.session import ensure_checkpoint_dir
 
@@ -86,9 +86,10 @@ def metrics(pred: DataFrame, actual: str = "actual", prediction: str = "predicti
             digits: int = 4) -> DataFrame:
     """M5 + M6: one row (n, mae, rmse, r2, quality) in a single aggregate pass.
 
-    The total sum of squares is Σy² − (Σy)²/n, so no second pass over the
-    predictions is needed (they may come from a model, which Spark treats as
-    non-deterministic). R² is NULL for a constant label."""
+    The total sum of squares is n times the population variance, which Spark
+    merges from centred moments: one pass, and no cancellation when the labels
+    are large against their spread. A constant label gives R² = 1 if every
+    prediction is exact, else 0."""
     y, p = F.col(actual).cast("double"), F.col(prediction).cast("double")
     err = y - p
     parts = pred.agg(
@@ -96,20 +97,33 @@ def metrics(pred: DataFrame, actual: str = "actual", prediction: str = "predicti
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sum(err * err).alias("_sse"),
-        F.sum(y).alias("_sy"),
-        F.sum(y * y).alias("_syy"),
+        (F.count(y) * F.var_pop(y)).alias("_sst"),
+        (F.min(y) == F.max(y)).alias("_constant"),
     )
-    ss_tot = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
     out = parts.withColumn(
-        "r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.when(ss_tot != 0, ss_tot)))
+        "r2", F.when(F.col("_constant"), F.when(F.col("_sse") == 0, 1.0).otherwise(0.0))
+        .otherwise(F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))))
     return out.select(
         "n", F.round("mae", digits).alias("mae"), F.round("rmse", digits).alias("rmse"),
         F.round("r2", digits).alias("r2"), quality_band("r2").alias("quality"))
 
 
+def metrics_display(m: DataFrame) -> DataFrame:
+    """M5 + M6 as shown: errors as 'Rp 1,234', R² with four digits, the band."""
+    return m.select("n", rupiah("mae").alias("mae_text"), rupiah("rmse").alias("rmse_text"),
+                    F.format_string("%.4f", "r2").alias("r2_text"), "quality")
+
+
+def data_counts(split: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Rows in all, for training and for testing, and the number of features."""
+    return split.agg(F.count(F.lit(1)).alias("n_total"), F.count_if("is_train").alias("n_train"),
+                     F.count_if(~F.col("is_train")).alias("n_test"),
+                     F.lit(len(features)).alias("n_features"))
+
+
 def sample_pairs(pred: DataFrame, key: Column | str, n: int = SAMPLE_POINTS,
                  seed: int = 42) -> DataFrame:
-    """M7: n rows in md5('seed|key') order — a repeatable top-k, no full sort."""
+    """M7: n rows in md5('seed|key') order: a repeatable top-k."""
     k = F.col(key) if isinstance(key, str) else key
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), k))
     return (pred.withColumn("_h", order).orderBy("_h").limit(n)

@@ -15,7 +15,8 @@ from costmart.functions import textfmt
 from costmart.operators import aggregates, filters, marts, options
 from costmart.plans.oracle import with_billing
 from costmart.schema import ALL_CLINICS, ALL_DOCTORS, ALL_PAYERS, DEFAULT_COLUMNS as C, UNKNOWN
-from costmart.sources.fixture import ORDER_KEY, billing
+from costmart.session import materialise
+from costmart.sources.fixture import ORDER_KEY, billing, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,8 +53,8 @@ def q_kpi_summary(spark, sf_dir):
 SELECT format('Rp {{:,.0f}}', total) AS total_text, format('Rp {{:,.0f}}', mean) AS mean_text,
        format('Rp {{:,.0f}}', max) AS max_text, format('Rp {{:,.0f}}', min) AS min_text,
        format('{{:,}}', n_rows) AS n_rows_text, format('{{:,}}', n_patients) AS n_patients_text,
-       format('{{:,}}', n_clinics) AS n_clinics_text, format('{{:,}}', n_doctors) AS n_doctors_text,
-       format('{{:,}}', n_payers) AS n_payers_text
+       CAST(n_clinics AS VARCHAR) AS n_clinics_text, CAST(n_doctors AS VARCHAR) AS n_doctors_text,
+       CAST(n_payers AS VARCHAR) AS n_payers_text
 FROM (SELECT CAST(sum(biaya) AS DOUBLE) AS total, {MEAN} AS mean,
              CAST(max(biaya) AS DOUBLE) AS max, CAST(min(biaya) AS DOUBLE) AS min,
              count(*) AS n_rows, count(DISTINCT id_pasien) AS n_patients,
@@ -177,12 +178,13 @@ def q_cost_histogram(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- A1 – A3
-def _first_k_cte(name: str, keys: str, value: str, k: int, base: str = "billing") -> str:
+def _first_k_cte(name: str, keys: str, value: str, k: int, base: str = "billing",
+                 order: str = ORDER_SQL) -> str:
     return f"""
-{name}_f AS (SELECT {keys}, {value} AS v, {ORDER_SQL},
-                    row_number() OVER (PARTITION BY {keys}, {value} ORDER BY {ORDER_SQL}) AS r
+{name}_f AS (SELECT {keys}, {value} AS v, {order},
+                    row_number() OVER (PARTITION BY {keys}, {value} ORDER BY {order}) AS r
              FROM {base} WHERE {value} IS NOT NULL),
-{name}_r AS (SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY {ORDER_SQL}, v) AS rn
+{name}_r AS (SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY {order}, v) AS rn
              FROM {name}_f WHERE r = 1),
 {name} AS (SELECT {keys}, string_agg(v, ', ' ORDER BY rn) AS {name}
            FROM {name}_r WHERE rn <= {k} GROUP BY {keys})"""
@@ -223,11 +225,8 @@ LEFT JOIN (SELECT dokter, v AS main_payer FROM (
              FROM billing WHERE dokter IS NOT NULL AND jenis_jaminan IS NOT NULL
              GROUP BY dokter, jenis_jaminan) WHERE rn = 1) m ON k.dokter = m.dokter"""))
 def q_main_payer(spark, sf_dir):
-    b = billing(spark, sf_dir).where(F.col(C.doctor).isNotNull())
-    keys = b.select(C.doctor).distinct()
-    modes = aggregates.mode_or(b, [C.doctor], C.payer, "main_payer")
-    return keys.join(modes, C.doctor, "left").select(
-        C.doctor, F.coalesce("main_payer", F.lit(UNKNOWN)).alias("main_payer"))
+    return aggregates.mode_or_default(billing(spark, sf_dir), [C.doctor], C.payer, "main_payer",
+                                      UNKNOWN)
 
 
 # ----------------------------------------------------------------- G12 / G13
@@ -279,7 +278,7 @@ def q_payer_summary(spark, sf_dir):
 SELECT id_transaksi, waktu, tanggal, tahun, bulan, hari, hari_dlm_minggu, hari_dlm_bulan,
        bulan_tahun, minggu FROM billing"""))
 def q_calendar_features(spark, sf_dir):
-    return billing(spark, sf_dir).select(
+    return lines(spark, sf_dir).select(
         C.transaction, C.time, C.date, C.year, C.month, C.day, C.weekday, C.day_of_month,
         C.month_key, C.week)
 
@@ -343,7 +342,7 @@ def q_filter_range_fallback(spark, sf_dir):
     # Months chosen in reverse order: start > end, so the full range applies.
     bounds = filters.month_selection_range(["August 1997", "February 1996"])
     spec = filters.selection_spec("bulan", bounds)
-    return (filters.apply_filters(billing(spark, sf_dir), spec)
+    return (filters.apply_filters(lines(spark, sf_dir), spec)
             .groupBy(C.month_key).agg(F.count(F.lit(1)).alias("n_rows")))
 
 
@@ -354,29 +353,62 @@ def q_filter_month_selection(spark, sf_dir):
     # The first and last month *in selection order* are the ends.
     bounds = filters.month_selection_range(["February 1996", "May 1996", "March 1997"])
     spec = filters.selection_spec("bulan", bounds)
-    return (filters.apply_filters(billing(spark, sf_dir), spec)
+    return (filters.apply_filters(lines(spark, sf_dir), spec)
             .groupBy(C.month_key).agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+@query("filter_year_selection", with_billing("""
+SELECT tahun, count(*) AS n_rows FROM billing
+WHERE tahun BETWEEN 1996 AND 1999 GROUP BY tahun"""))
+def q_filter_year_selection(spark, sf_dir):
+    """F8 for years: the first and last year in selection order are the ends."""
+    bounds = filters.year_selection_range(["1996", "1998", "1999"])
+    spec = filters.selection_spec("tahun", bounds)
+    return (filters.apply_filters(lines(spark, sf_dir), spec)
+            .groupBy(C.year).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@query("filter_default_months", with_billing("""
+SELECT bulan_tahun, count(*) AS n_rows FROM billing
+WHERE bulan_tahun <= (SELECT max(bulan_tahun) FROM (
+  SELECT DISTINCT bulan_tahun FROM billing ORDER BY bulan_tahun LIMIT 2)) GROUP BY bulan_tahun"""))
+def q_filter_default_months(spark, sf_dir):
+    """F8: the default month selection, the first two month options."""
+    rows = lines(spark, sf_dir)
+    labels = [r["label"] for r in options.month_options(rows).orderBy(C.month_key).limit(2).collect()]
+    spec = filters.selection_spec("bulan", filters.month_selection_range(labels))
+    return (filters.apply_filters(rows, spec)
+            .groupBy(C.month_key).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@query("filter_top_clinics", with_billing(f"""
+SELECT {ROW_VIEW_SQL} FROM billing WHERE poli IN (
+  SELECT poli FROM billing WHERE poli IS NOT NULL GROUP BY poli
+  ORDER BY count(*) DESC, poli LIMIT 10)"""))
+def q_filter_top_clinics(spark, sf_dir):
+    """the rows of the ten clinics with the most rows."""
+    return _rows(filters.keep_top_keys(billing(spark, sf_dir), C.clinic, 10))
+
+
 # ----------------------------------------------------------------- O1 – O5
 @query("date_bounds", with_billing("""
 SELECT coalesce(min(tanggal), DATE '2025-01-01') AS min_date,
        coalesce(max(tanggal), DATE '2025-11-30') AS max_date FROM billing"""))
 def q_date_bounds(spark, sf_dir):
-    return options.date_bounds(billing(spark, sf_dir))
+    return options.date_bounds(lines(spark, sf_dir))
 
 
 @query("month_options", with_billing("""
 SELECT DISTINCT bulan_tahun,
        strftime(strptime(bulan_tahun || '-01', '%Y-%m-%d'), '%B %Y') AS label FROM billing"""))
 def q_month_options(spark, sf_dir):
-    return options.month_options(billing(spark, sf_dir))
+    return options.month_options(lines(spark, sf_dir))
 
 
 @query("year_options", with_billing("""
 SELECT DISTINCT CAST(tahun AS VARCHAR) AS year FROM billing"""))
 def q_year_options(spark, sf_dir):
-    return options.year_options(billing(spark, sf_dir))
+    return options.year_options(lines(spark, sf_dir))
 
 
 @query("value_options", with_billing(f"""
@@ -409,7 +441,7 @@ SELECT DISTINCT bulan_tahun,
        strftime(strptime(bulan_tahun || '-01', '%Y-%m-%d'), '%B %Y') AS label,
        CAST(bulan_tahun || '-01' AS DATE) AS first_day FROM billing"""))
 def q_month_label_parse(spark, sf_dir):
-    return options.month_options(billing(spark, sf_dir)).withColumn(
+    return options.month_options(lines(spark, sf_dir)).withColumn(
         "first_day", options.month_label_to_date("label"))
 
 
@@ -448,8 +480,8 @@ def q_truncate_label(spark, sf_dir):
 
 # ----------------------------------------------------------------- S1 – S8, C1 – C6
 # Text rows appended to feed A — a header line read as data
-# and edge cases of the time and amount parsers (C2, C3, S6). The first three
-# survive cleaning, the rest are dropped.
+# and edge cases of the time and amount parsers (C2, C3, S6). Those in
+# EDGE_CLEAN survive cleaning, the rest are dropped.
 EDGE_ROWS_A = [
     ("id_transaksi", "id_pasien", "no_urut", "nama_pasien", "waktu", "dokter", "jenis_layanan",
      "poli", "sumber_pembayaran", "biaya", "diskon", "flag"),
@@ -473,11 +505,18 @@ EDGE_ROWS_A = [
      "2-HIGH", "100", "0.00", "O"),
     ("E-10", "P-2", "8", "Edge Patient Two", "05/01/2025 10:00", "Edge Doctor", "N", "Brand#E",
      "2-HIGH", "inf", "0.00", "O"),
+    ("E-11", "P-3", "1", "Edge Patient Three", "7/2/2025 8:30", "Edge Doctor", "N", "Brand#E",
+     "2-HIGH", "\t5\t", "0.00", "O"),
+    *((f"E-{12 + i}", "P-2", "9", "Edge Patient Two", time, "Edge Doctor", "N", "Brand#E",
+       "2-HIGH", "100", "0.00", "O") for i, time in enumerate((
+           "005/01/2025 10:00", "05/001/2025 10:00", "5/1/2025 010:005", "0005/1/2025 9:5",
+           "5/1/+12025 10:00"))),
 ]
 # Expected typed values of the surviving edge rows: (id, time, amount).
 EDGE_CLEAN = [("E-1", "2025-01-05 09:05:00", "1234567.89"),
               ("E-2", "2025-01-05 10:00:00", "5"),
-              ("E-3", "2024-02-29 00:00:00", "123")]
+              ("E-3", "2024-02-29 00:00:00", "123"),
+              ("E-11", "2025-02-07 08:30:00", "5")]
 
 
 def _sql_text(v) -> str:
@@ -522,14 +561,15 @@ def _edge_values_clean() -> str:
     return ",\n  ".join(rows)
 
 
-def _feeds(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def _feeds(spark: SparkSession, sf_dir: str, feed_b: bool = True) -> tuple[str, str]:
     """Render the tables as the two CSV feeds (plus the edge rows) in a fresh
     folder below the shared checkpoint folder."""
     from costmart.schema import FEED_A_COLUMNS, string_schema
     from costmart.session import shared_dir
     from costmart.sources.derive import write_feeds
     edge = spark.createDataFrame(EDGE_ROWS_A, string_schema(FEED_A_COLUMNS))
-    return write_feeds(billing(spark, sf_dir), shared_dir(spark, "feeds"), extra_a=edge)
+    return write_feeds(billing(spark, sf_dir), shared_dir(spark, "feeds"), extra_a=edge,
+                       feed_b=feed_b)
 
 
 def _read_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -555,7 +595,24 @@ SELECT * FROM (VALUES
      jenis_layanan, poli, sumber_pembayaran, biaya, diskon, flag, jenis_jaminan)"""))
 def q_ingest_union(spark, sf_dir):
     """Both feeds read, renamed, unioned by name, NA words -> NULL."""
-    return _read_unified(spark, sf_dir)
+    from costmart.schema import CANONICAL
+    return _read_unified(spark, sf_dir).select(*CANONICAL)
+
+
+FEED_ORDER = ["feed", "waktu", "id_transaksi"]
+
+
+@query("first_k_feed_order", with_billing(
+    "SELECT nama_pasien, first_clinics FROM first_clinics",
+    "base AS (SELECT *, CASE WHEN flag = 'O' THEN 0 ELSE 1 END AS feed FROM billing"
+    " WHERE nama_pasien IS NOT NULL),"
+    + _first_k_cte("first_clinics", "nama_pasien", "poli", 3, "base", ", ".join(FEED_ORDER))))
+def q_first_k_feed_order(spark, sf_dir):
+    """A1 in feed order (D6): feed A's rows come before feed B's, whatever their time."""
+    from costmart.operators.clean import clean
+    rows = clean(_read_unified(spark, sf_dir)).where(~F.col("id_transaksi").startswith("E-"))
+    return aggregates.first_k_distinct(rows, [C.patient], C.clinic, 3,
+                                       C.row_order(rows.columns), "first_clinics")
 
 
 CLEAN_COLS = ["id_transaksi", "id_pasien", "nama_pasien", "waktu", "biaya", "tanggal", "tahun",
@@ -598,12 +655,12 @@ SELECT id_transaksi, sumber_pembayaran, sumber_pembayaran AS jenis_jaminan
 FROM billing WHERE flag = 'O'
 UNION ALL
 SELECT * FROM (VALUES ('E-1', '1-URGENT', '1-URGENT'), ('E-2', '1-URGENT', '1-URGENT'),
-                      ('E-3', '2-HIGH', '2-HIGH')) AS e(id_transaksi, sumber_pembayaran, jenis_jaminan)"""))
+                      ('E-3', '2-HIGH', '2-HIGH'), ('E-11', '2-HIGH', '2-HIGH')) AS e(id_transaksi, sumber_pembayaran, jenis_jaminan)"""))
 def q_payer_default(spark, sf_dir):
     """Feed A alone has no payer column; it is filled from the source."""
     from costmart.operators.clean import clean
     from costmart.sources.feeds import feed_a, read_feed
-    path_a, _ = _feeds(spark, sf_dir)
+    path_a, _ = _feeds(spark, sf_dir, feed_b=False)
     cleaned = clean(read_feed(spark, feed_a(path_a)))
     return cleaned.select("id_transaksi", "sumber_pembayaran", "jenis_jaminan")
 
@@ -711,7 +768,7 @@ SELECT row_key, {SPLIT_SQL} AS is_train FROM billing"""))
 def q_train_test_split(spark, sf_dir):
     from costmart.operators.predict import hash_split
     from costmart.sources.fixture import row_key
-    b = billing(spark, sf_dir).withColumn("row_key", row_key())
+    b = lines(spark, sf_dir).withColumn("row_key", row_key())
     return hash_split(b, "row_key", seed=42).select("row_key", "is_train")
 
 
@@ -728,7 +785,10 @@ def _group_mean_pred(spark, sf_dir) -> DataFrame:
     from costmart.operators.predict import group_mean_predictions, hash_split
     from costmart.sources.fixture import row_key
     b = billing(spark, sf_dir).withColumn("row_key", row_key())
-    return group_mean_predictions(hash_split(b, "row_key", 42), C.clinic, keep=["row_key"])
+    # Written once: the means, the overall mean and the test rows all read it.
+    split = materialise(hash_split(b, "row_key", 42).select("row_key", C.clinic, C.cost, "is_train"),
+                        "split")
+    return group_mean_predictions(split, C.clinic, keep=["row_key"])
 
 
 @query("regression_metrics", with_billing("""
@@ -736,12 +796,14 @@ SELECT n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 4) AS r2,
        CASE WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.5 THEN 'fair' WHEN r2 > 0.3 THEN 'moderate'
             ELSE 'low' END AS quality
 FROM (SELECT n, mae, rmse,
-             1.0 - sse / nullif(syy - sy * sy / n, 0) AS r2
+             CASE WHEN lo = hi THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END
+                  ELSE 1.0 - sse / sst END AS r2
       FROM (SELECT count(*) AS n, avg(abs(actual - prediction)) AS mae,
                    sqrt(avg((actual - prediction) * (actual - prediction))) AS rmse,
                    sum((actual - prediction) * (actual - prediction)) AS sse,
-                   sum(actual) AS sy, sum(actual * actual) AS syy
-            FROM pred))""", GROUP_MEAN_CTE))
+                   sum((actual - mean) * (actual - mean)) AS sst,
+                   min(actual) AS lo, max(actual) AS hi
+            FROM pred, (SELECT avg(actual) AS mean FROM pred)))""", GROUP_MEAN_CTE))
 def q_regression_metrics(spark, sf_dir):
     """M5 + M6 on the group-mean predictor (SQL can compute it)."""
     from costmart.operators.predict import metrics
@@ -782,11 +844,8 @@ def q_ideal_line(spark, sf_dir):
     return ideal_line(sample_pairs(_group_mean_pred(spark, sf_dir), "row_key", 1000, 42))
 
 
-@query("forest_predict")
-def q_forest_predict(spark, sf_dir):
-    """M1–M4: random forest on the training part, predictions for the test
-    part. Rows-only check (no SQL forest). 20 trees of depth 5 keep the check
-    fast; the library default is 100 trees."""
+def _forest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The feature table and the forest's predictions for its test part."""
     from costmart.operators.predict import (
         feature_table,
         fit_forest,
@@ -795,12 +854,47 @@ def q_forest_predict(spark, sf_dir):
         require_rows,
     )
     coded = hash_split(_coded_billing(spark, sf_dir), "row_key", 42)
-    require_rows(coded)
-    # Materialised once in the shared checkpoint folder: the forest makes
-    # several passes over its input, and scoring reads it again.
-    table = feature_table(coded, keep=["row_key", "is_train"]).checkpoint()
-    model = fit_forest(table.where("is_train"), num_trees=20, max_depth=5)
-    return predict(model, table.where(~F.col("is_train")), keep=["row_key"])
+    # Written once: the forest makes several passes over its input, scoring
+    # reads it again, and the row guard reads it, not the joins below it.
+    table = materialise(feature_table(coded, keep=["row_key", "is_train"]), "features")
+    require_rows(table)
+    model = fit_forest(table.where("is_train"))
+    return table, predict(model, table.where(~F.col("is_train")), keep=["row_key"])
+
+
+@query("forest_predict", with_billing("""
+SELECT row_key, CAST(biaya AS DOUBLE) AS actual, true AS in_training_range, true AS error_is_gap
+FROM split WHERE NOT is_train""", f"split AS (SELECT *, {SPLIT_SQL} AS is_train FROM billing)"))
+def q_forest_predict(spark, sf_dir):
+    """M1–M4: the default random forest on the training part, its predictions for
+    the test part. SQL has no forest; it checks the test rows and labels, that
+    every prediction lies in the range of the training labels (a forest
+    averages them) and that the error is the gap of prediction and label."""
+    table, scored = _forest(spark, sf_dir)
+    bounds = table.where("is_train").select(
+        F.struct(F.min("label").alias("lo"), F.max("label").alias("hi"))).scalar()
+    return scored.withColumn("_b", bounds).select(
+        "row_key", "actual",
+        F.col("prediction").between(F.col("_b.lo"), F.col("_b.hi")).alias("in_training_range"),
+        (F.col("abs_error") == F.abs(F.col("actual") - F.col("prediction"))).alias("error_is_gap"))
+
+
+@query("forest_metrics")
+def q_forest_metrics(spark, sf_dir):
+    """M5 + M6 of the forest's own predictions, as text (rows-only: no SQL forest)."""
+    from costmart.operators.predict import metrics, metrics_display
+    return metrics_display(metrics(_forest(spark, sf_dir)[1]))
+
+
+@query("model_data", with_billing(f"""
+SELECT count(*) AS n_total, count(*) FILTER (WHERE {SPLIT_SQL}) AS n_train,
+       count(*) FILTER (WHERE NOT {SPLIT_SQL}) AS n_test, 6 AS n_features FROM billing"""))
+def q_model_data(spark, sf_dir):
+    """The model's data set: rows in all, for training, for testing; features."""
+    from costmart.operators.predict import data_counts, hash_split
+    from costmart.sources.fixture import row_key
+    rows = lines(spark, sf_dir).withColumn("row_key", row_key())
+    return data_counts(hash_split(rows, "row_key", 42))
 
 
 # ----------------------------------------------------------------- streaming ingest
@@ -820,7 +914,7 @@ def q_stream_ingest(spark, sf_dir):
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    table = read_table(spark, f"{base}/table")
+    table = read_table(spark, f"{base}/table")     # its batch folders are a column more
     return table.select(*[F.col(c).cast("double").alias(c) if c == "biaya"
                           else F.col(c).cast("string").alias(c) if c == "bulan_tahun"
                           else F.col(c) for c in CLEAN_COLS])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from costmart.operators import marts, predict
 from costmart.operators.encode import encode
 from costmart.operators.filters import FilterSpec, apply_filters
-from costmart.session import ensure_checkpoint_dir
+from costmart.session import ensure_checkpoint_dir, materialise
 from costmart.schema import (
     DEFAULT_COLUMNS,
     ENCODED,
@@ -42,7 +42,7 @@ class Dashboard:
         self.cols = cols
         self.cleaned = cleaned
         self.spec = spec
-        self.order_by = list(order_by or cols.order_by)
+        self.order_by = list(order_by or cols.row_order(cleaned.columns))
         used = {cols.patient, cols.patient_id, cols.clinic, cols.doctor, cols.payer, cols.cost,
                 cols.month_key, cols.date, *self.order_by}
         keep = [c for c in cleaned.columns if c in used]
@@ -74,7 +74,8 @@ class Dashboard:
                 f.result()
 
     def marts(self) -> dict[str, DataFrame]:
-        """Every table of entries 1 and 2 (lazy; each runs when consumed)."""
+        """Every table of entries 1 and 2. Each runs when consumed, but for the two
+        summaries, which write their grain tables here."""
         c, f = self.cols, self.filtered
         return {
             "kpis": marts.kpis(f, c),
@@ -100,11 +101,12 @@ class Dashboard:
         hash split of the filtered rows, forest, metrics, sample, ideal line."""
         coded = encode(apply_filters(self.cleaned, self.spec, self.cols), ENCODED,
                        fit_on=self.cleaned)
-        predict.require_rows(coded)
         # Written once to the shared checkpoint folder: the forest passes over
         # its input several times and scoring reads it again.
         table = predict.feature_table(predict.hash_split(coded, key, seed), FEATURES,
-                                      keep=[key, "is_train"]).checkpoint()
+                                      keep=[key, "is_train"])
+        table = materialise(table, "features")
+        predict.require_rows(table)
         model = predict.fit_forest(table.where("is_train"), num_trees=num_trees,
                                    max_depth=max_depth, seed=seed)
         scored = predict.predict(model, table.where("not is_train"), keep=[key])

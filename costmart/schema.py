@@ -37,8 +37,15 @@ class Columns:
     day_of_month: str = "hari_dlm_bulan"
     month_key: str = "bulan_tahun"
     week: str = "minggu"
-    # columns that fix the row order for "first k distinct" (decision D6)
-    order_by: tuple[str, ...] = field(default=("waktu", "id_transaksi"))
+    # place of the row's feed among the feeds (added by ``sources.feeds.unify``)
+    feed: str = "feed"
+    # columns that fix the row order for "first k distinct" (decision D6); a
+    # table without feeds leaves out the first
+    order_by: tuple[str, ...] = field(default=("feed", "waktu", "id_transaksi"))
+
+    def row_order(self, columns: list[str]) -> list[str]:
+        """The order columns that a table with ``columns`` has."""
+        return [c for c in self.order_by if c in columns]
 
 
 DEFAULT_COLUMNS = Columns()

@@ -10,7 +10,7 @@ CSV writes of the ``billing`` view.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from costmart.schema import FEED_A_COLUMNS, FEED_B_RENAME
@@ -42,20 +42,27 @@ def feed_b_frame(text: DataFrame) -> DataFrame:
         *[F.col(c).alias(source_name[c]) for c in FEED_B_RENAME.values()])
 
 
-def write_feeds(billing: DataFrame, base: str, extra_a: DataFrame | None = None) -> tuple[str, str]:
+def _exact(writer: DataFrameWriter) -> DataFrameWriter:
+    """Keep blanks at the ends of a value (Spark's writer trims them by default)."""
+    return (writer.option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False))
+
+
+def write_feeds(billing: DataFrame, base: str, extra_a: DataFrame | None = None,
+                feed_b: bool = True) -> tuple[str, str]:
     """Write feed A (plus optional extra text rows, e.g. a header line read as
-    data) and feed B below ``base``; return both paths."""
+    data) and feed B (unless left out) below ``base``; return both paths."""
     path_a, path_b = f"{base}/feed_a", f"{base}/feed_b"
     # Both layouts come from one pass over the view (kept until both are written).
     text = _as_feed_text(billing).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        feed_a_frame(text).write.mode("overwrite").option("sep", ",").csv(path_a)
+        _exact(feed_a_frame(text).write.mode("overwrite")).option("sep", ",").csv(path_a)
         if extra_a is not None:
-            (extra_a.select(*FEED_A_COLUMNS).write.mode("append").option("sep", ",")
-             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            (_exact(extra_a.select(*FEED_A_COLUMNS).write.mode("append")).option("sep", ",")
              .csv(path_a))
-        (feed_b_frame(text).write.mode("overwrite").option("sep", ";")
-         .option("header", True).csv(path_b))
+        if feed_b:
+            (_exact(feed_b_frame(text).write.mode("overwrite")).option("sep", ";")
+             .option("header", True).csv(path_b))
     finally:
         text.unpersist()
     return path_a, path_b

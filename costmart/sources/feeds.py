@@ -12,9 +12,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from costmart.schema import (
     CANONICAL,
+    DEFAULT_COLUMNS,
     FEED_A_COLUMNS,
     FEED_B_RENAME,
     NA_TOKENS,
@@ -29,6 +31,9 @@ class FeedSpec:
     ``columns``: names by position for a headerless feed (its width is checked).
     ``rename``: source header name -> canonical name for a feed with a header.
     ``copy_payer``: copy the payer into ``sumber_pembayaran`` (feed B).
+    ``malformed``: ``raise`` fails the job on a line with surplus fields;
+    ``mark`` keeps such lines and flags them in a boolean column ``malformed``.
+    Lines that are too short get NULLs for the missing fields.
     """
 
     path: str
@@ -38,6 +43,7 @@ class FeedSpec:
     rename: dict[str, str] = field(default_factory=dict)
     copy_payer: bool = False
     encoding: str = "UTF-8"
+    malformed: str = "raise"
 
 
 def feed_a(path: str) -> FeedSpec:
@@ -51,7 +57,33 @@ def feed_b(path: str) -> FeedSpec:
 def _reader(spark: SparkSession, spec: FeedSpec):
     return (spark.read.option("sep", spec.sep).option("header", spec.header)
             .option("encoding", spec.encoding).option("escape", '"')
-            .option("mode", "PERMISSIVE"))
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            # Every field is parsed, else a count would not see a surplus one.
+            .option("columnPruning", False))
+
+
+CORRUPT = "_corrupt_record"
+
+
+def landing_schema(names: Sequence[str]) -> T.StructType:
+    """The feed's text columns and the raw line of any row of another width."""
+    return string_schema([*names, CORRUPT])
+
+
+def check_width(df: DataFrame, spec: FeedSpec, width: int) -> DataFrame:
+    """Fail on, or flag, lines with more than ``width`` fields; no field is lost unseen."""
+    bare = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(spec.sep), F.lit(""))) + 1
+    # Spark does not answer queries of the raw line alone, so the first field is looked at too.
+    seen = F.coalesce(F.length(F.col(f"`{df.columns[0]}`")), F.lit(0)) >= 0
+    surplus = F.when(fields > width, seen).otherwise(F.lit(False))
+    if spec.malformed == "mark":
+        return df.withColumn("malformed", surplus).drop(CORRUPT)
+    if spec.malformed != "raise":
+        raise ValueError(f"malformed must be 'raise' or 'mark', not {spec.malformed!r}")
+    message = F.concat(F.lit(f"{spec.path}: more than {width} fields: "), F.col(CORRUPT))
+    passed = F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return df.where(passed).drop(CORRUPT)
 
 
 def read_feed(spark: SparkSession, spec: FeedSpec) -> DataFrame:
@@ -62,10 +94,14 @@ def read_feed(spark: SparkSession, spec: FeedSpec) -> DataFrame:
         if width != len(spec.columns):
             raise ValueError(
                 f"{spec.path}: expected {len(spec.columns)} columns, found {width}")
-        df = _reader(spark, spec).schema(string_schema(list(spec.columns))).csv(spec.path)
+        df = _reader(spark, spec).schema(landing_schema(spec.columns)).csv(spec.path)
+        df = check_width(df, spec, width)
     else:
-        df = _reader(spark, spec).csv(spec.path)          # header names, all text
-        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+        names = _reader(spark, spec).csv(spec.path).columns
+        # enforceSchema off: every file's header must have these names in this order.
+        df = (_reader(spark, spec).option("enforceSchema", False)
+              .schema(landing_schema(names)).csv(spec.path))
+        df = check_width(df, spec, len(names))
         if spec.rename:
             df = df.withColumnsRenamed(spec.rename)        # S3
     if spec.copy_payer and "jenis_jaminan" in df.columns:
@@ -80,14 +116,18 @@ def null_tokens(c: Column, tokens: Sequence[str] = NA_TOKENS) -> Column:
 
 def unify(feeds: Sequence[DataFrame], columns: Sequence[str] = CANONICAL) -> DataFrame:
     """S5 + S6: union by name (missing columns -> NULL, duplicates kept), the
-    canonical columns in order, NA words -> NULL."""
-    out = feeds[0]
-    for f in feeds[1:]:
+    canonical columns in order, NA words -> NULL; then the feed's place in
+    ``feeds`` (``feed``), which comes first in the row order."""
+    numbered = [f.withColumn(DEFAULT_COLUMNS.feed, F.lit(i)) for i, f in enumerate(feeds)]
+    out = numbered[0]
+    for f in numbered[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     for c in columns:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
-    return out.select(*[null_tokens(F.col(c).cast("string")).alias(c) for c in columns])
+    marks = [c for c in ("malformed",) if c in out.columns]
+    return out.select(*[null_tokens(F.col(c).cast("string")).alias(c) for c in columns],
+                      DEFAULT_COLUMNS.feed, *marks)
 
 
 def read_feeds(spark: SparkSession, specs: Sequence[FeedSpec]) -> DataFrame:

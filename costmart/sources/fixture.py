@@ -85,6 +85,26 @@ def billing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``billing`` that needs the fact table only, with calendar columns.
+
+    Every fact row has its order, part and supplier, so the rows are those of
+    ``billing``; queries that need no name of a patient, clinic, doctor or
+    payer read this and spare the joins.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    return with_calendar(li.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                    F.col("l_linenumber").cast("string")).alias("id_transaksi"),
+        F.col("l_linenumber").alias("no_urut"),
+        F.col("l_shipdate").alias("waktu"),
+        F.col("l_returnflag").alias("jenis_layanan"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("biaya"),
+        F.col("l_discount").alias("diskon"),
+        F.col("l_linestatus").alias("flag"),
+        *[F.col(c) for c in ORDER_KEY]))
+
+
 def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical transactions with calendar columns (the cleaned table)."""
     return with_calendar(billing_raw(spark, sf_dir))

@@ -77,16 +77,17 @@ def write_csv(df: DataFrame, path: str, layout: Sequence[tuple[str, str]],
     if sort_by:
         out = out.orderBy(*sort_by)
     (out.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("quoteAll", False).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, layout: Sequence[tuple[str, str]],
              types: dict[str, T.DataType]) -> DataFrame:
-    """Read an export back under the canonical names and types."""
+    """Read an export back under the canonical names and types (names may hold line breaks)."""
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType()), True)
                            for c, _ in layout])
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .csv(path))
+            .option("multiLine", True).csv(path))
 
 
 # On-screen tables of the summaries (money shown as 'Rp 1,234').

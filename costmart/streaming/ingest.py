@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from costmart.operators.clean import clean
-from costmart.schema import CANONICAL, DEFAULT_COLUMNS, Columns, string_schema
-from costmart.sources.feeds import FeedSpec, null_tokens
+from costmart.schema import DEFAULT_COLUMNS, Columns
+from costmart.sources.feeds import CORRUPT, FeedSpec, check_width, landing_schema, unify
+from costmart.sources.sinks import write_table
 
 
 def read_feed_stream(spark: SparkSession, spec: FeedSpec, header_columns: Sequence[str] | None = None,
@@ -32,12 +33,13 @@ def read_feed_stream(spark: SparkSession, spec: FeedSpec, header_columns: Sequen
     names = list(spec.columns) if spec.columns is not None else list(header_columns or [])
     if not names:
         raise ValueError("a streaming feed needs its column names")
-    reader = (spark.readStream.schema(string_schema(names)).option("sep", spec.sep)
+    reader = (spark.readStream.schema(landing_schema(names)).option("sep", spec.sep)
               .option("header", spec.header).option("encoding", spec.encoding)
-              .option("escape", '"'))
+              .option("escape", '"').option("enforceSchema", not spec.header)
+              .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    df = reader.csv(spec.path)
+    df = check_width(reader.csv(spec.path), spec, len(names))
     if spec.rename:
         df = df.withColumnsRenamed(spec.rename)
     if spec.copy_payer and "jenis_jaminan" in df.columns:
@@ -45,22 +47,25 @@ def read_feed_stream(spark: SparkSession, spec: FeedSpec, header_columns: Sequen
     return df
 
 
-def unify_stream(streams: Sequence[DataFrame], columns: Sequence[str] = CANONICAL) -> DataFrame:
-    out = streams[0]
-    for s in streams[1:]:
-        out = out.unionByName(s, allowMissingColumns=True)
-    return out.select(*[null_tokens(F.col(c).cast("string")).alias(c) for c in columns])
-
-
 def start_ingest(spark: SparkSession, specs: Sequence[FeedSpec], table_path: str,
                  checkpoint: str, header_columns: dict[str, Sequence[str]] | None = None,
-                 available_now: bool = True, cols: Columns = DEFAULT_COLUMNS) -> StreamingQuery:
-    """Start the stream: feeds -> clean -> append to the month-partitioned table."""
+                 available_now: bool = True, cols: Columns = DEFAULT_COLUMNS,
+                 max_files: int | None = None) -> StreamingQuery:
+    """Start the stream: feeds -> clean -> month-partitioned table.
+
+    Each micro-batch is written by ``sinks.write_table`` (range-partitioned, so
+    few files per month) to its own ``batch=N`` folder in overwrite mode; a
+    batch that runs again after a failure replaces what it had written.
+    ``max_files`` bounds the files of a feed per batch.
+    """
     header_columns = header_columns or {}
-    streams = [read_feed_stream(spark, s, header_columns.get(s.path)) for s in specs]
-    cleaned = clean(unify_stream(streams), cols)
-    writer = (cleaned.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint).partitionBy(cols.month_key))
+    streams = [read_feed_stream(spark, s, header_columns.get(s.path), max_files) for s in specs]
+    cleaned = clean(unify(streams), cols)
+
+    def write_batch(rows: DataFrame, batch: int) -> None:
+        write_table(rows, f"{table_path}/batch={batch}", cols)
+
+    writer = cleaned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 minute")
-    return writer.start(table_path)
+    return writer.start()

@@ -55,7 +55,7 @@ def test_metrics_perfect_and_constant(spark):
     assert (m.mae, m.rmse, m.r2, m.quality) == (0.0, 0.0, 1.0, "good")
     const = spark.createDataFrame([(5.0, 4.0), (5.0, 6.0)], "actual double, prediction double")
     c = predict.metrics(const).first()
-    assert c.r2 is None and c.mae == 1.0
+    assert c.r2 == 0.0 and c.mae == 1.0
 
 
 def test_forest_end_to_end(billing_small):
@@ -71,3 +71,39 @@ def test_forest_end_to_end(billing_small):
     assert s.count() == 50
     line = predict.ideal_line(s).first()
     assert line.lo <= line.hi
+
+
+def test_r2_does_not_cancel(spark):
+    kind = "actual double, prediction double"
+    same = predict.metrics(spark.createDataFrame([(0.1, 0.2)] * 7, kind)).first()
+    assert (same.r2, same.quality) == (0.0, "low")
+    exact = predict.metrics(spark.createDataFrame([(0.1, 0.1)] * 7, kind)).first()
+    assert (exact.r2, exact.quality) == (1.0, "good")
+    big = [(1e9 + i, 1e9 + i + 0.1) for i in range(3)]
+    assert predict.metrics(spark.createDataFrame(big, kind)).first().r2 == 0.985
+
+
+def test_metrics_text_and_counts(spark):
+    df = spark.createDataFrame([(1000.0, 3000.0), (5000.0, 4000.0)], "actual double, prediction double")
+    t = predict.metrics_display(predict.metrics(df)).first()
+    assert (t.n, t.mae_text, t.rmse_text, t.r2_text) == (2, "Rp 1,500", "Rp 1,581", "0.3750")
+    split = spark.createDataFrame([(True,), (True,), (False,)], "is_train boolean")
+    assert tuple(predict.data_counts(split).first()) == (3, 2, 1, 6)
+
+
+def test_codes_join_back(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"v{i % 5}") for i in range(100)], "id int, d string")
+    codes = encode.fit_codes(df, "d")
+    few = encode.apply_codes(df, codes, "d")
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(encode, "BROADCAST_CODES", 2)
+    many = encode.apply_codes(df, codes, "d")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.select(few.columns).collect()))
+
+
+def test_main_payer_of_every_key(spark):
+    from costmart.operators.aggregates import mode_or_default
+    df = spark.createDataFrame([("x", "b"), ("x", "a"), ("x", None), ("x", None), ("x", None),
+                                ("y", None), (None, "a")], "k string, v string")
+    assert sorted(map(tuple, mode_or_default(df, ["k"], "v", "m", "none").collect())) == \
+        [("x", "a"), ("y", "none")]

@@ -36,7 +36,8 @@ def feeds(spark, tmp_path):
 def test_union_and_clean(spark, feeds):
     pa, pb = feeds
     raw = read_feeds(spark, [feed_a(pa), feed_b(pb)])
-    assert raw.columns == CANONICAL
+    assert raw.columns == [*CANONICAL, "feed"]
+    assert {r.id_transaksi[0]: r.feed for r in raw.collect()} == {"i": 0, "T": 0, "B": 1}
     assert raw.count() == 7                      # header row + 4 + 2
     rows = {r.id_transaksi: r for r in raw.collect()}
     assert rows["T1"].id_pasien == "007"         # ids stay text
@@ -88,3 +89,67 @@ def test_csv_roundtrip_exact(spark):
 def test_feed_landing_schema_is_text():
     s = string_schema(FEED_A_COLUMNS)
     assert all(f.dataType.simpleString() == "string" for f in s.fields)
+
+
+def _line(i, *more):
+    return f"{i},1,1,Ann,05/01/2025 10:00,Dr X,R,Poli A,BPJS,5,0,0" + "".join(f",{m}" for m in more)
+
+
+def test_surplus_fields_raise_or_are_marked(spark, tmp_path):
+    import dataclasses
+
+    from costmart.sources.feeds import unify
+    folder = str(tmp_path / "a")
+    _write(f"{folder}/x.csv", "\n".join([
+        _line("A"), _line("B", "late"), _line("C").replace("Ann", "Doe, J"),
+        _line("D").replace("Ann", '"Doe, J"'), "E,1,1,Short"]) + "\n")
+    with pytest.raises(Exception, match="more than 12 fields"):
+        read_feeds(spark, [feed_a(folder)]).count()
+    marking = dataclasses.replace(feed_a(folder), malformed="mark")
+    raw = unify([read_feed(spark, marking)])
+    assert {r.id_transaksi: r.malformed for r in raw.collect()} == \
+        {"A": False, "B": True, "C": True, "D": False, "E": False}
+    audit = row_audit(raw).first()
+    assert (audit.n_raw, audit.n_malformed) == (5, 2)
+    assert [r.biaya for r in raw.where("id_transaksi = 'E'").collect()] == [None]
+
+
+def test_reordered_header_raises(spark, feeds):
+    _, pb = feeds
+    _write(f"{pb}/part-1.csv", "NO;RM;EPS;NAMA;ADMISI;RAWAT;JENIS PELAYANAN;DOKTER;PENJAMIN;TOTAL;"
+           "DISKON;MENINGGAL\nB3;1;1;Cat;07/01/2025 08:00;Inap;Poli C;Dr Z;X;2;0;0\n")
+    with pytest.raises(Exception):
+        read_feed(spark, feed_b(pb)).collect()
+
+
+def test_export_keeps_blanks_and_line_breaks(spark):
+    layout = [("name", "Nama"), ("txt", "Poli")]
+    df = spark.createDataFrame([("  Ann ", "a\nb"), ("x\t", "c\r\nd, e")], "name string, txt string")
+    path = shared_dir(spark, "test-export")
+    sinks.write_csv(df, path, layout)
+    back = sinks.read_csv(spark, path, layout, {})
+    assert [r.name for r in back.orderBy("name").collect()] == ["  Ann ", "x\t"]
+    assert back.where("name = '  Ann '").first().txt == "a\nb"
+
+
+def test_first_k_follows_the_feeds(spark, tmp_path):
+    from costmart.operators.aggregates import first_k_distinct
+    from costmart.schema import DEFAULT_COLUMNS
+    a, b = str(tmp_path / "fa"), str(tmp_path / "fb")
+    _write(f"{a}/x.csv", _line("A").replace("Poli A", "ClinicA").replace("05/01", "25/01") + "\n")
+    _write(f"{b}/x.csv", "NO;RM;EPS;NAMA;ADMISI;DOKTER;JENIS PELAYANAN;RAWAT;PENJAMIN;TOTAL;DISKON;"
+           "MENINGGAL\nB;1;1;Ann;01/01/2025 08:00;Dr Z;ClinicB;Inap;X;2;0;0\n")
+    rows = clean(read_feeds(spark, [feed_a(a), feed_b(b)]))
+    got = first_k_distinct(rows, ["nama_pasien"], "poli", 3,
+                           DEFAULT_COLUMNS.row_order(rows.columns), "clinics").first()
+    assert got.clinics == "ClinicA, ClinicB"
+    assert DEFAULT_COLUMNS.row_order(["waktu", "id_transaksi"]) == ["waktu", "id_transaksi"]
+
+
+def test_clear_shared_removes_own_folders(spark):
+    from costmart.session import clear_shared, materialise
+    kept = materialise(spark.range(5), "to-clear")
+    folder = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert kept.count() == 5 and os.path.isdir(folder)
+    clear_shared(spark)
+    assert not os.path.exists(folder)

@@ -63,3 +63,23 @@ def test_kpi_exact_vs_approx(billing_small):
     a = marts.kpis(billing_small, exact=False).first()
     assert e.total == a.total and e.n_rows == a.n_rows
     assert abs(a.n_patients - e.n_patients) <= max(3, 0.05 * e.n_patients)
+
+
+def test_orders_of_results(billing_small):
+    """Payers by total, descending; T3: months in time order."""
+    months = [r.bulan_tahun for r in marts.monthly_trend(billing_small).collect()]
+    assert months == sorted(months) and len(months) > 12
+    totals = [r.total_cost for r in marts.payer_summary(billing_small).collect()]
+    assert totals == sorted(totals, reverse=True)
+    for f in (marts.mean_cost_by_clinic, marts.mean_cost_by_doctor, marts.mean_cost_by_payer):
+        means = [r.mean_cost for r in f(billing_small).collect()]
+        assert means == sorted(means, reverse=True)
+
+
+def test_kpi_counts_as_text(spark):
+    k = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0, 12345, 2345, 3456, 4567, 5678)],
+                              "total double, mean double, max double, min double, n_rows long,"
+                              "n_patients long, n_clinics long, n_doctors long, n_payers long")
+    r = marts.kpi_display(k).first()
+    assert (r.n_rows_text, r.n_patients_text) == ("12,345", "2,345")
+    assert (r.n_clinics_text, r.n_doctors_text, r.n_payers_text) == ("3456", "4567", "5678")

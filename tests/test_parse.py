@@ -22,6 +22,12 @@ TIMES = [
     ("05/01/2025 10:00 ", None),
     ("05-01-2025 10:00", None),
     ("2025-01-05 10:00", None),
+    ("005/01/2025 10:00", None),
+    ("05/001/2025 10:00", None),
+    ("5/1/2025 010:005", None),
+    ("0005/1/2025 9:5", None),
+    ("5/1/+12025 10:00", None),
+    ("05/01/2025 10:00\n", None),
     ("waktu", None),
     (None, None),
 ]
@@ -31,6 +37,8 @@ AMOUNTS = [
     ("1,234,567.89", Decimal("1234567.89")),
     ("1,2,3", Decimal("123")),
     (" 5 ", Decimal("5")),
+    ("\t5", Decimal("5")),
+    ("5\t\n", Decimal("5")),
     ("-3", Decimal("-3")),
     ("+7", Decimal("7")),
     (".5", Decimal("0.5")),

@@ -51,14 +51,41 @@ def test_no_python_udf(spark, name):
 
 def test_no_cartesian_or_nested_loop(spark):
     import __spark_entry__ as entry
-    for name, fn in entry.queries().items():
-        if name == "forest_predict":
+    from costmart.plans import catalog
+    for name in catalog.QUERIES:
+        if name.startswith("forest_"):
             continue
-        p = plan(fn(spark, SF))
+        p = plan(entry.queries()[name](spark, SF))
         assert "CartesianProduct" not in p, name
         assert "BroadcastNestedLoopJoin" not in p, name
 
 
 def test_single_order_column_stays_hash_aggregate(billing_small):
-    p = plan(marts.patient_summary(billing_small, order_by=["l_orderkey"]))
+    p = plan(marts.patient_grain(billing_small, order_by=["l_orderkey"]))
     assert "SortAggregate" not in p and "HashAggregate" in p
+
+
+def test_summaries_scan_and_shuffle_the_rows_once(spark):
+    from costmart.sources.fixture import billing
+    for grain, summary in ((marts.patient_grain, marts.patient_summary),
+                           (marts.payer_grain, marts.payer_summary)):
+        rows = billing(spark, "/root/testdata/sf0.01")    # not the cached fixture
+        base, own = plan(rows), plan(grain(rows))
+        assert own.count("lineitem.parquet") == base.count("lineitem.parquet") == 1
+        assert own.count("Exchange hashpartitioning") == \
+            base.count("Exchange hashpartitioning") + 1
+        assert "lineitem.parquet" not in plan(summary(rows))
+
+
+def test_options_read_the_fact_table_only(spark):
+    import __spark_entry__ as entry
+    for name in ("date_bounds", "month_options", "year_options", "calendar_features",
+                 "train_test_split", "filter_month_selection"):
+        p = plan(entry.queries()[name](spark, SF))
+        assert "Join" not in p and "lineitem.parquet" in p, name
+
+
+def test_features_do_not_shuffle_rows_on_a_code(spark):
+    import __spark_entry__ as entry
+    p = plan(entry.queries()["feature_table"](spark, SF))
+    assert "hashpartitioning(_code_key" not in p

@@ -61,6 +61,9 @@ def test_stream_ingest_equals_batch(spark, billing_small):
     cols = ["id_transaksi", "waktu", "poli", "jenis_jaminan"]
     key = lambda df: sorted(map(tuple, df.select(*cols, F.col("biaya").cast("double")).collect()))
     assert key(streamed) == key(batch)
+    files = lambda p: len(spark.read.parquet(p).inputFiles())
+    sinks.write_table(batch, f"{base}/batch-table")
+    assert files(f"{base}/table") <= 1.2 * files(f"{base}/batch-table") + 5
     # A second run finds no new files and adds nothing.
     q2 = start_ingest(spark, [feed_a(pa), feed_b(pb)], f"{base}/table", f"{base}/_ckpt",
                       header_columns={pb: list(FEED_B_RENAME)})
