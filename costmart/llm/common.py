@@ -55,6 +55,17 @@ def held_out(ids: Column) -> Column:
     return F.coalesce(F.crc32(ids.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def first_by_hash(rows: DataFrame, ids: Column, wanted: int, among: Column) -> DataFrame:
+    """The rows of the lowest id hashes (column ``hash``): about twice ``wanted`` of ``among``.
+
+    Taken before the ``wanted`` first ones are sorted out, it bounds what any
+    task or the driver gets to see, whatever the number of partitions.
+    """
+    hashed = rows.withColumn("hash", F.pmod(F.xxhash64(ids), F.lit(1 << 30)))
+    share = 2.0 * wanted / F.greatest(among, F.lit(1)) + 100.0 / F.greatest(among, F.lit(1))
+    return hashed.where(F.col("hash") < F.least(F.lit(1.0), share) * (1 << 30))
+
+
 def lower_az(text: pa.Array) -> pa.Array:
     """A-Z to a-z and nothing else; null stays null."""
     return pc.ascii_lower(text)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costmart.llm.common import held_out, pairs, pieces
+from costmart.llm.common import first_by_hash, held_out, pairs, pieces
 
 #: Families by ISO 639-1 code (fixed values).
 FAMILIES = {
@@ -45,6 +45,8 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bins of the trigram hash (a power of two).
 BINS = 4096
+#: Values of the language column whose counts may be broadcast.
+MANY_LANGUAGES = 10_000
 #: Trigrams that are counted in one step, so a very long text needs little memory.
 STEP = 1 << 18
 
@@ -147,15 +149,20 @@ def fit(docs: DataFrame, per_language: int = 600, id_col: str = "doc_id", text_c
         lang_col: str = "lang", family_of: dict[str, str] = FAMILY_OF) -> LanguageModel | None:
     """Fit on at most ``per_language`` training rows (not held out) of each language."""
     rows = docs.select(*pairs(id_col, text_col), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = (rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    usable = (rows.where("lang IS NOT NULL AND text IS NOT NULL")
               .where(~held_out(F.col("doc_id")))
-              .select("doc_id", "lang", F.xxhash64("text").alias("h"),
-                      F.row_number().over(first).alias("n"))
-              .where(F.col("n") <= per_language).select("doc_id", "lang", "h"))
+              .select("doc_id", "lang", F.xxhash64("text").alias("h")))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    bounded = counts.limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES
+    few = first_by_hash(usable.join(F.broadcast(counts) if bounded else counts, "lang"),
+                        F.col("doc_id"), per_language, F.col("n"))
+    first = Window.partitionBy("lang").orderBy("hash", "doc_id", "h")
+    chosen = (few.withColumn("place", F.row_number().over(first))
+              .where(F.col("place") <= per_language).select("doc_id", "lang", "h"))
     # The sample has per_language rows a language; only those rows' texts are fetched.
-    few = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "h"])
-    found = sorted({(r["doc_id"] or 0, r["lang"], r["text"]) for r in few.collect()})
+    taken = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen),
+                                                          ["doc_id", "lang", "h"])
+    found = sorted({(r["doc_id"] or 0, r["lang"], r["text"]) for r in taken.collect()})
     return fit_sample([t for _, _, t in found], [lang for _, lang, _ in found], family_of)
 
 

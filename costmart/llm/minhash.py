@@ -45,6 +45,8 @@ from costmart.llm.common import WORD, keep_table, lower_az, pairs, pieces
 
 #: Bands and rows per band: a pair of similarity 0.85 is missed with probability 7e-7.
 BANDS, ROWS = 30, 6
+#: The same for 0.8: probability 2e-7.
+BANDS_80, ROWS_80 = 40, 5
 #: Most texts and shingles of a block in round 2; a task holds two blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 20
 #: Fixed odd multipliers of the hash steps (the golden ratio in 64 and 32 bits, and its powers).
@@ -318,8 +320,8 @@ def components(docs: DataFrame, width: int = 3, percent: int = 85, bands: int =
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
-                         rows: int = ROWS, id_col: str = "doc_id",
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
+                         bands: int = BANDS_80, rows: int = ROWS_80, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, one per component: its smallest id."""
     kept = keep_table(components(docs, width, percent, bands, rows, id_col, text_col)

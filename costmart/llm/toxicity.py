@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costmart.llm.common import held_out, pairs, pieces
+from costmart.llm.common import first_by_hash, held_out, pairs, pieces
 
 #: Insults in wide use in English, German, French and Spanish (fixed values).
 INSULTS = """arschloch bastard blödmann cabrón clown connard crétin débile disgusting dumm dumb
@@ -295,9 +295,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str =
               .where("doc_id IS NOT NULL AND y IS NOT NULL")
               .where(~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("y").alias("y")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = marked.where("y = 1").orderBy(*order).limit(per_class).unionByName(
-        marked.where("y = 0").orderBy(*order).limit(per_class))
+    marked = marked.withColumn("y", (F.col("y") > 0).cast("int"))
+    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    parts = [first_by_hash(marked.where(F.col("y") == y), F.col("doc_id"), per_class,
+                           F.lit(counts.get(y, 0)))
+             .orderBy("hash", "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = parts[0].unionByName(parts[1]).select("doc_id", "y")
     rows = docs.select(*pairs(id_col, text_col)).join(F.broadcast(chosen), "doc_id")
     # Hash order again: the join's order is Spark's, the sums below should not be.
     found = sorted(((r["doc_id"], r["text"] or "", r["y"]) for r in rows.collect()))
