@@ -28,7 +28,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from costmart.llm import (exact_dedup, extract, fertility, hosts, langid, lexicon, minhash,
                           packing, sharding, toxicity)
-from costmart.llm.common import shared_ready, table
+from costmart.llm.common import table
 
 
 def vocabulary(name: str) -> str:
