@@ -43,6 +43,3 @@ def count_text(n: Column | str) -> Column:
 def abs_error(actual: Column | str, predicted: Column | str) -> Column:
     return F.abs(_col(actual).cast("double") - _col(predicted).cast("double"))
 
-
-def join_values(values: Column, sep: str = ", ") -> Column:
-    return F.array_join(values, sep)

@@ -174,7 +174,7 @@ GROUP BY bin, b_lo, b_hi""", """
 bd AS (SELECT min(CAST(biaya AS DOUBLE)) AS b_lo, max(CAST(biaya AS DOUBLE)) AS b_hi
        FROM billing WHERE biaya IS NOT NULL)"""))
 def q_cost_histogram(spark, sf_dir):
-    return marts.histogram(billing(spark, sf_dir), C.cost, 50)
+    return marts.histogram(lines(spark, sf_dir), C.cost, 50)
 
 
 # ----------------------------------------------------------------- A1 – A3
@@ -450,7 +450,7 @@ def q_month_label_parse(spark, sf_dir):
 SELECT id_transaksi, CAST(biaya AS DOUBLE) AS biaya,
        format('Rp {:,.0f}', CAST(biaya AS DOUBLE)) AS biaya_text FROM billing"""))
 def q_format_rupiah(spark, sf_dir):
-    b = billing(spark, sf_dir)
+    b = lines(spark, sf_dir)
     return b.select(C.transaction, F.col(C.cost).cast("double").alias("biaya"),
                     textfmt.rupiah(C.cost).alias("biaya_text"))
 

@@ -1,5 +1,4 @@
 """Driver contract: entry, query keys, oracle agreement at sf0.001."""
-import os
 
 import duckdb
 import pytest
