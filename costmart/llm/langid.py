@@ -51,6 +51,11 @@ MANY_LANGUAGES = 10_000
 STEP = 1 << 18
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter (a digit-like sign such as a superscript is none)."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def vector(text: str) -> np.ndarray:
     """Square-root counts of the text's hashed byte trigrams, at unit length."""
     data = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-8", "replace"), np.uint8)
@@ -113,7 +118,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        real = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        real = [i for i, t in enumerate(texts) if has_letter(t)]
         if not real:
             return out
         x = np.array([vector(texts[i]) for i in real])
@@ -133,7 +138,7 @@ class LanguageModel:
 def fit_sample(texts: list[str], langs: list[str],
                family_of: dict[str, str] = FAMILY_OF) -> LanguageModel | None:
     """The model of labelled texts; None without any text that has a letter."""
-    rows = [(t, lang) for t, lang in zip(texts, langs) if t and _LETTER.search(t)]
+    rows = [(t, lang) for t, lang in zip(texts, langs) if has_letter(t)]
     if not rows:
         return None
     x = np.array([vector(t) for t, _ in rows])

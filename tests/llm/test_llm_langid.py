@@ -41,7 +41,9 @@ def test_levels():
     model = langid.fit_sample([r[1] for r in rows], [r[2] for r in rows])
     assert model.families.classes == ["germanic", "romance"]
     assert model.languages["romance"].classes == ["es", "fr"]
-    assert model.predict([None, "", "123 !", "und der die das nicht"])[3][0] == "de"
+    got = model.predict([None, "", "123 !", "x²", "²½ ⅷ", "und der die das nicht"])
+    assert [g[0] == "und" for g in got] == [True, True, True, False, True, False]
+    assert got[5][0] == "de"
 
 
 def test_edges(spark):
