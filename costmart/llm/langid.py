@@ -65,20 +65,22 @@ def vector(text: str) -> np.ndarray:
         code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)
         counts += np.bincount(code >> np.uint32(20), minlength=BINS)
     root = np.sqrt(counts)
-    return root / max(1e-12, np.sqrt(counts.sum()))
+    return (root / max(1e-12, np.sqrt(counts.sum()))).astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Linear support vector machine (squared hinge, y of +-1); the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    weight = look = np.zeros(x.shape[1])
-    step, speed = 1 / (2 * (share[:, None] * x * x).sum() + penalty), 1.0
+    y = y.astype(x.dtype)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()),
+                     0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    weight = look = np.zeros(x.shape[1], x.dtype)
+    step, speed = 1 / (2 * float(np.einsum("ij,ij,i->", x, x, share)) + penalty), 1.0
     for _ in range(rounds):  # Nesterov's accelerated gradient
         slack = np.maximum(0, 1 - y * (x @ look))
-        new = look - step * (penalty * look - 2 * x.T @ (share * y * slack))
+        new = look - np.float32(step) * (np.float32(penalty) * look - 2 * (share * y * slack) @ x)
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        look = new + (speed - 1) / faster * (new - weight)
+        look = new + np.float32((speed - 1) / faster) * (new - weight)
         weight, speed = new, faster
     return weight
 
