@@ -10,9 +10,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from costmart.session import local_session
+    from costmart.session import clear_shared, local_session
     s = local_session("*", shuffle_partitions=8, app="costmart-tests")
     yield s
+    clear_shared(s)
     s.stop()
 
 
