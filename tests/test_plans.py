@@ -89,3 +89,10 @@ def test_features_do_not_shuffle_rows_on_a_code(spark):
     import __spark_entry__ as entry
     p = plan(entry.queries()["feature_table"](spark, SF))
     assert "hashpartitioning(_code_key" not in p
+
+
+def test_samples_are_top_k(spark):
+    import __spark_entry__ as entry
+    for name in ("sample_pairs", "prediction_examples", "ideal_line"):
+        p = plan(entry.queries()[name](spark, SF))
+        assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p, name
