@@ -4,9 +4,12 @@ Rules (allow or block a host with its subdomains and a path prefix) judge a
 page first, the longest rule that fits.  Hosts get seed weights from the share
 of their pages that rules allow or block.  Trust spreads from allowed hosts
 along links (personalised PageRank), distrust from blocked hosts against the
-links, to hosts that link to them.  A page without a rule is blocked if its
-host's distrust is at least ``min_distrust`` and more than ``block_share`` of
-its trust and distrust together.
+links, to hosts that link to them.  Nearness is the strongest chain
+of links from a host to a blocked one: a blocked host's seed, times damping per
+link.  It is not divided among the hosts that link to the same one, so a verdict
+does not depend on how many others there are.  A page without a rule is blocked
+if distrust is more than ``block_share`` of its host's trust and distrust
+together, and that share times nearness is at least ``min_distrust``.
 
 Built from DataFrame functions only.  Links are counted per host pair before
 anything is joined, so a host that holds a third of all pages is one row in
@@ -93,10 +96,11 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85,
            rounds: int = 12) -> DataFrame:
     """kind, host, score from kind, host, seed after ``rounds`` steps.
 
-    Kind ``trust`` follows links, kind ``distrust`` goes against them; both
-    take each step in one join and one aggregation.  A score is the sum over
+    Kind ``trust`` follows links, kinds ``distrust`` and ``near`` go against
+    them; all take each step in one join and one aggregation.  A score is the sum over
     paths from seeds of seed weight times damping per step over the links to
-    choose from at each step; what is beyond ``rounds`` steps weighs less than
+    choose from at each step (``near``: the largest over paths of seed weight
+    times damping per step); what is beyond ``rounds`` steps weighs less than
     damping ** rounds.
     """
     walks = (links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"),
@@ -104,7 +108,11 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85,
              .unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"),
                                        F.col("src").alias("to"))))
     choices = walks.groupBy("kind", "host").agg((damping / F.count(F.lit(1))).alias("share"))
-    walks = keep_table(walks.join(choices, ["kind", "host"]), "host-walks")
+    of_kind = lambda x: F.when(F.col("kind") == "near", F.max(x)).otherwise(F.sum(x))
+    walks = walks.join(choices, ["kind", "host"])
+    near = (walks.where("kind = 'distrust'")
+            .select(F.lit("near").alias("kind"), "host", "to", F.lit(damping).alias("share")))
+    walks = keep_table(walks.unionByName(near), "host-walks")
     seeds = keep_table(seeds.select("kind", "host", F.col("seed").cast("double").alias("score")),
                        "host-seeds")
     if walks.isEmpty():
@@ -113,9 +121,9 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85,
     for i in range(1, rounds + 1):
         moved = (score.join(walks, ["kind", "host"])
                  .groupBy("kind", F.col("to").alias("host"))
-                 .agg(F.sum(F.col("score") * F.col("share")).alias("score")))
+                 .agg(of_kind(F.col("score") * F.col("share")).alias("score")))
         score = (seeds.unionByName(moved).groupBy("kind", "host")
-                 .agg(F.sum("score").alias("score")))
+                 .agg(of_kind("score").alias("score")))
         if i % 4 == 0 and i < rounds:
             score = keep_table(score, f"host-scores-{i}")
     return score
@@ -130,14 +138,16 @@ def judge(pages: DataFrame, rules: list[Rule], block_share: float = 0.75,
         F.avg((F.coalesce("verdict", F.lit("")) == "allow").cast("double")).alias("trust"),
         F.avg((F.coalesce("verdict", F.lit("")) == "block").cast("double")).alias("distrust"))
     seeds = by_host.select("host", F.explode(F.create_map(
-        F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")) \
+        F.lit("trust"), "trust", F.lit("distrust"), "distrust",
+        F.lit("near"), "distrust")).alias("kind", "seed")) \
         .where("seed > 0")
     scores = spread(seeds, host_links(pages, url_col, html_col), damping, rounds)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))),
                                  F.lit(0.0)).alias(kind)
-    hosts = scores.groupBy("host").agg(of("trust"), of("distrust"))
-    bad = ((F.col("distrust") >= min_distrust)
-           & (F.col("distrust") > block_share * (F.col("trust") + F.col("distrust"))))
+    hosts = scores.groupBy("host").agg(of("trust"), of("distrust"), of("near"))
+    both = F.col("trust") + F.col("distrust")
+    bad = ((F.col("near") * F.col("distrust") >= min_distrust * both)
+           & (F.col("distrust") > block_share * both))
     return (rows.join(hosts, "host", "left")
             .withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
             .select("page_id", "host", "path", "rule",

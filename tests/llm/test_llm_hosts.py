@@ -89,3 +89,19 @@ def test_no_rules_and_empty(spark):
 def test_main_path_is_native(spark):
     plan = hosts.judge(frame(spark, PAGES, SCHEMA), RULES)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow|CartesianProduct", plan)
+
+
+def test_verdicts_do_not_depend_on_the_number_of_linkers(spark):
+    for n in (1, 2, 40):
+        pages = [(0, "http://bad.com/de/1", None, "c")]
+        pages += [(i, f"http://farm{i}.net/", "<a href=http://bad.com/>", "c")
+                  for i in range(1, n + 1)]
+        pages += [(100, "http://behind.net/", "<a href=http://farm1.net/>", "c"),
+                  (101, "http://apart.net/", "<a href=http://else.net/>", "c"),
+                  (102, "http://good.org/", "<a href=http://mixed.net/>", "c"),
+                  (103, "http://mixed.net/", "<a href=http://bad.com/>", "c")]
+        rows = {int(r[0]): r for r in got(hosts.judge(frame(spark, pages, SCHEMA), RULES))}
+        scores = {int(r[0]): r[5:] for r in brute(pages, RULES)}
+        assert {i: r[5:] for i, r in rows.items()} == scores
+        blocked = {i for i, r in rows.items() if r[4] == "block"}
+        assert blocked == {0, *range(1, n + 1), 100}
