@@ -5,8 +5,8 @@ between block tags, each with the tags met since the last line and the
 containers it stands in.  The ratios of characters to tags are smoothed with a
 Gaussian kernel, and a threshold on them clusters the lines into content and
 the rest.  The content lines select the content region: the article or main
-element that holds most of their characters, or else the smallest container
-that holds nearly all of them.  Every line of the region is returned, short
+elements side by side in one container if they hold nearly all of their
+characters, or else the smallest container that does.  Every line of the region is returned, short
 ones too, except those inside menus, headers and footers of the page,
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
@@ -69,6 +69,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TAG_START = re.compile(r"<(?=[A-Za-z/!?])")
 
 
+#: Share of the content characters that a region holds.
+MOST = 0.9
+#: Share that article and main elements hold to be the region.
+ARTICLES = 0.85
+
+
 class _Lines(HTMLParser):
     """Lines of a page: text, tags before it, containers (outermost first), dropped or not."""
 
@@ -190,6 +196,17 @@ def content_lines(lines, sigma: float, level: float) -> np.ndarray:
     return smooth > level * smooth.std()
 
 
+def _articles(lines, articles: frozenset[int], held: dict[int, int], total: int) -> set[int]:
+    """The outermost article and main elements of one container that hold most of the content."""
+    beside: defaultdict[int, set[int]] = defaultdict(set)
+    for _, _, path, dropped in lines:
+        at = next((i for i, c in enumerate(path) if c in articles), None)
+        if at is not None and not dropped:
+            beside[path[at - 1] if at else 0].add(path[at])
+    best = max(beside.values(), key=lambda found: sum(held[c] for c in found), default=set())
+    return best if sum(held[c] for c in best) >= ARTICLES * total else set()
+
+
 def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
     """The main text of a page, one line a block."""
     if not html:
@@ -210,23 +227,21 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
         for c in path:
             held[c] += len(text) * good
             any_held[c] += len(text) * (not dropped)
-    articles = [c for c in parser.articles if any_held[c]]
-    region = 0
-    if articles:
-        region = max(articles, key=lambda c: (held[c], any_held[c], c))
-    else:
-        total = sum(len(x[0]) for x, good in zip(lines, content.tolist()) if good)
-        holding = [c for c, n in held.items() if n >= 0.9 * total]
+    total = sum(len(x[0]) for x, good in zip(lines, content.tolist()) if good)
+    region = _articles(lines, frozenset(parser.articles), held, total)
+    if not region:
+        holding = [c for c, n in held.items() if n >= MOST * total]
         if holding:
-            region = max(holding)      # containers are numbered in page order, so the innermost
-            path = next(p for _, _, p, _ in lines if region in p)
+            inner = max(holding)       # containers are numbered in page order, so the innermost
+            path = next(p for _, _, p, _ in lines if inner in p)
             # Up to a container that adds little (headings, short lines), but not to the page.
-            for outer in reversed(path[:path.index(region)]):
-                if outer in parser.bodies or any_held[outer] > 1.5 * any_held[region]:
+            for outer in reversed(path[:path.index(inner)]):
+                if outer in parser.bodies or any_held[outer] > 1.5 * any_held[inner]:
                     break
-                region = outer
+                inner = outer
+            region = {inner}
     return "\n".join(text for text, _, path, dropped in lines
-                     if not dropped and (not region or region in path))
+                     if not dropped and (not region or not region.isdisjoint(path)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",

@@ -67,3 +67,25 @@ def test_nulls_clashes_and_empty(spark):
     assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == \
         [("1", 0), ("2", 0), ("3", 249_999), ("3", 249_999), ("None", 1)]
     assert extract.extract(frame(spark, [], schema)).collect() == []
+
+
+BODY = [f"Paragraph {i} of the page's own text, with a good many words in it." for i in range(6)]
+
+
+def test_a_teaser_article_does_not_replace_the_text():
+    page = "<body><div id=a>" + "".join(f"<div>{x}</div>" for x in BODY) + \
+        "</div><div class=grid><article><a href=x>Other</a> <b>story</b></article></div></body>"
+    assert extract.main_text(page).split("\n")[:6] == BODY
+
+
+def test_sibling_articles_are_joined():
+    page = "<body><div class=menu><a>x</a></div><div>" + \
+        "".join(f"<article><p>{x}</p><p>Yes.</p></article>" for x in BODY) + "</div></body>"
+    assert extract.main_text(page) == "\n".join(f"{x}\nYes." for x in BODY)
+
+
+def test_the_clustering_decides():
+    links = "".join(f"<div><span><a href={i}><i><b>Link {i}</b></i></a></span></div>" for i in range(30))
+    page = f"<body><article>{''.join(f'<p>{x}</p>' for x in BODY)}</article><div>{links}</div></body>"
+    assert extract.main_text(page) == "\n".join(BODY)
+    assert "Link 7" in extract.main_text(page, level=-1e9)
