@@ -13,7 +13,7 @@ automaton holds.
 A word is an optional blank and a run of non-blank characters, or a run of
 white space.  Texts with characters whose class is not certain (white space
 outside ASCII, or anything from U+0500 on) are split by the library's own
-splitting rule instead, and special tokens in a text keep their id.
+splitting rule instead, into words that are counted and looked up alike; special tokens in a text keep their id.
 
 Defined cases: a null text is the empty text: no ids, the empty decoding; a
 word of any length is merged whole; repeated rows get equal results; an empty
@@ -69,7 +69,7 @@ class Merger:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        byte_of = {c: b for b, c in enumerate(letters)}
+        self._byte_of = byte_of = {c: b for b, c in enumerate(letters)}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -112,19 +112,20 @@ class Merger:
         return [x for x, _ in self._library.pre_tokenize_str(text)]
 
     def word(self, word: str) -> list[int]:
-        """Ids of a word of sure characters."""
+        """Ids of a word of ``words``."""
+        if _UNSURE.search(word):
+            return self.merge(word.encode())
         out: list[int] = []
         for part in _SPLIT.findall(word):
             out += self.merge(part.encode())
         return out
 
-    def text(self, text: str) -> list[int]:
-        """Ids of a text without special tokens, split by the library's rule."""
-        byte_of = {c: b for b, c in enumerate(byte_letters())}
-        out: list[int] = []
-        for part in self.split(text):
-            out += self.merge(bytes(byte_of[c] for c in part))
-        return out
+    def words(self, text: str) -> list[str]:
+        """Words of a text without special tokens; with unsure characters, the library's parts."""
+        if not _UNSURE.search(text):
+            return _CHUNK.findall(text)
+        byte_of = self._byte_of
+        return [bytes([byte_of[c] for c in part]).decode() for part in self.split(text)]
 
     def parts(self, text: str) -> list[str]:
         """The text cut at its special tokens; special tokens are parts of their own."""
@@ -269,10 +270,8 @@ class Encoder:
             for i, part in enumerate(self.merger.parts(text)):
                 if i % 2:
                     plan.append(np.array([self.merger.special[part]], "<u4").tobytes())
-                elif _UNSURE.search(part):
-                    plan.append(np.array(self.merger.text(part), "<u4").tobytes())
                 elif part:
-                    plan.append(_CHUNK.findall(part))
+                    plan.append(self.merger.words(part))
                     words.update(plan[-1])
             plans.append(plan)
         known = self._outputs(words)
@@ -293,17 +292,18 @@ def _merger(path: str) -> Merger:
     return Merger(path)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     """Word counts, summed within the task as far as a bounded table allows."""
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
             ["word", "n"])
     counts: Counter = Counter()
+    merger = _merger(vocabulary)
     for b in pieces(batches, "text"):
         for text in b.column("text").to_pylist():
-            if text and not _UNSURE.search(text):
-                counts.update(_CHUNK.findall(text))
+            for part in merger.parts(text or "")[::2]:
+                counts.update(merger.words(part))
         if len(counts) > REMEMBERED:
             yield flush()
             counts.clear()
@@ -311,7 +311,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text") -> list[str]:
+def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text",
+                   vocabulary: str | None = None) -> list[str]:
     """The most frequent words of all texts: whole frequency classes, at most ``max_words``.
 
     Counts are split into 16 classes per doubling.  The classes from the top
@@ -319,9 +320,12 @@ def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str =
     the driver nor a task sorts or holds more than that; words that occur once
     are in no class.
     """
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     counts = keep_table(
         docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-        .mapInArrow(_counted, "word string, n long")
+        .mapInArrow(lambda batches: _counted(batches, vocabulary), "word string, n long")
         .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
         .withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
     least, total = None, 0
@@ -339,7 +343,8 @@ def build_lexicon(docs: DataFrame, vocabulary: str, max_words: int = MAX_WORDS,
                   text_col: str = "text") -> bytes:
     """The automaton of the corpus's frequent words."""
     merger = _merger(vocabulary)
-    return compile_words({w: merger.word(w) for w in frequent_words(docs, max_words, text_col)})
+    words = frequent_words(docs, max_words, text_col, vocabulary)
+    return compile_words({w: merger.word(w) for w in words})
 
 
 _ENCODERS: dict[int, Encoder] = {}

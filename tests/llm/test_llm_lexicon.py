@@ -100,3 +100,14 @@ def test_edges_and_frequent_words(spark):
     docs = frame(spark, [(i, "a b b b c c", None, None, None) for i in range(4)])
     assert lexicon.frequent_words(docs, 1) == [" b"]
     assert lexicon.frequent_words(docs, 2) == [" b", " c"]
+
+
+def test_texts_with_unsure_characters_use_the_lexicon(spark, merger, library):
+    text = "“the price” — 日本語 ქართული ქართული the price"
+    words = lexicon.frequent_words(frame(spark, [(i, text, "x", "s", 1) for i in range(5)]))
+    assert {" ქართული", " price", " the", "the", " 日本語"} <= set(words)
+    enc = encoder(merger, words)
+    same(enc, library, text)
+    assert not enc._merged
+    for odd in ODD:
+        same(encoder(merger, merger.words(odd) if "<|" not in odd else words), library, odd)
