@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costmart.llm import (exact_dedup, extract, fertility, hosts, langid, lexicon, minhash,
-                          packing, sharding, toxicity)
+from costmart.llm import (alignment, backtrack, collocations, exact_dedup, extract, fertility,
+                          hosts, langid, lexicon, minhash, packing, sharding, toxicity)
 from costmart.llm.common import table
 
 
@@ -77,6 +77,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language over all documents."""
+    return collocations.top(collocations.score(table(spark, sf_dir, "documents")), 2000)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents aligned between two vocabularies, with corpus-wide link counts."""
+    return alignment.links(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                           vocabulary("piece_bpe_32k.model"))
+
+
+def op13_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by backtracking and decoded again, as digests."""
+    return backtrack.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
+                            outputs=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_lexicon_bpe": op9_lexicon_bpe,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
+    "op13_backtrack": op13_backtrack,
 }
 
 #: A-Z and a-z for DuckDB's translate().
@@ -124,4 +144,39 @@ r(id, other) AS (
 m AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id""",
+    # All phrases of up to four words, every cut, and the phrases that a longer one explains.
+    "op11_collocations": f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), {_AZ}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws
+  FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g
+  FROM w, range(1, 5) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, g, len(g) AS k, count(*) AS n FROM g GROUP BY lang, g),
+totals AS (SELECT lang, sum(n)::BIGINT AS total FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND n >= 30),
+explained AS (
+  SELECT DISTINCT c.lang, c.g FROM c JOIN (
+    SELECT lang, g[1:k - 1] AS part, n FROM c WHERE k > 2
+    UNION ALL SELECT lang, g[2:k], n FROM c WHERE k > 2) x
+  ON x.lang = c.lang AND x.part = c.g WHERE 100 * x.n >= 80 * c.n),
+cuts AS (
+  SELECT c.lang, c.g, c.n AS a, j, x.n AS l, y.n AS r,
+         (2000000::HUGEINT * c.n // (x.n + y.n))::BIGINT AS score
+  FROM c, range(1, 4) t(j)
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:j]
+  JOIN f y ON y.lang = c.lang AND y.g = c.g[j + 1:c.k]
+  WHERE j < c.k),
+best AS (
+  SELECT * FROM cuts ANTI JOIN explained USING (lang, g)
+  QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC,
+                                  encode(array_to_string(g, ' '))) AS rank,
+         array_to_string(g, ' ') AS phrase, a, l, r, score FROM best)
+SELECT lang, rank, phrase, a, l, r, total AS n, score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
