@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from costmart.llm.common import keep_table, pieces
 
-#: Bytes of text that are split at a time, and distinct entries that a task sums up.
-BLOCK, SUMMED = 4 << 20, 1 << 21
+#: Bytes of text that are split at a time; hashes and phrases that a task sums up.
+BLOCK, SUMMED, PHRASES = 2 << 20, 1 << 20, 300_000
 #: Bits of each filter: 2^26 bits are 8 MB, however large the corpus.
 FILTER_BITS = 26
 #: Counts in a range of a stream, on average.
@@ -208,14 +208,12 @@ def _exact(batches: Iterator[pa.RecordBatch], words: Filter, two: Filter,
     counts: dict[str, Counter] = {}
     size = 0
 
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, p.split(b" ") if p else [], n)
-                for lang, found in counts.items() for p, n in found.items()]
-        langs, phrases, n = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()),
-             pa.array(phrases, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-             pa.array(n, pa.int64())], ["lang", "words", "n"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, found in counts.items():
+            phrases, n = pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found), pa.string()), phrases.cast(pa.string()), n],
+                ["lang", "phrase", "n"])
 
     for lang, found in _by_language(batches):
         hashes = found.hashes(_seed(lang))
@@ -249,11 +247,10 @@ def _exact(batches: Iterator[pa.RecordBatch], words: Filter, two: Filter,
             for i in np.flatnonzero(n):
                 into[texts[i]] += int(n[i])
         size += len(into)
-        if size > SUMMED:
-            yield flush()
+        if size > PHRASES:
+            yield from flush()
             counts, size = {}, 0
-    if counts:
-        yield flush()
+    yield from flush()
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str = "text",
@@ -271,9 +268,11 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str = "te
     two = sc.broadcast(_filter(texts.mapInArrow(
         lambda batches: _hashed(batches, words.value), "hash long, n long"), least, filter_bits))
     return (texts.mapInArrow(lambda batches: _exact(batches, words.value, two.value, longest),
-                             "lang string, words array<string>, n long")
-            .groupBy("lang", "words").agg(F.sum("n").alias("n"))
-            .where((F.col("n") >= least) | (F.size("words") == 0)))
+                             "lang string, phrase string, n long")
+            .groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+            .where((F.col("n") >= least) | (F.col("phrase") == ""))
+            .select("lang", F.when(F.col("phrase") == "", F.array().cast("array<string>"))
+                    .otherwise(F.split("phrase", " ")).alias("words"), "n"))
 
 
 # ---- streams ---------------------------------------------------------------
