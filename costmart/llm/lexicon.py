@@ -16,7 +16,7 @@ outside ASCII, or anything from U+0500 on) are split by the library's own
 splitting rule instead, into words that are counted and looked up alike; special tokens in a text keep their id.
 
 Defined cases: a null text is the empty text: no ids, the empty decoding; a
-word of any length is merged whole; repeated rows get equal results; an empty
+word of any length is merged whole, a long one with a heap; repeated rows get equal results; an empty
 table gives an empty lexicon and an empty result; other columns are ignored.
 """
 
@@ -30,6 +30,7 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ from pyspark.sql import functions as F
 from costmart.llm.common import keep_table, pairs, pieces
 
 #: Words compiled into the automaton, and merged words that a worker remembers.
-MAX_WORDS = 60_000
-REMEMBERED = 200_000
+MAX_WORDS = 200_000
+REMEMBERED = 400_000
+#: Parts above this many bytes are merged with a heap; words above it are not remembered.
+LONG = 128
 
 #: An optional blank and a run of other characters, or white space as the split rule cuts it.
 _CHUNK = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
@@ -88,6 +91,8 @@ class Merger:
 
     def merge(self, part: bytes) -> list[int]:
         """Ids of one part of the split rule."""
+        if len(part) > LONG:
+            return self._merge_long(part)
         ids = [self.first[b] for b in part]
         get, none = self.merges.get, 1 << 60
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
@@ -104,6 +109,32 @@ class Merger:
                 ranks[at - 1] = get(ids[at - 1] << 20 | new, none)
         return ids
 
+    def _merge_long(self, part: bytes) -> list[int]:
+        """The same with a heap over a linked list: time n log n, whatever the length."""
+        ids: list[int | None] = [self.first[b] for b in part]
+        size, get = len(ids), self.merges.get
+        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
+        # (rank and merged id, place, left id, right id): the last two show outdated entries.
+        heap = [(best, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:]))
+                if (best := get(a << 20 | b)) is not None]
+        heapify(heap)
+        while heap:
+            best, i, a, b = heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= size or ids[j] != b:
+                continue
+            new = ids[i] = best & 0xFFFFF
+            ids[j], k = None, after[j]
+            after[i] = k
+            if k < size:
+                before[k] = i
+                if (best := get(new << 20 | ids[k])) is not None:
+                    heappush(heap, (best, i, new, ids[k]))
+            h = before[i]
+            if h >= 0 and (best := get(ids[h] << 20 | new)) is not None:
+                heappush(heap, (best, h, ids[h], new))
+        return [i for i in ids if i is not None]
+
     def split(self, text: str) -> list[str]:
         """Parts of a text by the library's own split rule, as letters that stand for bytes."""
         if self._library is None:
@@ -250,15 +281,18 @@ class Encoder:
         listed = list(words)
         places = self.automaton.find(listed)
         out, merged = {}, self._merged
-        if len(merged) > REMEMBERED:
-            merged.clear()
+        if len(merged) > REMEMBERED:             # the older half goes
+            for word in list(merged)[:len(merged) - REMEMBERED // 2]:
+                del merged[word]
         for word, place in zip(listed, places.tolist()):
             if place >= 0:
                 out[word] = self.automaton.output(place)
             else:
                 ids = merged.get(word)
                 if ids is None:
-                    ids = merged[word] = np.array(self.merger.word(word), "<u4").tobytes()
+                    ids = np.array(self.merger.word(word), "<u4").tobytes()
+                    if len(word) <= LONG:
+                        merged[word] = ids
                 out[word] = ids
         return out
 
@@ -313,12 +347,14 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
 
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text",
                    vocabulary: str | None = None) -> list[str]:
-    """The most frequent words of all texts: whole frequency classes, at most ``max_words``.
-
-    Counts are split into 16 classes per doubling.  The classes from the top
-    on that together hold at most ``max_words`` words are taken, so neither
-    the driver nor a task sorts or holds more than that; words that occur once
-    are in no class.
+    """The most frequent words of all texts up to ``LONG`` characters: at most ``max_words``.
+
+    Counts are split into 16 classes per doubling, and a class into 1024 parts
+    by hash.  Whole classes are taken from the top on, then whole parts of the
+    class that does not fit, so neither the driver nor a task sorts or holds
+    more than ``max_words``, and equally frequent words do not leave the lexicon
+    empty.  Words that occur once, and those of over ``LONG`` characters, are in
+    no class, which bounds the lexicon's bytes too.
     """
     if vocabulary is None:
         import public_tokenizers
@@ -326,17 +362,29 @@ def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str =
     counts = keep_table(
         docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
         .mapInArrow(lambda batches: _counted(batches, vocabulary), "word string, n long")
-        .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-        .withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
-    least, total = None, 0
-    for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():
-        total += r["count"]
-        if total > max_words:
-            break
-        least = r["class"]
-    if least is None:
-        return []
-    return sorted(r["word"] for r in counts.where(F.col("class") >= least).select("word").collect())
+        .groupBy("word").agg(F.sum("n").alias("n"))
+        .where((F.col("n") > 1) & (F.length("word") <= LONG))
+        .withColumn("class", F.floor(F.log2("n") * 16).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("word"), F.lit(1024)).cast("int")), "word-counts")
+
+    def fitting(sizes: DataFrame, room: int) -> tuple[list, object, int]:
+        """The leading groups that fit, the first that does not, and the room left."""
+        taken = []
+        for group, n in sizes.collect():
+            if n > room:
+                return taken, group, room
+            taken.append(group)
+            room -= n
+        return taken, None, room
+
+    _, border, room = fitting(
+        counts.groupBy("class").count().orderBy(F.desc("class")), max_words)
+    wanted = F.col("class") > (F.lit(-1) if border is None else F.lit(border))
+    if border is not None:
+        parts, _, _ = fitting(counts.where(F.col("class") == border).groupBy("part").count()
+                              .orderBy("part"), room)
+        wanted |= (F.col("class") == border) & F.col("part").isin(parts)
+    return sorted(r["word"] for r in counts.where(wanted).select("word").collect())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, max_words: int = MAX_WORDS,

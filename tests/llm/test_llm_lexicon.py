@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -111,3 +113,34 @@ def test_texts_with_unsure_characters_use_the_lexicon(spark, merger, library):
     assert not enc._merged
     for odd in ODD:
         same(encoder(merger, merger.words(odd) if "<|" not in odd else words), library, odd)
+
+
+def test_long_unbroken_words(merger, library):
+    rng = random.Random(3)
+    enc = encoder(merger, [" a"])
+    for size in (lexicon.LONG, lexicon.LONG + 1, 700):
+        for letters in ("ab", "theanor", "é日 a"):
+            same(enc, library, "".join(rng.choice(letters) for _ in range(size)))
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789") for _ in range(1 << 20))
+    start = time.monotonic()
+    letters = "".join(c for c in text if c.isalpha())
+    got = enc.encode([letters])[0]
+    assert time.monotonic() - start < 40
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(
+        letters, add_special_tokens=False).ids
+
+
+def test_equally_frequent_words_fill_the_lexicon(spark):
+    docs = frame(spark, [(i, "v w x y z", "en", "s", 9) for i in range(4)])
+    words = lexicon.frequent_words(docs, 3)
+    assert 1 <= len(words) <= 3 and set(words) <= {"v", " w", " x", " y", " z"}
+    assert lexicon.frequent_words(docs, 5) == [" w", " x", " y", " z", "v"]
+    assert lexicon.frequent_words(docs, 0) == []
+
+
+def test_forgetting_the_older_half(merger, library, monkeypatch):
+    monkeypatch.setattr(lexicon, "REMEMBERED", 4)
+    enc = encoder(merger, [" a"])
+    for i in range(30):
+        same(enc, library, f"one two{i} three four{i % 3} five six")
+        assert len(enc._merged) <= 4 + 6
