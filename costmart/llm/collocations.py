@@ -5,12 +5,13 @@ the pieces into words.  A phrase of two to ``longest`` words is scored by its
 lowest-scoring cut: how often the phrase stands, against how often its two
 halves do.
 
-1. Counts.  Every phrase inside a frequent one is frequent itself, so two
-   passes first count words and word pairs by 64-bit hashes, partly summed in
-   the tasks; those that reach ``least`` set bits of two filters of fixed size.
-   A bit set by mistake costs a row, nothing else.  The third pass counts words
-   and phrases exactly, as arrays of words, where all words and pairs in them
-   pass the filters; what does not reach ``least`` is dropped.
+1. Counts.  Every phrase inside a frequent one is frequent itself, so three
+   passes first count words, pairs and triples by 64-bit hashes, partly summed
+   in the tasks, each only where the shorter ones pass; those that reach
+   ``least`` set bits of a filter of fixed size.  A bit set by mistake costs a
+   row, nothing else.  The last pass counts words and phrases exactly, by their
+   spelling, where all in them pass the filters; what does not reach ``least``
+   is dropped.
 2. Streams.  The counts are kept in prefix order (range-partitioned and sorted
    by language and words) and in suffix order (by the words reversed).  A phrase
    then follows its beginnings, and precedes its extensions, so one pass in
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,9 +45,11 @@ from pyspark.sql import functions as F
 from costmart.llm.common import keep_table, pieces
 
 #: Bytes of text that are split at a time; hashes and phrases that a task sums up.
-BLOCK, SUMMED, PHRASES = 2 << 20, 1 << 20, 300_000
+BLOCK, SUMMED, PHRASES = 2 << 20, 3 << 20, 1_000_000
 #: Bits of each filter: 2^26 bits are 8 MB, however large the corpus.
 FILTER_BITS = 26
+#: Filters are made for phrases of up to this many words.
+FILTERS = 3
 #: Counts in a range of a stream, on average.
 RANGE_ROWS = 1_000_000
 
@@ -141,7 +145,7 @@ class _Sums:
     def add(self, hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         self._waiting.append((hashes, n))
         self._size += len(hashes)
-        if self._size > 2 * SUMMED:
+        if self._size > SUMMED + SUMMED // 2:
             self._settle()
             if self._size > SUMMED:
                 yield from self.flush()
@@ -187,32 +191,66 @@ def _filter(counted: DataFrame, least: int, log2: int) -> Filter:
     return Filter(bits, log2)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], words: Filter | None) -> Iterator[pa.RecordBatch]:
-    """Counts of words, or of pairs of words that pass the filter, by hash."""
+class _Phrases(NamedTuple):
+    """The phrases of one length in a block: distinct ones, and per occurrence its start."""
+
+    codes: np.ndarray    # number of the phrase without its last word, and that word
+    hashes: np.ndarray   # of the distinct ones, 0 where no filter asks for them
+    back: np.ndarray     # per occurrence: its distinct phrase
+    at: np.ndarray       # per occurrence: the place of its first word
+
+
+def _phrases(found: Words, hashes: np.ndarray, filters: list[Filter],
+             longest: int) -> Iterator[_Phrases]:
+    """Phrases of 2 to ``longest`` words whose shorter phrases all pass the filters.
+
+    ``filters`` are those of phrases of 1, 2, ... words; the phrases are
+    numbered exactly, one word longer each round, and hashed for the filters.
+    """
+    passing = filters[0].passes(hashes)[found.word]
+    back, hashed = found.word, hashes
+    at = np.flatnonzero(passing)
+    back = back[at]
+    hot, checked = np.append(passing, np.zeros(longest, bool)), 1
+    same = np.append(found.follows(), np.zeros(longest, bool))
+    for length in range(2, longest + 1):
+        grow = hot[at + length - checked] & same[at + length - 2]
+        at, back = at[grow], back[grow]
+        codes, back = np.unique(back << 32 | found.word[at + length - 1], return_inverse=True)
+        if length <= len(filters) + 1:
+            hashed = pair_hash(hashed[codes >> 32], hashes[codes & 0xFFFFFFFF])
+        yield _Phrases(codes, hashed, back, at)
+        if length <= len(filters):
+            good = filters[length - 1].passes(hashed)[back]
+            at, back = at[good], back[good]
+            hot[:], checked = False, length
+            hot[at] = True
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], filters: list[Filter]) -> Iterator[pa.RecordBatch]:
+    """Counts, by hash, of phrases one word longer than the last filter's (first: of words)."""
     sums = _Sums()
     for lang, found in _by_language(batches):
         hashes = found.hashes(_seed(lang))
-        if words is None:
+        if not filters:
             yield from sums.add(hashes, np.bincount(found.word, minlength=len(hashes)))
         elif len(hashes):
-            common = words.passes(hashes)[found.word]
-            at = np.flatnonzero(found.follows() & common[1:] & common[:-1])
-            pairs, n = np.unique(found.word[at] << 32 | found.word[at + 1], return_counts=True)
-            yield from sums.add(pair_hash(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]), n)
+            *_, last = _phrases(found, hashes, filters, len(filters) + 1)
+            yield from sums.add(last.hashes, np.bincount(last.back, minlength=len(last.codes)))
     yield from sums.flush()
 
 
-def _exact(batches: Iterator[pa.RecordBatch], words: Filter, two: Filter,
+def _exact(batches: Iterator[pa.RecordBatch], filters: list[Filter],
            longest: int) -> Iterator[pa.RecordBatch]:
     """Counts of words and phrases that the filters allow, and of all words (the empty phrase)."""
     counts: dict[str, Counter] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, found in counts.items():
-            phrases, n = pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())
+        for lang, into in counts.items():
+            phrases, n = pa.array(list(into), pa.binary()), pa.array(list(into.values()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(found), pa.string()), phrases.cast(pa.string()), n],
+                [pa.array([lang] * len(into), pa.string()), phrases.cast(pa.string()), n],
                 ["lang", "phrase", "n"])
 
     for lang, found in _by_language(batches):
@@ -222,28 +260,16 @@ def _exact(batches: Iterator[pa.RecordBatch], words: Filter, two: Filter,
         into = counts.setdefault(lang, Counter())
         size -= len(into)
         into[b""] += len(found.word)
-        common = words.passes(hashes)
         once = np.bincount(found.word, minlength=len(hashes))
         spelled = np.array(found.distinct.to_pylist() + [None], object)[:-1]
-        for i in np.flatnonzero(common):
+        for i in np.flatnonzero(filters[0].passes(hashes)):
             into[spelled[i]] += int(once[i])
-        at = np.flatnonzero(found.follows() & common[found.word[1:]] & common[found.word[:-1]])
-        # Local number of the phrase that starts at each place, one word longer each round.
-        codes, back = np.unique(found.word[at] << 32 | found.word[at + 1], return_inverse=True)
-        good = two.passes(pair_hash(hashes[codes >> 32], hashes[codes & 0xFFFFFFFF]))[back]
-        at, back = at[good], back[good]
-        pair_at = np.zeros(len(found.word) + longest, bool)
-        pair_at[at] = True
-        texts = spelled[codes >> 32] + b" " + spelled[codes & 0xFFFFFFFF]
-        n = np.bincount(back, minlength=len(codes))
-        for length in range(2, longest + 1):
-            if length > 2:
-                grow = pair_at[at + length - 2]
-                at, back = at[grow], back[grow]
-                codes, back = np.unique(back << 32 | found.word[at + length - 1],
-                                        return_inverse=True)
-                texts = texts[codes >> 32] + b" " + spelled[codes & 0xFFFFFFFF]
-                n = np.bincount(back, minlength=len(codes))
+        texts = spelled
+        for length, p in enumerate(_phrases(found, hashes, filters, longest), 2):
+            texts = texts[p.codes >> 32] + b" " + spelled[p.codes & 0xFFFFFFFF]
+            n = np.bincount(p.back, minlength=len(p.codes))
+            if length <= len(filters):
+                n[~filters[length - 1].passes(p.hashes)] = 0
             for i in np.flatnonzero(n):
                 into[texts[i]] += int(n[i])
         size += len(into)
@@ -253,21 +279,26 @@ def _exact(batches: Iterator[pa.RecordBatch], words: Filter, two: Filter,
     yield from flush()
 
 
+def _broadcast_filter(texts: DataFrame, filters: list, least: int, log2: int):
+    """The broadcast filter of phrases one word longer than those of the last filter."""
+    counted = texts.mapInArrow(lambda batches: _hashed(batches, [f.value for f in filters]),
+                               "hash long, n long")
+    return texts.sparkSession.sparkContext.broadcast(_filter(counted, least, log2))
+
+
 def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str = "text",
                   lang_col: str = "lang", filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, words and n: all phrases of up to ``longest`` words that stand ``least`` times.
 
     The row without words holds the number of all words of its language.
     """
-    sc = docs.sparkSession.sparkContext
     texts = docs.select(
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
         F.col(f"`{text_col}`").cast("string").alias("text"))
-    words = sc.broadcast(_filter(texts.mapInArrow(
-        lambda batches: _hashed(batches, None), "hash long, n long"), least, filter_bits))
-    two = sc.broadcast(_filter(texts.mapInArrow(
-        lambda batches: _hashed(batches, words.value), "hash long, n long"), least, filter_bits))
-    return (texts.mapInArrow(lambda batches: _exact(batches, words.value, two.value, longest),
+    filters: list = []
+    for _ in range(min(longest, FILTERS)):
+        filters.append(_broadcast_filter(texts, list(filters), least, filter_bits))
+    return (texts.mapInArrow(lambda batches: _exact(batches, [f.value for f in filters], longest),
                              "lang string, phrase string, n long")
             .groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
             .where((F.col("n") >= least) | (F.col("phrase") == ""))
@@ -356,8 +387,8 @@ def _decimal(c: Column) -> Column:
 
 def score(docs: DataFrame, least: int = 30, longest: int = 4, keep_percent: int = 80,
           text_col: str = "text", lang_col: str = "lang", filter_bits: int = FILTER_BITS,
-          range_rows: int = RANGE_ROWS) -> DataFrame:
-    """lang, phrase, a, l, r, n and score of all phrases that no longer one explains.
+          range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """lang, phrase, a, l, r and score of all phrases that no longer one explains; and lang, n.
 
     The score is floor(2000000 * a / (l + r)) at the lowest-scoring cut, the
     shortest first part at ties; products are decimals of 38 digits.
@@ -365,7 +396,7 @@ def score(docs: DataFrame, least: int = 30, longest: int = 4, keep_percent: int
     counts = keep_table(phrase_counts(docs, least, longest, text_col, lang_col, filter_bits),
                         "phrase-counts")
     phrases = counts.where(F.size("words") > 0)
-    totals = counts.where(F.size("words") == 0).select("lang", F.col("n").alias("total"))
+    totals = counts.where(F.size("words") == 0).select("lang", "n")
     forward = stream(phrases, range_rows)
     backward = stream(phrases.withColumn("words", F.reverse("words")), range_rows).select(
         "lang", F.reverse("words").alias("words"), F.col("parts").alias("last_parts"),
@@ -374,24 +405,27 @@ def score(docs: DataFrame, least: int = 30, longest: int = 4, keep_percent: int
     cut = F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.struct(
         k.alias("k"), F.element_at("parts", k).alias("l"),
         F.element_at("last_parts", size - k).alias("r")))
-    scored = F.transform(cut, lambda c: F.struct(
+    scores = F.transform(cut, lambda c: F.struct(
         F.call_function("div", _decimal(F.lit(2000000)) * F.col("n").cast("decimal(19,0)"),
                         _decimal(c["l"]) + _decimal(c["r"])).alias("score"),
         c["k"].alias("k"), c["l"].alias("l"), c["r"].alias("r")))
     explained = _decimal(F.lit(100)) * F.greatest("extension", "left_extension").cast(
         "decimal(19,0)") >= _decimal(F.lit(keep_percent)) * F.col("n").cast("decimal(19,0)")
-    return (forward.hint("merge").join(backward, ["lang", "words"])
-            .where((size > 1) & ~explained)
-            .withColumn("best", F.array_min(scored))
-            .join(totals, "lang")
-            .select("lang", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"),
-                    F.col("best.l").alias("l"), F.col("best.r").alias("r"),
-                    F.col("total").alias("n"), F.col("best.score").alias("score")))
+    scored = (forward.hint("merge").join(backward, ["lang", "words"])
+              .where((size > 1) & ~explained).withColumn("best", F.array_min(scores))
+              .select("lang", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"),
+                      F.col("best.l").alias("l"), F.col("best.r").alias("r"),
+                      F.col("best.score").alias("score")))
+    return scored, totals
+
 
+def top(scored: DataFrame, totals: DataFrame, most: int = 2000) -> DataFrame:
+    """The first ``most`` phrases of each language, by score, count and spelling.
 
-def top(scored: DataFrame, most: int = 2000) -> DataFrame:
-    """The first ``most`` phrases of each language, by score, count and spelling."""
+    Each task keeps ``most`` phrases of a language before the shuffle.
+    """
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+            .join(totals, "lang")
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r",
                     "n", "score"))

@@ -79,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of each language over all documents."""
-    return collocations.top(collocations.score(table(spark, sf_dir, "documents")), 2000)
+    return collocations.top(*collocations.score(table(spark, sf_dir, "documents")), 2000)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_documents_against_brute_force(spark, least, filter_bits, range_rows):
     """The small filter lets nearly all through, the small ranges cut words' phrases apart."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
-    got = found(collocations.top(collocations.score(
+    got = found(collocations.top(*collocations.score(
         docs.repartition(7), least, filter_bits=filter_bits, range_rows=range_rows), 300))
     want = brute(rows, least, most=300)
     assert got == want and len(got) >= 50
@@ -65,7 +65,7 @@ def test_edges_ties_and_odd_words(spark):
     rows += [(i, lang, t) for i, t, lang, *_ in EDGES if i != 4] + [(None, None, "a b a b a b")] * 4
     docs = frame(spark, rows, SCHEMA).repartition(4)
     for least, longest in ((1, 4), (5, 2), (2, 6)):
-        got = found(collocations.top(collocations.score(
+        got = found(collocations.top(*collocations.score(
             docs, least=least, longest=longest, range_rows=90), 500))
         assert got == brute([r[1:] for r in rows], least, longest, most=500)
 
@@ -91,7 +91,7 @@ def test_blocks_end_at_pieces(monkeypatch):
 
 
 def test_empty_table_and_clashing_columns(spark):
-    assert collocations.top(collocations.score(edges(spark).limit(0))).count() == 0
-    got = found(collocations.top(collocations.score(edges(spark), least=2), 100))
+    assert collocations.top(*collocations.score(edges(spark).limit(0))).count() == 0
+    got = found(collocations.top(*collocations.score(edges(spark), least=2), 100))
     want = brute([(lang, t) for _, t, lang, *_ in EDGES], least=2, most=100)
     assert got == want
