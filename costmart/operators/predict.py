@@ -150,3 +150,31 @@ def group_mean_predictions(df: DataFrame, group: str, label: str = LABEL,
     return (test.join(means, group, "left")
             .select(*keep, F.col(label).cast("double").alias("actual"),
                     F.coalesce(F.col("_gmean"), overall).alias("prediction")))
+
+
+def forest_report(model: PipelineModel, table: DataFrame, group: str, label: str = "label",
+                  tolerance: float = 0.05) -> DataFrame:
+    """M5 + M6 of a fitted model against the group-mean predictor, one row.
+
+    ``metrics`` of the test rows and their text, and three checks: ``learns``
+    (the model fits its training rows more closely than their group means do,
+    which no constant does), ``near_baseline`` (its test MAE is at most
+    ``tolerance`` above the group means' MAE) and ``band_fits`` (the band is
+    that of the R² shown). Without test rows or training rows a check is false.
+    """
+    is_test = ~F.col("is_train")
+    scored = predict(model, table, keep=["is_train"])
+    found = metrics(scored.where(is_test))
+    base = metrics(group_mean_predictions(table, group, label)).select("mae").scalar()
+    # Around its group's mean, a group's squared error is its count times its variance.
+    spread = table.where("is_train").groupBy(group).agg(
+        (F.count(label) * F.var_pop(label)).alias("sse")).agg(F.sum("sse")).scalar()
+    fitted = scored.where("is_train").agg(
+        F.sum((F.col("actual") - F.col("prediction")) ** 2)).scalar()
+    texts = {"mae_text": rupiah("mae"), "rmse_text": rupiah("rmse"),
+             "r2_text": F.format_string("%.4f", "r2")}
+    checks = {"learns": fitted < spread,
+              "near_baseline": F.col("mae") <= (1 + tolerance) * base,
+              "band_fits": F.col("quality") == quality_band(F.col("r2_text").try_cast("double"))}
+    return found.withColumns(texts).withColumns(
+        {name: F.coalesce(check, F.lit(False)) for name, check in checks.items()})

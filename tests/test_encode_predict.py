@@ -107,3 +107,26 @@ def test_main_payer_of_every_key(spark):
                                 ("y", None), (None, "a")], "k string, v string")
     assert sorted(map(tuple, mode_or_default(df, ["k"], "v", "m", "none").collect())) == \
         [("x", "a"), ("y", "none")]
+
+
+def test_forest_report_tells_a_forest_from_a_constant(spark):
+    from pyspark.sql import functions as F
+    from costmart.operators import predict as P
+
+    class Constant:
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(50.0))
+
+    rows = [(f"k{i}", i % 5 != 0, float(i % 12), float(i % 7), i % 4, float(40 + i * 37 % 23))
+            for i in range(400)]
+    table = spark.createDataFrame(
+        rows, "row_key string, is_train boolean, bulan double, hari double, poli_encoded int,"
+              " label double")
+    model = P.fit_forest(table.where("is_train"), ["bulan", "hari"], num_trees=10, max_depth=6)
+    got = P.forest_report(model, table, "poli_encoded").collect()
+    assert len(got) == 1 and got[0]["n"] == 80
+    assert got[0]["learns"] and got[0]["band_fits"]
+    flat = P.forest_report(Constant(), table, "poli_encoded").first()
+    assert not flat["learns"] and flat["band_fits"]
+    none = P.forest_report(model, table.limit(0), "poli_encoded").first()
+    assert (none["n"], none["learns"], none["near_baseline"]) == (0, False, False)
