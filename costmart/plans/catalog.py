@@ -958,3 +958,7 @@ def q_payer_display(spark, sf_dir):
     """C8 + X1: the per-payer table as shown."""
     from costmart.sources.sinks import PAYER_DISPLAY, display_table
     return display_table(marts.payer_summary(billing(spark, sf_dir)), PAYER_DISPLAY)
+
+
+# Queries along an order register themselves in the same dictionaries.
+from costmart.plans import ordered  # noqa: E402, F401
