@@ -48,7 +48,7 @@ from costmart.llm.lexicon import byte_letters
 
 #: Pairs whose counts are broadcast (16 bytes each), parts of texts that a worker remembers,
 #: and distinct pairs that a task counts before it hands them on.
-MAX_PAIRS, REMEMBERED, COUNTED = 3_000_000, 200_000, 2_000_000
+MAX_PAIRS, REMEMBERED, COUNTED = 3_000_000, 500_000, 2_000_000
 LONGEST_REMEMBERED = 64
 #: Groups up to this number of links list every link; larger ones count equal id pairs.
 LISTED = 64
@@ -61,6 +61,8 @@ def common_ends(left: Sequence[int], right: Sequence[int]) -> list[tuple[int, in
     """Index pairs of the equal numbers of two ascending lists, by galloping."""
     if len(left) > len(right):
         return [(i, j) for j, i in common_ends(right, left)]
+    if left == right:
+        return [(i, i) for i in range(len(left))]
     found, at, size = [], 0, len(right)
     for i, x in enumerate(left):
         step, top = 1, at
@@ -106,6 +108,7 @@ class Aligner:
         self._a.no_padding()
         self._b = SentencePieceProcessor(model_file=piece_path)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
+        self._blank = byte_letters()[ord(" ")]
         size = max(self._a.get_vocab(with_added_tokens=True).values()) + 1
         self._spell_a = [b""] * size
         for token, i in self._a.get_vocab(with_added_tokens=False).items():
@@ -117,16 +120,18 @@ class Aligner:
             else b.id_to_piece(i).replace("▁", " ").encode() for i in range(len(b))]
         self._len_a = [len(s) for s in self._spell_a]
         self._len_b = [len(s) for s in self._spell_b]
-        self.b_size = len(b)
+        self.a_size, self.b_size = size, len(b)
         #: Type of a pair's code, A id * number of B ids + B id.
         self.code = "I" if size * len(b) < 1 << 32 else "Q"
         self._known: dict[str, Aligned | None] = {}
         self._weighted: set[str] = set()
 
     def _align(self, part: str, a: list[int], b: list[int]) -> Aligned | None:
-        spelled = b"".join([self._spell_b[i] for i in b])
-        if spelled != b"".join([self._spell_a[i] for i in a]) or spelled != b" " + part.encode():
-            return None
+        if not part.isascii():               # both vocabularies spell every ASCII text
+            spelled = b"".join([self._spell_b[i] for i in b])
+            if (spelled != b" " + part.encode()
+                    or spelled != b"".join([self._spell_a[i] for i in a])):
+                return None
         ends_a = list(accumulate([self._len_a[i] for i in a]))
         ends_b = list(accumulate([self._len_b[i] for i in b]))
         texts, links, size, n_links = [], [], self.b_size, 0
@@ -134,6 +139,11 @@ class Aligner:
         heavy: Counter | None = None
         for of_a, of_b in cut:
             left, right = a[of_a], b[of_b]
+            if len(left) == len(right) == 1:
+                texts.append(f"{left[0]}|{right[0]}")
+                links.append(left[0] * size + right[0])
+                n_links += 1
+                continue
             texts.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
             n = len(left) * len(right)
             n_links += n
@@ -153,9 +163,14 @@ class Aligner:
                        ";".join(texts), array(self.code, links).tobytes(), times)
 
     def _learn(self, parts: list[str]) -> None:
-        coded = self._a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        for p, a, b in zip(parts, coded, self._b.encode(parts, num_threads=1)):
-            found = self._known[p] = self._align(p, a.ids, b)
+        # A run of ASCII letters is one word of the split rule: the merges alone encode it.
+        tokenize = self._a.model.tokenize
+        words = [p.isascii() and p.isalpha() for p in parts]
+        rest = iter(self._a.encode_batch_fast(
+            [" " + p for p, word in zip(parts, words) if not word], add_special_tokens=False))
+        for p, word, b in zip(parts, words, self._b.encode(parts, num_threads=1)):
+            a = [t.id for t in tokenize(self._blank + p)] if word else next(rest).ids
+            found = self._known[p] = self._align(p, a, b)
             if found is not None and found.times:
                 self._weighted.add(p)
 
@@ -283,7 +298,7 @@ class Counts(NamedTuple):
     pair: np.ndarray
     n: np.ndarray
     best: np.ndarray
-    ids: np.ndarray      # A ids of any pair that several documents hold
+    several: np.ndarray  # per A id: whether several documents hold a pair of it
 
 
 def _least(counts: DataFrame, max_pairs: int) -> int | None:
@@ -315,7 +330,7 @@ def links(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     ids = counts.select(F.floor(F.col("pair") / b_size).cast("int").alias("a")).distinct()
     shared = spark.sparkContext.broadcast(Counts(
         listed["pair"].to_numpy().astype(code), listed["n"].to_numpy(),
-        listed["best"].to_numpy(), np.sort(ids.toArrow()["a"].to_numpy())))
+        listed["best"].to_numpy(), np.isin(np.arange(tool.a_size), ids.toArrow()["a"].to_numpy())))
     rarer = counts.where(_size_class() < least) if least is not None else counts
     complete = rarer.isEmpty()
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, " \
@@ -325,30 +340,34 @@ def links(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in pieces(batches, "pairs", 8 << 20):
-            best, total, unknown, unknown_times = [], [], [], []
-            for raw, raw_times in zip(b.column("pairs"), b.column("times")):
-                codes = np.frombuffer(raw.as_buffer(), code)
-                times = _times(codes, raw_times.as_py())
-                at = np.searchsorted(table.pair, codes)
-                if len(table.pair):
-                    at = np.minimum(at, len(table.pair) - 1)
-                    hit = table.pair[at] == codes
-                else:
-                    hit = np.zeros(len(codes), bool)
-                n = times[hit].astype("q")
-                total.append(int((n * table.n[at[hit]]).sum()))
-                best.append(int(n[table.best[at[hit]]].sum()))
-                codes, times = codes[~hit].astype("q"), times[~hit].astype("q")
-                if complete:             # all others are of one document alone
-                    total[-1] += int(times.sum())
-                    alone = ~np.isin(codes // b_size, table.ids)
-                    best[-1] += int(times[alone].sum())
-                else:
-                    unknown.append(codes)
-                    unknown_times.append(times)
+        for b in pieces(batches, "pairs", 4 << 20):
+            raw = [r.as_buffer() for r in b.column("pairs")]
+            each = [np.frombuffer(r, code) for r in raw]
+            codes = np.concatenate(each)
+            times = np.concatenate([_times(c, t.as_py()).astype("q")
+                                    for c, t in zip(each, b.column("times"))])
+            ends = np.cumsum([0, *map(len, each)])
+            at = np.searchsorted(table.pair, codes)
+            if len(table.pair):
+                at = np.minimum(at, len(table.pair) - 1)
+                hit = table.pair[at] == codes
+                n = np.where(hit, table.n[at], 0)
+                best = hit & table.best[at]
+            else:
+                hit = best = np.zeros(len(codes), bool)
+                n = np.zeros(len(codes), "q")
+            if complete:                     # all others are of one document alone
+                n = np.where(hit, n, 1)
+                best = best | (~hit & ~table.several[(codes // b_size).astype("q")])
+            total, bests = (np.diff(np.concatenate([[0], np.cumsum(x * times)])[ends])
+                            for x in (n, best))
+            unknown = [c[~h].astype("q") for c, h in zip(each, np.split(hit, ends[1:-1]))] \
+                if not complete else None
+            unknown_times = [t[~h] for t, h in zip(np.split(times, ends[1:-1]),
+                                                   np.split(hit, ends[1:-1]))] \
+                if not complete else None
             columns = [b.column(c) for c in names[:7]] + [
-                pa.array(best, pa.int64()), pa.array(total, pa.int64())]
+                pa.array(bests.astype("q")), pa.array(total.astype("q"))]
             if not complete:
                 columns += [pa.array(unknown, pa.list_(pa.int64())),
                             pa.array(unknown_times, pa.list_(pa.int64()))]
@@ -358,7 +377,8 @@ def links(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     if not complete:
         found = keep_table(found, "links")
         single = (found.select("row", F.explode(F.arrays_zip("open", "open_times")).alias("x"))
-                  .select("row", F.col("x.open").alias("pair"), F.col("x.open_times").alias("times"),
+                  .select("row", F.col("x.open").alias("pair"),
+                          F.col("x.open_times").alias("times"),
                           F.floor(F.col("x.open") / b_size).cast("int").alias("a")))
         several = F.col("held").isNotNull()
         more = (single.join(rarer, "pair", "left")
