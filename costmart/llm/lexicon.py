@@ -87,7 +87,8 @@ class Merger:
             self.merges[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
         self._special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") \
             if self.special else None
-        self._path, self._library = path, None
+        self._path, self._library, self._merging = path, None, None
+        self._blank = letters[ord(" ")]
 
     def merge(self, part: bytes) -> list[int]:
         """Ids of one part of the split rule."""
@@ -135,15 +136,26 @@ class Merger:
                 heappush(heap, (best, h, ids[h], new))
         return [i for i in ids if i is not None]
 
-    def split(self, text: str) -> list[str]:
-        """Parts of a text by the library's own split rule, as letters that stand for bytes."""
+    def _tokenizer(self):
         if self._library is None:
             from tokenizers import Tokenizer
-            self._library = Tokenizer.from_file(self._path).pre_tokenizer
-        return [x for x, _ in self._library.pre_tokenize_str(text)]
+            self._library = Tokenizer.from_file(self._path)
+            self._merging = self._library.model
+        return self._library
+
+    def _model(self):
+        return self._merging or self._tokenizer().model
+
+    def split(self, text: str) -> list[str]:
+        """Parts of a text by the library's own split rule, as letters that stand for bytes."""
+        return [x for x, _ in self._tokenizer().pre_tokenizer.pre_tokenize_str(text)]
 
     def word(self, word: str) -> list[int]:
         """Ids of a word of ``words``."""
+        bare = word[1:] if word[0] == " " else word
+        if bare.isalpha() and bare.isascii():    # one part: the library merges it faster
+            return [t.id for t in self._model().tokenize(
+                self._blank + bare if bare is not word else word)]
         if _UNSURE.search(word):
             return self.merge(word.encode())
         out: list[int] = []
