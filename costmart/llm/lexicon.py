@@ -287,26 +287,26 @@ class Encoder:
 
     def __init__(self, merger: Merger, automaton: Automaton):
         self.merger, self.automaton = merger, automaton
-        self._merged: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}       # ids of words met before
+        self._merged: set[str] = set()           # those of them that the automaton lacks
 
     def _outputs(self, words: set[str]) -> dict[str, bytes]:
-        listed = list(words)
-        places = self.automaton.find(listed)
-        out, merged = {}, self._merged
-        if len(merged) > REMEMBERED:             # the older half goes
-            for word in list(merged)[:len(merged) - REMEMBERED // 2]:
-                del merged[word]
-        for word, place in zip(listed, places.tolist()):
+        """Ids of all ``words``; what the automaton and the merges gave before is remembered."""
+        known = self._known
+        if len(known) > REMEMBERED:              # the older half goes
+            for word in list(known)[:len(known) - REMEMBERED // 2]:
+                del known[word]
+                self._merged.discard(word)
+        new, long = list(words.difference(known)), {}
+        for word, place in zip(new, self.automaton.find(new).tolist()):
             if place >= 0:
-                out[word] = self.automaton.output(place)
+                ids = self.automaton.output(place)
             else:
-                ids = merged.get(word)
-                if ids is None:
-                    ids = np.array(self.merger.word(word), "<u4").tobytes()
-                    if len(word) <= LONG:
-                        merged[word] = ids
-                out[word] = ids
-        return out
+                ids = np.array(self.merger.word(word), "<u4").tobytes()
+                if len(word) <= LONG:
+                    self._merged.add(word)
+            (known if len(word) <= LONG else long)[word] = ids
+        return known | long if long else known
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
