@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from costmart.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
 def test_entry_runs(spark):
