@@ -961,4 +961,4 @@ def q_payer_display(spark, sf_dir):
 
 
 # Queries along an order register themselves in the same dictionaries.
-from costmart.plans import ordered  # noqa: E402, F401
+from costmart.plans import eventtime, ordered, tables  # noqa: E402, F401
