@@ -3,13 +3,15 @@
 Rules (allow or block a host with its subdomains and a path prefix) judge a
 page first, the longest rule that fits.  Hosts get seed weights from the share
 of their pages that rules allow or block.  Trust spreads from allowed hosts
-along links (personalised PageRank), distrust from blocked hosts against the
-links, to hosts that link to them.  Nearness is the strongest chain
-of links from a host to a blocked one: a blocked host's seed, times damping per
-link.  It is not divided among the hosts that link to the same one, so a verdict
-does not depend on how many others there are.  A page without a rule is blocked
-if distrust is more than ``block_share`` of its host's trust and distrust
-together, and that share times nearness is at least ``min_distrust``.
+along links (personalised PageRank: a host divides what it has among the hosts
+it links to).  Distrust spreads from blocked hosts against the links: a host
+takes damping times the mean of the hosts it links to.  So distrust is the
+discounted blame a surfer meets who starts there; the number of other hosts that
+link to a blocked one does not shrink it, and one link of thousands weighs one
+part in thousands.  Scores are iterated until the rest is below ``tolerance``.
+A page without a rule is blocked if its host's distrust is at least
+``min_distrust`` and more than ``block_share`` of its trust and distrust
+together.
 
 Built from DataFrame functions only.  Links are counted per host pair before
 anything is joined, so a host that holds a third of all pages is one row in
@@ -93,44 +95,46 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85,
-           rounds: int = 12) -> DataFrame:
-    """kind, host, score from kind, host, seed after ``rounds`` steps.
-
-    Kind ``trust`` follows links, kinds ``distrust`` and ``near`` go against
-    them; all take each step in one join and one aggregation.  A score is the sum over
-    paths from seeds of seed weight times damping per step over the links to
-    choose from at each step (``near``: the largest over paths of seed weight
-    times damping per step); what is beyond ``rounds`` steps weighs less than
-    damping ** rounds.
+           tolerance: float = 1e-4) -> DataFrame:
+    """kind, host, score from kind, host, seed: the fixed point of seed plus what links bring.
+
+    A link weighs damping over the links of the host it stands on.  ``trust``
+    takes it along, ``distrust`` against its direction; both take each step in
+    one join and one aggregation.  Each step shrinks the change by damping at
+    least, in sum (trust) or at most (distrust), so the iteration ends; it does
+    when what can still come is below ``tolerance`` of each score (of 1 for
+    smaller scores).  Every fourth step is written, and the change of the step
+    after it looked at.
     """
-    walks = (links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"),
-                          F.col("dst").alias("to"))
-             .unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"),
-                                       F.col("src").alias("to"))))
-    choices = walks.groupBy("kind", "host").agg((damping / F.count(F.lit(1))).alias("share"))
-    of_kind = lambda x: F.when(F.col("kind") == "near", F.max(x)).otherwise(F.sum(x))
-    walks = walks.join(choices, ["kind", "host"])
-    near = (walks.where("kind = 'distrust'")
-            .select(F.lit("near").alias("kind"), "host", "to", F.lit(damping).alias("share")))
-    walks = keep_table(walks.unionByName(near), "host-walks")
+    weights = links.groupBy("src").agg((damping / F.count(F.lit(1))).alias("share"))
+    weighed = links.join(weights, "src")
+    walks = keep_table(
+        weighed.select(F.lit("trust").alias("kind"), F.col("src").alias("host"),
+                       F.col("dst").alias("to"), "share")
+        .unionByName(weighed.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"),
+                                    F.col("src").alias("to"), "share")), "host-walks")
     seeds = keep_table(seeds.select("kind", "host", F.col("seed").cast("double").alias("score")),
                        "host-seeds")
     if walks.isEmpty():
         return seeds
-    score = seeds
-    for i in range(1, rounds + 1):
-        moved = (score.join(walks, ["kind", "host"])
-                 .groupBy("kind", F.col("to").alias("host"))
-                 .agg(of_kind(F.col("score") * F.col("share")).alias("score")))
-        score = (seeds.unionByName(moved).groupBy("kind", "host")
-                 .agg(of_kind("score").alias("score")))
-        if i % 4 == 0 and i < rounds:
-            score = keep_table(score, f"host-scores-{i}")
+    step = lambda score: (
+        seeds.unionByName(score.join(walks, ["kind", "host"]).select(
+            "kind", F.col("to").alias("host"), (F.col("score") * F.col("share")).alias("score")))
+        .groupBy("kind", "host").agg(F.sum("score").alias("score")))
+    score, change = seeds, None
+    while change is None or change * damping / (1 - damping) > tolerance:
+        before = step(step(step(score)))
+        both = step(before).withColumnRenamed("score", "now").join(before, ["kind", "host"], "left")
+        # A host once reached stays reached, so the left side has every host.
+        table = keep_table(both.withColumn("score", F.coalesce("score", F.lit(0.0))), "host-scores")
+        change = table.agg(F.max(F.abs(F.col("now") - F.col("score"))
+                                 / F.greatest("now", F.lit(1.0)))).first()[0] or 0.0
+        score = table.select("kind", "host", F.col("now").alias("score"))
     return score
 
 
 def judge(pages: DataFrame, rules: list[Rule], block_share: float = 0.75,
-          min_distrust: float = 0.5, damping: float = 0.85, rounds: int = 12,
+          min_distrust: float = 0.5, damping: float = 0.85, tolerance: float = 1e-4,
           id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
     rows = ruled(pages, rules, id_col, url_col)
@@ -138,16 +142,14 @@ def judge(pages: DataFrame, rules: list[Rule], block_share: float = 0.75,
         F.avg((F.coalesce("verdict", F.lit("")) == "allow").cast("double")).alias("trust"),
         F.avg((F.coalesce("verdict", F.lit("")) == "block").cast("double")).alias("distrust"))
     seeds = by_host.select("host", F.explode(F.create_map(
-        F.lit("trust"), "trust", F.lit("distrust"), "distrust",
-        F.lit("near"), "distrust")).alias("kind", "seed")) \
+        F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")) \
         .where("seed > 0")
-    scores = spread(seeds, host_links(pages, url_col, html_col), damping, rounds)
+    scores = spread(seeds, host_links(pages, url_col, html_col), damping, tolerance)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))),
                                  F.lit(0.0)).alias(kind)
-    hosts = scores.groupBy("host").agg(of("trust"), of("distrust"), of("near"))
+    hosts = scores.groupBy("host").agg(of("trust"), of("distrust"))
     both = F.col("trust") + F.col("distrust")
-    bad = ((F.col("near") * F.col("distrust") >= min_distrust * both)
-           & (F.col("distrust") > block_share * both))
+    bad = (F.col("distrust") >= min_distrust) & (F.col("distrust") > block_share * both)
     return (rows.join(hosts, "host", "left")
             .withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
             .select("page_id", "host", "path", "rule",
