@@ -31,9 +31,14 @@ class FeedSpec:
     ``columns``: names by position for a headerless feed (its width is checked).
     ``rename``: source header name -> canonical name for a feed with a header.
     ``copy_payer``: copy the payer into ``sumber_pembayaran`` (feed B).
-    ``malformed``: ``raise`` fails the job on a line with surplus fields;
-    ``mark`` keeps such lines and flags them in a boolean column ``malformed``.
-    Lines that are too short get NULLs for the missing fields.
+    ``multi_line``: a quoted field may hold line breaks, so a file is one task's
+    work (the price; feeds come as many files). Without it files are split, for
+    feeds known to have no such field: the halves of a broken record then count
+    as malformed.
+    ``malformed``: ``raise`` fails the job on a record with surplus fields or
+    an open quote; records that are too short get NULLs for the missing fields.
+    ``mark`` keeps all records and flags these three in a boolean column
+    ``malformed``.
     """
 
     path: str
@@ -44,6 +49,7 @@ class FeedSpec:
     copy_payer: bool = False
     encoding: str = "UTF-8"
     malformed: str = "raise"
+    multi_line: bool = True
 
 
 def feed_a(path: str) -> FeedSpec:
@@ -57,6 +63,7 @@ def feed_b(path: str) -> FeedSpec:
 def _reader(spark: SparkSession, spec: FeedSpec):
     return (spark.read.option("sep", spec.sep).option("header", spec.header)
             .option("encoding", spec.encoding).option("escape", '"')
+            .option("multiLine", spec.multi_line)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             # Every field is parsed, else a count would not see a surplus one.
             .option("columnPruning", False))
@@ -71,18 +78,21 @@ def landing_schema(names: Sequence[str]) -> T.StructType:
 
 
 def check_width(df: DataFrame, spec: FeedSpec, width: int) -> DataFrame:
-    """Fail on, or flag, lines with more than ``width`` fields; no field is lost unseen."""
+    """Fail on, or flag, records of another width or with an open quote; no field is lost unseen."""
     bare = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(spec.sep), F.lit(""))) + 1
+    opened = bare.contains('"')
     # Spark does not answer queries of the raw line alone, so the first field is looked at too.
     seen = F.coalesce(F.length(F.col(f"`{df.columns[0]}`")), F.lit(0)) >= 0
-    surplus = F.when(fields > width, seen).otherwise(F.lit(False))
     if spec.malformed == "mark":
-        return df.withColumn("malformed", surplus).drop(CORRUPT)
+        odd = F.when((fields != width) | opened, seen).otherwise(F.lit(False))
+        return df.withColumn("malformed", odd).drop(CORRUPT)
     if spec.malformed != "raise":
         raise ValueError(f"malformed must be 'raise' or 'mark', not {spec.malformed!r}")
-    message = F.concat(F.lit(f"{spec.path}: more than {width} fields: "), F.col(CORRUPT))
-    passed = F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    message = F.concat(F.lit(f"{spec.path}: more than {width} fields or an open quote: "),
+                       F.col(CORRUPT))
+    wrong = F.when((fields > width) | ((fields < width) & opened), seen).otherwise(F.lit(False))
+    passed = F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     return df.where(passed).drop(CORRUPT)
 
 

@@ -35,7 +35,8 @@ def read_feed_stream(spark: SparkSession, spec: FeedSpec, header_columns: Sequen
         raise ValueError("a streaming feed needs its column names")
     reader = (spark.readStream.schema(landing_schema(names)).option("sep", spec.sep)
               .option("header", spec.header).option("encoding", spec.encoding)
-              .option("escape", '"').option("enforceSchema", not spec.header)
+              .option("escape", '"').option("multiLine", spec.multi_line)
+              .option("enforceSchema", not spec.header)
               .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

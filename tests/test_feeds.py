@@ -108,9 +108,9 @@ def test_surplus_fields_raise_or_are_marked(spark, tmp_path):
     marking = dataclasses.replace(feed_a(folder), malformed="mark")
     raw = unify([read_feed(spark, marking)])
     assert {r.id_transaksi: r.malformed for r in raw.collect()} == \
-        {"A": False, "B": True, "C": True, "D": False, "E": False}
+        {"A": False, "B": True, "C": True, "D": False, "E": True}
     audit = row_audit(raw).first()
-    assert (audit.n_raw, audit.n_malformed) == (5, 2)
+    assert (audit.n_raw, audit.n_malformed) == (5, 3)
     assert [r.biaya for r in raw.where("id_transaksi = 'E'").collect()] == [None]
 
 
@@ -153,3 +153,52 @@ def test_clear_shared_removes_own_folders(spark):
     assert kept.count() == 5 and os.path.isdir(folder)
     clear_shared(spark)
     assert not os.path.exists(folder)
+
+
+B_HEADER = "NO;RM;EPS;NAMA;ADMISI;DOKTER;JENIS PELAYANAN;RAWAT;PENJAMIN;TOTAL;DISKON;MENINGGAL\n"
+
+
+def _broken_feeds(tmp_path):
+    """Both feeds with a line break, the separator and doubled quotes in a quoted name."""
+    a, b = str(tmp_path / "la"), str(tmp_path / "lb")
+    _write(f"{a}/x.csv", _line("A").replace("Ann", '"Ann\nLee, ""x"""') + "\n" + _line("B") + "\n")
+    _write(f"{b}/x.csv", B_HEADER + 'C;1;1;"Cat\r\nMay; y";07/01/2025 08:00;Dr Z;P;Inap;X;2;0;0\r\n'
+           + "D;1;1;Dan;07/01/2025 08:00;Dr Z;P;Inap;X;3;0;0\r\n")
+    return a, b
+
+
+def test_quoted_line_breaks_keep_their_record(spark, tmp_path):
+    a, b = _broken_feeds(tmp_path)
+    raw = read_feeds(spark, [feed_a(a), feed_b(b)])
+    names = {r.id_transaksi: r.nama_pasien for r in raw.collect()}
+    assert names == {"A": 'Ann\nLee, "x"', "B": "Ann", "C": "Cat\r\nMay; y", "D": "Dan"}
+    assert {r.id_transaksi for r in clean(raw).collect()} == set("ABCD")
+    audit = row_audit(raw).first()
+    assert (audit.n_raw, audit.n_clean) == (4, 4)
+
+
+def test_quoted_line_breaks_in_the_stream(spark, tmp_path):
+    from costmart.schema import FEED_B_RENAME
+    from costmart.streaming.ingest import start_ingest
+    a, b = _broken_feeds(tmp_path)
+    base = shared_dir(spark, "test-lines")
+    query = start_ingest(spark, [feed_a(a), feed_b(b)], f"{base}/t", f"{base}/c",
+                         header_columns={b: list(FEED_B_RENAME)})
+    query.awaitTermination()
+    rows = sinks.read_table(spark, f"{base}/t").collect()
+    assert {r.id_transaksi: r.nama_pasien for r in rows}["C"] == "Cat\r\nMay; y" and len(rows) == 4
+
+
+def test_split_files_raise_on_or_mark_broken_records(spark, tmp_path):
+    import dataclasses
+
+    from costmart.sources.feeds import unify
+    a = str(tmp_path / "ls")
+    _write(f"{a}/x.csv", "\n".join([_line("B"), _line("A").replace("Ann", '"Ann\nLee"')]) + "\n")
+    split = dataclasses.replace(feed_a(a), multi_line=False)
+    with pytest.raises(Exception, match="open quote"):
+        read_feeds(spark, [split]).collect()
+    raw = unify([read_feed(spark, dataclasses.replace(split, malformed="mark"))])
+    marks = sorted((r.id_transaksi, r.malformed) for r in raw.collect())
+    assert marks[0] == ("A", True) and ("B", False) in marks and len(marks) == 3
+    assert sum(m for _, m in marks) == 2
