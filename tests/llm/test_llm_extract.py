@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -89,3 +90,41 @@ def test_the_clustering_decides():
     page = f"<body><article>{''.join(f'<p>{x}</p>' for x in BODY)}</article><div>{links}</div></body>"
     assert extract.main_text(page) == "\n".join(BODY)
     assert "Link 7" in extract.main_text(page, level=-1e9)
+
+
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize("part, kept", [
+    ('<pre><span class="comment"># set x</span>\nx = 1</pre>', "# set x x = 1"),
+    ('<section class="related-work"><p>Earlier work.</p></section>', "Earlier work."),
+    ('<section id="social-history"><p>A history.</p></section>', "A history."),
+    ('<p class="alert">Mind the step.</p>', "Mind the step."),
+    ("<p>Let <math>x</math> be <label>one</label>.</p>", "Let x be one."),
+    ("<p>one<br>two</p>", "one two"),
+    ("<header><h2>Part</h2></header>", "Part"),
+    ('<div class="comments"><p>First!</p></div>', None),
+    ('<div class="social-share">Share this</div>', None),
+    ('<ul class="related-posts"><li>More</li></ul>', None),
+    ('<p class="advert">Buy this</p>', None), ("<aside>Beside</aside>", None)])
+@pytest.mark.parametrize("outer", ["article", 'div id="content"'])
+def test_marks_inside_the_article(part, kept, outer):
+    html = (f"<body><header>Site</header><nav>Menu</nav><{outer}><p>{LONG}</p>{part}<p>{LONG}</p>"
+            f"</{outer.split()[0]}><footer>Foot</footer></body>")
+    lines = extract.main_text(html).split("\n")
+    assert lines[0] == lines[-1] == LONG.strip()
+    assert lines[1:-1] == ([kept] if kept else [])
+
+
+def test_header_of_a_named_container():
+    html = (f'<body><header>Site</header><div id="content"><header><h1>Title</h1></header>'
+            f"<p>{LONG}</p></div><footer>Foot</footer></body>")
+    assert extract.main_text(html) == "Title\n" + LONG.strip()
+
+
+@pytest.mark.parametrize("open_tags", ["<div>" * 100_000, "<div><p>" * 50_000, "<b>" * 100_000,
+                                       "<ul><li>" * 50_000, "<article>" * 100_000])
+def test_deep_nesting_takes_linear_time(open_tags):
+    start = time.process_time()
+    assert extract.main_text(open_tags + LONG) == LONG.strip()
+    assert time.process_time() - start < 20
