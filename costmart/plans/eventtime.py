@@ -14,9 +14,12 @@ from costmart.plans.catalog import query
 from costmart.plans.ordered import _table
 from costmart.session import shared_dir
 from costmart.streaming import eventtime as E
+from costmart.streaming import keyed
 
 DELAY = 2 * 86400
 GAP = 6 * 3600
+#: Accounts: idle time after which one ends, visits of an alert and the time they fall in.
+IDLE, VISITS, PERIOD = 36 * 3600, 5, 86400
 
 #: Rows with their drop, the bound of each drop, and what the gate accepts.
 GATE_SQL = f"""
@@ -145,3 +148,26 @@ def q_stream_join(spark, sf_dir):
         F.col("event_type") == "view", GAP, 0)
     found = replay(spark, sf_dir, step)[2]
     return _plain_time(found.select("event_id", "user_id", "ts", "near_event_id", "near_ts"))
+
+
+@query("stream_accounts", GATE_SQL + f""",
+before AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev
+           FROM accepted),
+runs AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= {IDLE * 1_000_000}
+                            THEN 1 ELSE 0 END)
+             OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run
+         FROM before)
+SELECT user_id, event_id, ts, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS n,
+       CAST(sum(CAST(coalesce(value, 0) AS DECIMAL(18,2))) OVER (w ROWS UNBOUNDED PRECEDING)
+            AS DOUBLE) AS total,
+       coalesce(epoch_us(ts) - epoch_us(lag(ts, {VISITS - 1}) OVER w) < {PERIOD * 1_000_000},
+                false) AS alert
+FROM runs WHERE epoch_us(ts) < (SELECT w FROM mark)
+WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id)""")
+def q_stream_accounts(spark, sf_dir):
+    """Each user's running events and value, and an alert at five events within a day, from
+    keyed state with timers; a user idle for 36 hours starts anew."""
+    step = lambda base, schema: keyed.run_accounts(
+        spark, base, schema, "ts", DELAY, ["user_id"], "event_id", "value", VISITS, PERIOD, IDLE)
+    found = replay(spark, sf_dir, step)[2]
+    return _plain_time(found.withColumn("total", F.col("total").cast("double")))

@@ -86,7 +86,7 @@ def accepted_stream(spark: SparkSession, base: str, schema: T.StructType, time:
             .withWatermark(time, f"{delay_seconds} seconds"))
 
 
-def _run(result: DataFrame, base: str, name: str) -> DataFrame:
+def run_append(result: DataFrame, base: str, name: str) -> DataFrame:
     """Append what is final to the table ``base``/``name``; the table, read back whole.
 
     The file sink's log names the files of finished batches, so files of a
@@ -108,7 +108,7 @@ def run_windows(spark: SparkSession, base: str, schema: T.StructType, time: str,
     found = (rows.groupBy(frame, *keys).agg(*aggregates)
              .withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
              .drop("window"))
-    return _run(found, base, name)
+    return run_append(found, base, name)
 
 
 def run_sessions(spark: SparkSession, base: str, schema: T.StructType, time: str,
@@ -127,7 +127,7 @@ def run_sessions(spark: SparkSession, base: str, schema: T.StructType, time: str
              .withColumns({"session_start": F.col("session_window.start"),
                            "session_end": F.col("session_window.end") + tick})
              .drop("session_window"))
-    return _run(found, base, name)
+    return run_append(found, base, name)
 
 
 def run_join(spark: SparkSession, base: str, schema: T.StructType, time: str, delay_seconds: int,
@@ -148,4 +148,4 @@ def run_join(spark: SparkSession, base: str, schema: T.StructType, time: str, de
           & (F.col(f"{prefix}{time}") <= F.col(time) + F.expr(f"INTERVAL {after_seconds} SECONDS")))
     for k in keys:
         on &= F.col(f"`{k}`") == F.col(f"`{prefix}{k}`")
-    return _run(lefts.join(rights, on, "leftOuter"), base, name)
+    return run_append(lefts.join(rights, on, "leftOuter"), base, name)
