@@ -1,7 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
 Pass 1 scatters the records uniformly into buckets by a seeded hash of the
-record, so many that a bucket fits in a task's memory.  Pass 2 reads a bucket,
+record, so many that a bucket fits in a task's memory.  A record repeated so
+often that its copies would fill a quarter of a bucket is counted and dealt in
+chunks of such a quarter, each with a hash of its own.  Pass 2 reads a bucket,
 puts it in a fixed order, Fisher-Yates-shuffles it with a generator seeded by
 (seed, bucket) and writes it.  Bucket counts give each bucket its place in the
 global order; the order is cut into ``shards`` runs whose row counts are at
@@ -13,7 +15,7 @@ partitions, so a task that runs again writes the same rows.
 
 Defined cases: a null text has size 8 (no bytes) and CRC 0 and stays null in
 the files; a null id is a record like any other; rows that repeat all values
-land in one bucket and are all written; with fewer rows than shards some
+are all written, each with a slot of its own; with fewer rows than shards some
 shards are empty; an empty table writes nothing and gives an empty result;
 other columns are neither read nor written.
 """
@@ -54,6 +56,9 @@ def _shuffled(seed: int, shards: int, total: int):
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
+        copies = rows.column("copies").to_numpy()
+        if (copies > 1).any():
+            rows = rows.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
         order = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("crc", "ascending"),
                                                  ("size", "ascending")])
         bucket, start = rows.column("bucket")[0].as_py(), rows.column("start")[0].as_py()
@@ -68,6 +73,38 @@ def _shuffled(seed: int, shards: int, total: int):
     return run
 
 
+def _bucketed(rows: DataFrame, buckets: int, bucket_bytes: int,
+              seed: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, text, size, crc) with their bucket and the ``copies`` each stands for;
+    bucket and rows of every bucket."""
+    key = [F.lit(seed), F.col("doc_id"), F.col("crc")]
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))) \
+        .withColumn("copies", F.lit(1).cast("long"))
+    sizes = keep_table(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"),
+                                                   F.sum("size").alias("bytes")), "bucket-sizes")
+    full = sizes.where(F.col("bytes") > 2 * bucket_bytes).select("bucket")
+    if buckets == 1 or full.isEmpty():
+        return dealt, sizes.select("bucket", "rows")
+    # Copies of one record that a chunk holds.
+    chunk = F.greatest(F.lit(1), F.expr(f"{max(1, bucket_bytes // 4)} div size"))
+    often = keep_table(
+        dealt.join(full, "bucket", "left_semi").groupBy("doc_id", "crc", "size")
+        .agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") > chunk)),
+        "repeated-records").select("doc_id", "crc", "size").alias("o")
+    # Their copies fill a quarter of a bucket each: at most four a bucket.
+    often = F.broadcast(often) if 4 * buckets <= PLACES_TO_ALL else often
+    same = F.expr("d.doc_id <=> o.doc_id AND d.crc = o.crc AND d.size = o.size")
+    once = dealt.alias("d").join(often, same, "left_anti")
+    chunks = (dealt.alias("d").join(often, same, "left_semi")
+              .groupBy("doc_id", "text", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("per", chunk)
+              .withColumn("chunk", F.explode(F.expr("sequence(0L, (n - 1) div per)")))
+              .withColumn("bucket", F.pmod(F.xxhash64(*key, "chunk"), F.lit(buckets)))
+              .withColumn("copies", F.expr("least(per, n - chunk * per)")))
+    dealt = once.unionByName(chunks.select(*dealt.columns))
+    return dealt, dealt.groupBy("bucket").agg(F.sum("copies").alias("rows"))
+
+
 def write_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str = "doc_id",
                  text_col: str = "text", bucket_bytes: int = BUCKET_BYTES,
                  path: str | None = None) -> str:
@@ -83,10 +120,8 @@ def write_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str = "do
     buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes))
     rows = rows.withColumn("size", size).withColumn(
         "crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = rows.withColumn("bucket", F.pmod(
-        F.xxhash64(F.lit(seed), "doc_id", "crc"), F.lit(buckets)))
-    places = keep_table(_places(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))),
-                        "bucket-places")
+    rows, counts = _bucketed(rows, buckets, bucket_bytes, seed)
+    places = keep_table(_places(counts), "bucket-places")
     rows = rows.join(F.broadcast(places) if buckets <= PLACES_TO_ALL else places, "bucket")
     (rows.groupBy("bucket")
      .applyInArrow(_shuffled(seed, shards, total["rows"]),
