@@ -5,8 +5,9 @@ a second set the languages within a family; both levels vote one against one.
 Features are hashed byte trigrams of the lower-cased text with square-root
 counts at unit length, so a text of any length is one vector.
 
-The fit uses a bounded sample (``per_language`` training rows of each
-language, in hash order); every text is scored whole.
+The fit uses a bounded sample (``per_language`` training rows of each language,
+in hash order, ``max_rows`` in all, of ``max_languages`` languages at most);
+every text is scored whole.
 
 Defined cases: a null text or one without letters is ``und`` with score 0;
 without training rows every text is; with one language that language is
@@ -45,8 +46,8 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bins of the trigram hash (a power of two).
 BINS = 4096
-#: Values of the language column whose counts may be broadcast.
-MANY_LANGUAGES = 10_000
+#: Training rows and languages of a fit in all.
+MAX_ROWS, MAX_LANGUAGES = 10_000, 100
 #: Trigrams that are counted in one step, so a very long text needs little memory.
 STEP = 1 << 18
 
@@ -140,37 +141,67 @@ class LanguageModel:
 def fit_sample(texts: list[str], langs: list[str],
                family_of: dict[str, str] = FAMILY_OF) -> LanguageModel | None:
     """The model of labelled texts; None without any text that has a letter."""
-    rows = [(t, lang) for t, lang in zip(texts, langs) if has_letter(t)]
-    if not rows:
+    rows = [(vector(t), lang) for t, lang in zip(texts, langs) if has_letter(t)]
+    return fit_vectors([x for x, _ in rows], [lang for _, lang in rows], family_of)
+
+
+def fit_vectors(vectors: list[np.ndarray], langs: list[str],
+                family_of: dict[str, str] = FAMILY_OF) -> LanguageModel | None:
+    """The model of the vectors of labelled texts; None without any."""
+    if not vectors:
         return None
-    x = np.array([vector(t) for t, _ in rows])
-    families = [family_of.get(lang, lang) for _, lang in rows]
+    x = np.array(vectors)
+    families = [family_of.get(lang, lang) for lang in langs]
     levels = {}
     for f in sorted(set(families)):
         own = [i for i, g in enumerate(families) if g == f]
-        levels[f] = OneVersusOne(x[own], [rows[i][1] for i in own])
+        levels[f] = OneVersusOne(x[own], [langs[i] for i in own])
     return LanguageModel(OneVersusOne(x, families), levels)
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lang, h and the vector of each text that has a letter."""
+    for b in pieces(batches, "text"):
+        texts = b.column("text").to_pylist()
+        kept = b.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+        made = [vector(t).tobytes() for t in kept.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [kept.column("doc_id"), kept.column("lang"), kept.column("h"),
+             pa.array(made, pa.binary())], ["doc_id", "lang", "h", "vector"])
+
+
 def fit(docs: DataFrame, per_language: int = 600, id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang", family_of: dict[str, str] = FAMILY_OF) -> LanguageModel | None:
-    """Fit on at most ``per_language`` training rows (not held out) of each language."""
+        lang_col: str = "lang", family_of: dict[str, str] = FAMILY_OF,
+        max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
+    """Fit on at most ``per_language`` training rows (not held out) of each language.
+
+    With many languages each gives fewer, ``max_rows`` in all; of more than
+    ``max_languages`` the most frequent ones are learned (ties by name). The
+    sampled texts become vectors where they lie, so the driver holds
+    ``max_rows`` vectors of ``BINS`` numbers however long the texts are.
+    """
     rows = docs.select(*pairs(id_col, text_col), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    usable = (rows.where("lang IS NOT NULL AND text IS NOT NULL")
-              .where(~held_out(F.col("doc_id")))
-              .select("doc_id", "lang", F.xxhash64("text").alias("h")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    bounded = counts.limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES
-    few = first_by_hash(usable.join(F.broadcast(counts) if bounded else counts, "lang"),
-                        F.col("doc_id"), per_language, F.col("n"))
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
+    usable = rows.select("doc_id", "lang", F.xxhash64("text").alias("h"))
+    learned = (usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+               .orderBy(F.desc("n"), "lang").limit(max_languages).collect())
+    if not learned:
+        return None
+    quota = min(per_language, max(1, max_rows // len(learned)))
+    counts = docs.sparkSession.createDataFrame([tuple(r) for r in learned], "lang string, n long")
+    few = first_by_hash(usable.join(F.broadcast(counts), "lang"), F.col("doc_id"), quota, F.col("n"))
     first = Window.partitionBy("lang").orderBy("hash", "doc_id", "h")
-    chosen = (few.withColumn("place", F.row_number().over(first))
-              .where(F.col("place") <= per_language).select("doc_id", "lang", "h"))
-    # The sample has per_language rows a language; only those rows' texts are fetched.
-    taken = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen),
-                                                          ["doc_id", "lang", "h"])
-    found = sorted({(r["doc_id"] or 0, r["lang"], r["text"]) for r in taken.collect()})
-    return fit_sample([t for _, _, t in found], [lang for _, lang, _ in found], family_of)
+    chosen = (few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= quota)
+              .select("doc_id", "lang", "h").distinct())
+    # At most quota * max_languages narrow rows; a null id is its own key.
+    found = rows.withColumn("h", F.xxhash64("text")).alias("r").join(
+        F.broadcast(chosen.alias("c")),
+        F.expr("r.doc_id <=> c.doc_id AND r.lang = c.lang AND r.h = c.h"), "left_semi")
+    made = found.mapInArrow(_vectors, "doc_id long, lang string, h long, vector binary")
+    sample = sorted({(r["doc_id"] or 0, r["lang"], r["h"], bytes(r["vector"]))
+                     for r in made.dropDuplicates(["doc_id", "lang", "h"]).collect()})
+    return fit_vectors([np.frombuffer(v, np.float32) for *_, v in sample],
+                       [lang for _, lang, _, _ in sample], family_of)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",

@@ -59,3 +59,53 @@ def test_edges(spark):
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(one, langid.fit(one)).collect()} \
         == {("de", 1.0)}
     assert len(EDGES) == 11
+
+
+def test_sample_is_bounded_with_many_languages(spark, monkeypatch):
+    docs = frame(spark, [*sample(4, 80), *((1000 + i, f"wort{i} rare text {i}", f"x{i:03}", "s", 1)
+                                           for i in range(200))])
+    sizes = []
+    real = langid.fit_vectors
+    monkeypatch.setattr(langid, "fit_vectors",
+                        lambda x, langs, f: sizes.append(langs) or real(x, langs, f))
+    model = langid.fit(docs, max_rows=60, max_languages=12)
+    assert len(sizes[0]) <= 60 and len(set(sizes[0])) == 12
+    assert set(WORDS) <= set(sizes[0])               # the most frequent ones are learned
+    got = {r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got <= set(sizes[0])
+
+
+def test_fit_equals_votes_recomputed_from_the_sample(spark):
+    rows = [*sample(5, 60), *sample(5, 4), (None, "und der die das nicht", "de", "s", 1)]
+    docs = frame(spark, rows)
+    train = sorted({(i or 0, lang, t) for i, t, lang, *_ in rows
+                    if i is None or zlib.crc32(str(i).encode()) % 4 != 2})
+    model = langid.fit_sample([t for *_, t in train], [lang for _, lang, _ in train])
+    texts = [r[1] for r in rows]
+    for (lang, score), r in zip(model.predict(texts), langid.identify(docs, langid.fit(docs))
+                                .select("lang_pred", "score", "doc_id").collect()):
+        want = vote(model, r["doc_id"], rows)
+        assert (lang, r["lang_pred"]) == (want[0], want[0])
+        assert abs(score - want[1]) < 1e-5 and abs(r["score"] - want[1]) < 1e-3
+
+
+def vote(model, doc_id, rows):
+    """Family, then language, by plain sums over the pairs of machines."""
+    import math
+    x = [float(v) for v in langid.vector(next(r[1] for r in rows if r[0] == doc_id))]
+
+    def tops(level):
+        if len(level.classes) == 1:
+            return level.classes[0], 1.0
+        got = dict.fromkeys(level.classes, 0.0)
+        for (i, j), w in zip(level.pairs, level.weights.tolist()):
+            margin = sum(a * b for a, b in zip(x, w)) + w[-1]
+            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, 4 * margin))))
+            got[level.classes[i]] += p
+            got[level.classes[j]] += 1 - p
+        top = max(sorted(got), key=got.get)
+        return top, got[top] / len(level.pairs)
+
+    family, a = tops(model.families)
+    lang, b = tops(model.languages[family])
+    return lang, a * b
