@@ -6,10 +6,10 @@ lowest-scoring cut: how often the phrase stands, against how often its two
 halves do.
 
 1. Counts.  Every phrase inside a frequent one is frequent itself, so three
-   passes first count words, pairs and triples by 64-bit hashes, partly summed
-   in the tasks, each only where the shorter ones pass; those that reach
-   ``least`` set bits of a filter of fixed size.  A bit set by mistake costs a
-   row, nothing else.  The last pass counts words and phrases exactly, by their
+   passes first count words, pairs and triples by the first 32 bits of their
+   hashes, partly summed in the tasks, each only where the shorter ones pass;
+   those that reach ``least`` set bits of a filter of fixed size.  A bit set by
+   mistake, as by two rare ones with equal bits, costs a row, nothing else.  The last pass counts words and phrases exactly, by their
    spelling, where all in them pass the filters; what does not reach ``least``
    is dropped.
 2. Streams.  The counts are kept in prefix order (range-partitioned and sorted
@@ -136,14 +136,14 @@ def _seed(lang: str) -> int:
 # ---- counts ----------------------------------------------------------------
 
 class _Sums:
-    """Counts per 64-bit hash, summed up as far as a bounded table allows."""
+    """Counts per hash (its first 32 bits), summed up as far as a bounded table allows."""
 
     def __init__(self) -> None:
         self._waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self._size = 0
 
     def add(self, hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self._waiting.append((hashes, n))
+        self._waiting.append(((hashes >> np.uint64(32)).astype(np.uint32), n))
         self._size += len(hashes)
         if self._size > SUMMED + SUMMED // 2:
             self._settle()
@@ -163,7 +163,7 @@ class _Sums:
             self._settle()
             hashes, n = self._waiting[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+                [pa.array(hashes.view(np.int32)), pa.array(n.astype(np.int64))], ["hash", "n"])
         self._waiting, self._size = [], 0
 
 
@@ -180,11 +180,14 @@ class Filter:
 
 
 def _filter(counted: DataFrame, least: int, log2: int) -> Filter:
-    """The filter of all hashes that reach ``least``: at most 2^(log2 - 6) rows come to the driver."""
-    at = F.shiftrightunsigned(F.col("hash"), 64 - log2)
+    """The filter of all hashes that reach ``least``: at most 2^(log2 - 6) rows come to the driver.
+
+    ``counted`` has the first 32 bits of hashes, so ``log2`` is 32 at most.
+    """
+    at = F.shiftrightunsigned(F.col("hash"), 32 - log2)
     rows = (counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
             .groupBy(F.shiftright(at, 6).alias("word"))
-            .agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(hash, {64 - log2}) & 63 as int)))")
+            .agg(F.expr(f"bit_or(shiftleft(1L, shiftrightunsigned(hash, {32 - log2}) & 63))")
                  .alias("bits")).toArrow())
     bits = np.zeros(1 << log2 - 6, np.uint64)
     bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
@@ -282,7 +285,7 @@ def _exact(batches: Iterator[pa.RecordBatch], filters: list[Filter],
 def _broadcast_filter(texts: DataFrame, filters: list, least: int, log2: int):
     """The broadcast filter of phrases one word longer than those of the last filter."""
     counted = texts.mapInArrow(lambda batches: _hashed(batches, [f.value for f in filters]),
-                               "hash long, n long")
+                               "hash int, n long")
     return texts.sparkSession.sparkContext.broadcast(_filter(counted, least, log2))
 
 
