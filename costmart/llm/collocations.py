@@ -5,8 +5,8 @@ the pieces into words.  A phrase of two to ``longest`` words is scored by its
 lowest-scoring cut: how often the phrase stands, against how often its two
 halves do.
 
-1. Counts.  Every phrase inside a frequent one is frequent itself, so three
-   passes first count words, pairs and triples by the first 32 bits of their
+1. Counts.  Every phrase inside a frequent one is frequent itself, so one pass
+   per length first count words, pairs, ... by the first 32 bits of their
    hashes, partly summed in the tasks, each only where the shorter ones pass;
    those that reach ``least`` set bits of a filter of fixed size.  A bit set by
    mistake, as by two rare ones with equal bits, costs a row, nothing else.  The last pass counts words and phrases exactly, by their
@@ -49,7 +49,7 @@ BLOCK, SUMMED, PHRASES = 2 << 20, 3 << 20, 1_000_000
 #: Bits of each filter: 2^26 bits are 8 MB, however large the corpus.
 FILTER_BITS = 26
 #: Filters are made for phrases of up to this many words.
-FILTERS = 3
+FILTERS = 4
 #: Counts in a range of a stream, on average.
 RANGE_ROWS = 1_000_000
 
