@@ -5,13 +5,13 @@ the pieces into words.  A phrase of two to ``longest`` words is scored by its
 lowest-scoring cut: how often the phrase stands, against how often its two
 halves do.
 
-1. Counts.  Every phrase inside a frequent one is frequent itself, so one pass
-   per length first count words, pairs, ... by the first 32 bits of their
-   hashes, partly summed in the tasks, each only where the shorter ones pass;
-   those that reach ``least`` set bits of a filter of fixed size.  A bit set by
-   mistake, as by two rare ones with equal bits, costs a row, nothing else.  The last pass counts words and phrases exactly, by their
-   spelling, where all in them pass the filters; what does not reach ``least``
-   is dropped.
+1. Counts.  Every phrase inside a frequent one is frequent itself.  One pass a
+   length first counts words, pairs, ... by the first 32 bits of their hashes,
+   partly summed in the tasks, each only where the shorter ones pass; those that
+   reach ``least`` set bits of a filter of fixed size.  A bit set by mistake, as
+   by two rare ones with equal bits, costs a row, nothing else.  The last pass
+   counts words and phrases exactly, by their spelling, where all in them pass
+   the filters; what does not reach ``least`` is dropped.
 2. Streams.  The counts are kept in prefix order (range-partitioned and sorted
    by language and words) and in suffix order (by the words reversed).  A phrase
    then follows its beginnings, and precedes its extensions, so one pass in
