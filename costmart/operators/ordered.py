@@ -110,7 +110,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
 
 def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
                   before: int, after: int, keys: Sequence[str] = (), prefix: str = "near_",
-                  bin_rows: int = BIN_ROWS) -> DataFrame:
+                  bin_rows: int = BIN_ROWS, totals: dict[str, Column] | None = None,
+                  parts: int | None = None) -> DataFrame:
     """Pairs of rows with right_time in [left_time - before, left_time + after] seconds.
 
     Time is cut into bins as wide as the interval, so a left row stands in two
@@ -118,7 +119,15 @@ def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time:
     their keys) of more than ``bin_rows`` right rows are salted: the right rows
     are dealt over salts, left rows are repeated for each. Rows with a null time
     or key pair with nothing. Right columns get ``prefix``.
+
+    ``totals`` (name to a number of a right row) asks for sums over the pairs
+    instead of the pairs: each left row that has a partner, once, with the sum
+    of each number over its partners (NULL if all are). No pair is made, so the
+    work grows with the rows, however many fall into one interval.
     """
+    if totals is not None:
+        return _interval_totals(left, right, left_time, right_time, before * 1_000_000,
+                                after * 1_000_000, keys, totals, parts)
     before, after = before * 1_000_000, after * 1_000_000
     width = max(1, before + after)
 
@@ -152,6 +161,75 @@ def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time:
                     *(F.col(f"`{prefix}{c}`") for c in right.columns)))
 
 
+def _interval_totals(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
+                     before: int, after: int, keys: Sequence[str], totals: dict[str, Column],
+                     parts: int | None) -> DataFrame:
+    """Sums over an interval as the difference of two running sums (times in microseconds).
+
+    Every left row puts two marks into the order of the right rows: one before
+    the first row of its interval, one behind the last. Right rows of one time
+    are summed up first, so a time that many share is a few rows.
+    """
+    def micros(name: str) -> Column:
+        return F.unix_micros(F.col(f"`{name}`").cast("timestamp"))
+
+    names = [f"k{i}" for i in range(len(keys))]
+    told = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
+    sums = [f"s{i}" for i in range(len(totals))]
+    counts = [f"n{i}" for i in range(len(totals))]
+    measures = ["rows", *sums, *counts]
+    rights = (right.select(*told, micros(right_time).alias("at"),
+                           *(c.alias(s) for s, c in zip(sums, totals.values())))
+              .na.drop(subset=["at", *names]).groupBy(*names, "at")
+              .agg(F.count(F.lit(1)).alias("rows"), *(F.sum(s).alias(s) for s in sums),
+                   *(F.count(s).alias(n) for s, n in zip(sums, counts)))
+              .withColumns({"side": F.lit(1), "tie": F.lit(0).cast("long")}))
+    kinds = {f.name: f.dataType for f in rights.schema}
+    # Rows that are equal in all columns get one number each, so each row's two marks meet.
+    lefts = materialise(left.withColumn("_lt", micros(left_time)).na.drop(subset=["_lt", *keys])
+                        .withColumn("_id", F.monotonically_increasing_id()), "interval-left")
+    marks = lefts.select(*told, F.col("_id").alias("tie"), F.explode(F.array(
+        F.struct((F.col("_lt") - before).alias("at"), F.lit(0).alias("side")),
+        F.struct((F.col("_lt") + after).alias("at"), F.lit(2).alias("side")))).alias("m")) \
+        .select(*names, "m.at", "m.side", "tie",
+                *(F.lit(None).cast(kinds[m]).alias(m) for m in measures))
+    both = rights.unionByName(marks).withColumn("all", F.lit(0))
+    group = ["all", *names]
+    dealt = split_ordered(both, group, ["at", "side", "tie"], parts)
+    so_far = (Window.partitionBy(PART, *group).orderBy("at", "side", "tie")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    zero = {m: F.lit(0).cast(kinds[m]) for m in measures}
+    carried = F.struct(*(F.coalesce(F.sum(m), zero[m]).alias(m) for m in measures))
+
+    def summed(partial: Column, over) -> Column:
+        return F.struct(*(F.sum(partial[m]).over(over).alias(m) for m in measures))
+
+    before_part = (Window.partitionBy(*group).orderBy(PART)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+    # At most one row a part, as in ``_carried``.
+    carry = (dealt.groupBy(PART, *group).agg(carried.alias("p"))
+             .select(F.col(PART).alias("_carry_part"), *(F.col(g).alias(f"_carry_{g}") for g in group),
+                     summed(F.col("p"), before_part).alias("_carry"))
+             .where(F.col("_carry.rows").isNotNull()))
+    same = F.col(PART) == F.col("_carry_part")
+    for g in group:
+        same &= F.col(g) == F.col(f"_carry_{g}")
+    found = dealt.join(F.broadcast(carry), same, "left")
+    found = found.select("tie", "side", *(
+        (F.coalesce(F.sum(m).over(so_far), zero[m]) + F.coalesce(F.col("_carry")[m], zero[m]))
+        .alias(m) for m in measures)).where(F.col("side") != 1)
+
+    def within(m: str) -> Column:
+        return (F.max(F.when(F.col("side") == 2, F.col(m)))
+                - F.max(F.when(F.col("side") == 0, F.col(m))))
+
+    sums_of = found.groupBy(F.col("tie").alias("_id")).agg(*(within(m).alias(f"_{m}") for m in measures))
+    return (lefts.join(sums_of.where(F.col("_rows") > 0), "_id")
+            .select(*(F.col(f"`{c}`") for c in left.columns),
+                    *(F.when(F.col(f"_{n}") > 0, F.col(f"_{s}")).alias(name)
+                      for name, s, n in zip(totals, sums, counts))))
+
+
 def count_smaller(left: DataFrame, right: DataFrame, left_value: str, right_value: str,
                   name: str = "n_smaller", parts: int | None = None) -> DataFrame:
     """Every left row with the number of right rows whose value is smaller; no pairs are made.

@@ -76,10 +76,11 @@ def q_interval_counts(spark, sf_dir):
     """For each error, the other events of any user within 30 minutes: number and value."""
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "value", "event_type")
     found = O.interval_join(events.where("event_type = 'error'"),
-                            events.where("event_type <> 'error'"), "ts", "ts", 1800, 1800)
+                            events.where("event_type <> 'error'"), "ts", "ts", 1800, 1800,
+                            totals={"n": F.col("event_id").isNotNull().cast("long"),
+                                    "near": F.col("value").cast("decimal(18,2)")})
     return found.groupBy("event_id").agg(
-        F.count("near_event_id").alias("n_near"),
-        F.sum(F.col("near_value").cast("decimal(18,2)")).cast("double").alias("value_near"))
+        F.sum("n").alias("n_near"), F.sum("near").cast("double").alias("value_near"))
 
 
 @query("smaller_lines", """

@@ -149,3 +149,31 @@ def test_no_window_without_keys(spark):
     for name in ("smaller_lines", "running_cost", "asof_last_view"):
         text = plan(catalog.QUERIES[name](spark, SF))
         assert "SinglePartition" not in text or "Window" not in text, name
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("parts", [1, 13])
+def test_interval_totals(spark, keys, parts):
+    """Sums over the pairs of an interval without the pairs; repeated rows count for themselves."""
+    left, right = sides(7), sides(8)
+    got = O.interval_join(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT),
+                          "lt", "rt", 600, 120, keys, parts=parts,
+                          totals={"n": F.col("rid").isNotNull().cast("long"), "y": F.col("y")})
+    want = []
+    for lid, k, lt, x in left:
+        near = [r for r in right if lt is not None and r[2] is not None and (
+            not keys or (k is not None and r[1] == k))
+            and lt - dt.timedelta(seconds=600) <= r[2] <= lt + dt.timedelta(seconds=120)]
+        values = [r[3] for r in near if r[3] is not None]
+        if near:
+            want.append((lid, k, lt, x, len(near), sum(values) if values else None))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_interval_counts_make_no_pairs(spark):
+    """Five thousand rows in one interval on each side would be 25 million pairs."""
+    rows = spark.range(5000).select("id", F.lit(T0).cast("timestamp_ntz").alias("t"))
+    got = O.interval_join(rows, rows, "t", "t", 60, 60, totals={"n": F.lit(1)})
+    assert got.groupBy("n").count().collect() == [(5000, 5000)]
+    text = plan(catalog.QUERIES["interval_counts"](spark, SF))
+    assert "near_event_id" not in text
