@@ -130,3 +130,21 @@ def test_forest_report_tells_a_forest_from_a_constant(spark):
     assert not flat["learns"] and flat["band_fits"]
     none = P.forest_report(model, table.limit(0), "poli_encoded").first()
     assert (none["n"], none["learns"], none["near_baseline"]) == (0, False, False)
+
+
+def test_forest_grows_in_groups_of_trees(spark):
+    """A kept row holds one count for each tree of a group, not of the whole forest."""
+    from costmart.operators import predict as P
+    rows = [(float(i % 12), float(i % 7), float(i * 37 % 23)) for i in range(300)]
+    table = spark.createDataFrame(rows, "a double, b double, label double")
+    model = P.fit_forest(table, ["a", "b"], num_trees=25, max_depth=9)
+    forests = [s for s in model.stages if hasattr(s, "trees")]
+    sizes = [f.getNumTrees for f in forests]
+    assert sum(sizes) == 25 and max(sizes) <= P.TREE_GROUP and min(sizes) > 1
+    assert not any(f.getCacheNodeIds() for f in forests)
+    assert len({t.toDebugString for f in forests for t in f.trees}) > 20
+    found = model.transform(table).limit(5).collect()
+    assert set(found[0].asDict()) == {"a", "b", "label", "features", "prediction"}
+    for r in found:
+        trees = [t.predict(r["features"]) for f in forests for t in f.trees]
+        assert r["prediction"] == pytest.approx(sum(trees) / 25)
