@@ -1,6 +1,7 @@
 """Multiset operations, NOT IN, JSON columns and the period table function on edge rows."""
 
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
@@ -111,3 +112,33 @@ def test_period_rows_carries_an_id_over_batches(spark):
         rows_of([1, 1, 2], [two] * 3), rows_of([2, 2], [two] * 2), rows_of([], []), rows_of([2, 3], [two] * 2))
         for t in f.eval(b)]
     assert got == [[2, 4, 2], [4, 6], [], [8, 2]]
+
+
+def test_period_rows_mark_the_first_row_of_an_id_in_a_month(spark):
+    import pyarrow as pa
+
+    from costmart.functions.periods import OpeningPeriodRows
+    rng, day, f = random.Random(3), dt.date(2024, 1, 1), OpeningPeriodRows()
+    ids = sorted(rng.choice([*range(12), 5, 5, 5]) for _ in range(90))
+    spans = [(i, n, day + dt.timedelta(a), day + dt.timedelta(a + rng.randrange(120)))
+             for n, i in enumerate(ids) for a in [rng.randrange(300)]]
+    schema = pa.schema({"id": pa.int64(), "line": pa.int32(), "first_day": pa.date32(), "last_day": pa.date32()})
+    got, cut = [], 0
+    while cut < len(spans):
+        part = spans[cut:cut + rng.randrange(8)]
+        cut += len(part)
+        batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in part], schema)
+        got += [r for t in f.eval(batch) for r in t.to_pylist()]
+    opening = [(r["id"], r["period"]) for r in got if r["opens"]]
+    assert Counter(opening) == Counter({(r["id"], r["period"]): 1 for r in got})
+    firsts = {}
+    for r in got:
+        firsts.setdefault((r["id"], r["period"]), r["line"])
+    assert {(r["id"], r["period"]): r["line"] for r in got if r["opens"]} == firsts
+
+
+def test_period_query_counts_orders_without_a_shuffle_of_ids(spark):
+    from costmart.plans.catalog import QUERIES
+    plan = QUERIES["period_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [period" in plan and "distinct" not in plan.lower()
+    assert "opens" in plan
