@@ -22,9 +22,16 @@ def drop_header_rows(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFram
 
 
 def typed(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:
-    """C2 + C3: time and amount parsed; bad values NULL."""
-    return df.withColumns({cols.time: parse_timestamp(F.col(cols.time)),
-                           cols.cost: parse_amount(F.col(cols.cost))})
+    """C2 + C3: time and amount parsed; bad values NULL.
+
+    Both come as a generated row: Spark copies no filter on them, nor what is
+    made of them, to below it, so each text is parsed once.
+    """
+    parsed = F.struct(parse_timestamp(F.col(cols.time)).alias(cols.time),
+                      parse_amount(F.col(cols.cost)).alias(cols.cost))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (cols.time, cols.cost)]
+    return (df.select(*rest, F.inline(F.array(parsed)))
+            .select(*(F.col(f"`{c}`") for c in df.columns)))
 
 
 def default_payer(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:

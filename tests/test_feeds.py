@@ -202,3 +202,11 @@ def test_split_files_raise_on_or_mark_broken_records(spark, tmp_path):
     marks = sorted((r.id_transaksi, r.malformed) for r in raw.collect())
     assert marks[0] == ("A", True) and ("B", False) in marks and len(marks) == 3
     assert sum(m for _, m in marks) == 2
+
+
+def test_clean_parses_each_text_once(spark, feeds):
+    rows = clean(read_feeds(spark, [feed_a(feeds[0]), feed_b(feeds[1])]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    times = [line for line in plan.splitlines() if "gettimestamp" in line]
+    assert [line.count("gettimestamp") for line in times] == [1]
+    assert not any("Filter" in line or "atleastnnonnulls" in line for line in times)
