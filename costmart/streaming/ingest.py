@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,7 +65,12 @@ def start_ingest(spark: SparkSession, specs: Sequence[FeedSpec], table_path: str
     cleaned = clean(unify(streams), cols)
 
     def write_batch(rows: DataFrame, batch: int) -> None:
-        write_table(rows, f"{table_path}/batch={batch}", cols)
+        # Kept, as the bounds of the ranges and the ranges both read the rows.
+        rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_table(rows, f"{table_path}/batch={batch}", cols)
+        finally:
+            rows.unpersist()
 
     writer = cleaned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(

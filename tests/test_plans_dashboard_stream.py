@@ -90,3 +90,22 @@ def test_table_replaces_only_delivered_months(spark, billing_small):
     assert back.where(F.col("bulan_tahun") == "1996-05").count() == 3
     assert back.where(F.col("bulan_tahun") != "1996-05").count() == (
         billing_small.where(F.col("bulan_tahun") != "1996-05").count())
+
+
+def test_stream_ingest_keeps_a_batch_for_both_reads(spark, billing_small, monkeypatch):
+    from costmart.streaming import ingest
+    base = shared_dir(spark, "test-stream-kept")
+    pa, pb = write_feeds(billing_small.limit(200), base)
+    kept, batches = [], []
+
+    def write(rows, path, cols):
+        batches.append(rows)
+        kept.append(rows.storageLevel.useMemory and rows.storageLevel.useDisk)
+        sinks.write_table(rows, path, cols)
+
+    monkeypatch.setattr(ingest, "write_table", write)
+    start_ingest(spark, [feed_a(pa), feed_b(pb)], f"{base}/table", f"{base}/_ckpt",
+                 header_columns={pb: list(FEED_B_RENAME)}).awaitTermination()
+    assert kept and all(kept)
+    assert not any(b.storageLevel.useMemory for b in batches)   # given up when written
+    assert sinks.read_table(spark, f"{base}/table").count() == 200
