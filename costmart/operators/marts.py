@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costmart.functions.textfmt import compact, count_text, month_label, rupiah, truncate
-from costmart.operators.aggregates import first_k_distinct, mode_or, order_value, top_k_values
+from costmart.operators.aggregates import first_k_distinct, order_value, top_k_values
 from costmart.schema import (
     DEFAULT_COLUMNS,
     FIRST_CLINICS,
@@ -35,6 +35,9 @@ from costmart.schema import (
 )
 from costmart.session import materialise
 
+#: A patient with more rows is not put into one task; rows that a task takes on average.
+HOT_PATIENT_ROWS, PATIENT_TASK_ROWS = 200_000, 500_000
+
 
 def money(c: Column) -> Column:
     return c.cast("double")
@@ -217,36 +220,94 @@ def patient_grain(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
                 F.min(order_value(order)).alias("_first")))
 
 
-def patient_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
-                    order_by: Sequence[str] | None = None) -> DataFrame:
-    """Per (patient name, patient id): total, mean, visit count, the first
-    3 distinct clinics and first 2 distinct doctors in row order, and the main
-    payer (mode, else 'Tidak Diketahui').
-
-    The rows are aggregated once to ``patient_grain``, which is written to the
-    shared folder when this function is called: one scan and one shuffle of
-    the rows. The totals, both first-k lists and the mode read that table.
-    The one mart that grows with the data (a row per patient); sorting by total
-    is left to the consumer (``export``).
-    """
-    keys = [cols.patient, cols.patient_id]
-    grain = materialise(patient_grain(df, cols, order_by), "patient-grain")
-    totals = grain.groupBy(*keys).agg(
+def _patient_totals(rows: DataFrame, keys: Sequence[str], cols: Columns) -> DataFrame:
+    """Per patient: total, mean, visits, main payer (NULL without one) and ``_rows``."""
+    payers = rows.groupBy(*keys, cols.payer).agg(
+        F.sum(cols.cost).alias("_sum"), F.count(cols.cost).alias("_cnt"),
+        F.count(F.lit(1)).alias("_rows"))
+    rank = F.when(F.col(cols.payer).isNotNull(), F.struct(-F.col("_rows"), F.col(cols.payer)))
+    return payers.groupBy(*keys).agg(
         money(F.sum("_sum")).alias("total_cost"),
         F.try_divide(F.sum("_sum").cast("double"), F.sum("_cnt")).alias("mean_cost"),
         F.sum("_cnt").alias("n_visits"),
-    )
+        F.min_by(cols.payer, rank).alias("main_payer"),
+        F.sum("_rows").alias("_rows"))
+
+
+def _first_lists(rows: DataFrame, keys: Sequence[str], cols: Columns, order: Sequence[str],
+                 tasks: int) -> DataFrame:
+    """First distinct clinics and doctors of patients whose rows fit one task: one shuffle of the
+    rows by patient, then every step works within its partition."""
+    needed = dict.fromkeys([*keys, cols.clinic, cols.doctor, *order])
+    together = rows.select(*needed)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spark merges small partitions where it chose their number.
+    together = together.repartition(tasks, *keys) if tasks > usual else together.repartition(*keys)
+    clinic, doctor = (F.struct(F.lit(p).alias("part"), F.lit(k).alias("k"), F.col(c).alias("value"))
+                      for p, k, c in (("c", FIRST_CLINICS, cols.clinic),
+                                      ("d", FIRST_DOCTORS, cols.doctor)))
+    seen = (together.select(*keys, order_value(order).alias("_order"),
+                            F.explode(F.array(clinic, doctor)).alias("_v"))
+            .select(*keys, "_order", "_v.part", "_v.k", "_v.value").where(F.col("value").isNotNull())
+            .groupBy(*keys, "part", "k", "value").agg(F.min("_order").alias("_first")))
+    w = Window.partitionBy(*keys, "part").orderBy("_first", "value")
+    ranked = seen.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("k"))
+    found = ranked.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("part", "rn", "value"))).alias("_found"))
+
+    def listed(part: str) -> Column:
+        return F.array_join(F.transform(F.filter("_found", lambda s: s["part"] == part),
+                                        lambda s: s["value"]), ", ")
+    return found.select(*keys, listed("c").alias("clinics"), listed("d").alias("doctors"))
+
+
+def _hot_lists(rows: DataFrame, keys: Sequence[str], cols: Columns,
+               order: Sequence[str]) -> DataFrame:
+    """The same for patients with very many rows: no step takes a patient's rows to one task."""
+    grain = materialise(patient_grain(rows, cols, order), "patient-grain")
     clinics = first_k_distinct(grain, keys, cols.clinic, FIRST_CLINICS, [], "clinics",
                                first_col="_first")
     doctors = first_k_distinct(grain, keys, cols.doctor, FIRST_DOCTORS, [], "doctors",
                                first_col="_first")
-    payer = mode_or(grain, keys, cols.payer, "main_payer", count_col="_rows")
-    return (totals.join(clinics, keys, "left").join(doctors, keys, "left")
-            .join(payer, keys, "left")
-            .select(*keys, "total_cost", "mean_cost", "n_visits",
-                    F.coalesce("clinics", F.lit("")).alias("clinics"),
-                    F.coalesce("doctors", F.lit("")).alias("doctors"),
-                    F.coalesce("main_payer", F.lit(UNKNOWN)).alias("main_payer")))
+    return clinics.join(doctors, keys, "full")
+
+
+def patient_summary(df: DataFrame, cols: Columns = DEFAULT_COLUMNS,
+                    order_by: Sequence[str] | None = None, hot_rows: int = HOT_PATIENT_ROWS,
+                    task_rows: int = PATIENT_TASK_ROWS) -> DataFrame:
+    """Per (patient name, patient id): total, mean, visit count, the first
+    3 distinct clinics and first 2 distinct doctors in row order, and the main
+    payer (mode, else 'Tidak Diketahui').
+
+    Runs when called. The needed columns of the rows are written to the shared
+    folder once and read twice: for the totals and payers, summed up in the
+    tasks before their shuffle, and for both first-k lists, with one shuffle by
+    patient into partitions of about ``task_rows`` rows. Patients with more than
+    ``hot_rows`` rows take ``patient_grain`` and first-k steps that are limited
+    before each shuffle. The result is a table of a row per patient, the one
+    mart that grows with the data; sorting by total is left to the consumer
+    (``export``), which reads that table.
+    """
+    keys = [cols.patient, cols.patient_id]
+    order = list(order_by or cols.row_order(df.columns))
+    needed = dict.fromkeys([*keys, cols.clinic, cols.doctor, cols.payer, cols.cost, *order])
+    rows = materialise(_nonnull(df, *keys).select(*needed), "patient-rows")
+    totals = materialise(_patient_totals(rows, keys, cols), "patient-totals")
+    n_rows, n_hot = totals.agg(F.sum("_rows"), F.count_if(F.col("_rows") > hot_rows)).first()
+    tasks = -(-(n_rows or 0) // task_rows)
+    if n_hot:
+        # At most n_rows / hot_rows patients, so small beside the rows.
+        hot = F.broadcast(totals.where(F.col("_rows") > hot_rows).select(*keys))
+        lists = (_first_lists(rows.join(hot, keys, "left_anti"), keys, cols, order, tasks)
+                 .unionByName(_hot_lists(rows.join(hot, keys, "left_semi"), keys, cols, order)))
+    else:
+        lists = _first_lists(rows, keys, cols, order, tasks)
+    return materialise(
+        totals.join(lists, keys, "left")
+        .select(*keys, "total_cost", "mean_cost", "n_visits",
+                F.coalesce("clinics", F.lit("")).alias("clinics"),
+                F.coalesce("doctors", F.lit("")).alias("doctors"),
+                F.coalesce("main_payer", F.lit(UNKNOWN)).alias("main_payer")), "patient-summary")
 
 
 def payer_grain(df: DataFrame, cols: Columns = DEFAULT_COLUMNS) -> DataFrame:

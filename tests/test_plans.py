@@ -77,6 +77,17 @@ def test_summaries_scan_and_shuffle_the_rows_once(spark):
         assert "lineitem.parquet" not in plan(summary(rows))
 
 
+def test_patient_lists_take_one_shuffle(spark, billing_small):
+    from costmart.sources.fixture import ORDER_KEY
+    path = shared_dir(spark, "test-rows")
+    billing_small.write.parquet(path)
+    lists = marts._first_lists(spark.read.parquet(path), ["nama_pasien", "id_pasien"],
+                               marts.DEFAULT_COLUMNS, ORDER_KEY, 1)
+    assert plan(lists).count("Exchange hashpartitioning") == 1
+    # A sort over the summary finds a table, so its sample does not run the steps again.
+    assert "Exchange" not in plan(marts.patient_summary(billing_small, order_by=ORDER_KEY))
+
+
 def test_options_read_the_fact_table_only(spark):
     import __spark_entry__ as entry
     for name in ("date_bounds", "month_options", "year_options", "calendar_features",

@@ -50,6 +50,15 @@ def test_patient_summary_hot_patient(skewed):
     assert got == _brute_patient(pdf)
 
 
+@pytest.mark.parametrize("limits", [{"hot_rows": 1000}, {"hot_rows": 0}, {"task_rows": 50}])
+def test_patient_summary_apart_and_together_agree(skewed, limits):
+    df, pdf = skewed
+    got = {(r.nama_pasien, r.id_pasien): (round(r.total_cost, 2), r.n_visits, r.clinics,
+                                          r.doctors, r.main_payer)
+           for r in marts.patient_summary(df, order_by=["seq"], **limits).collect()}
+    assert got == _brute_patient(pdf)
+
+
 def test_payer_summary_hot_payer(skewed):
     df, pdf = skewed
     got = {r.jenis_jaminan: r for r in marts.payer_summary(df).collect()}
