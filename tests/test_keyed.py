@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 from decimal import Decimal
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import types as T
 
 from costmart.session import shared_dir
@@ -92,6 +94,69 @@ def test_state_ends_and_holds_the_delay_only(spark):
     assert s.state("recent").count() == VISITS - 1
 
 
+class Value:
+    def __init__(self):
+        self.held = None
+
+    def get(self):
+        return self.held
+
+    def exists(self):
+        return self.held is not None
+
+    def update(self, new):
+        self.held = new
+
+    def clear(self):
+        self.held = None
+
+
+class Items(Value):
+    def get(self):
+        return iter(self.held or [])
+
+    def put(self, new):
+        self.held = list(new)
+
+    def appendList(self, new):
+        self.held = [*(self.held or []), *new]
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getListState(self, name, schema):
+        return Items()
+
+    def getValueState(self, name, schema):
+        return Value()
+
+
+def test_state_is_read_once_a_batch():
+    rng, handle, p = random.Random(5), Handle(), keyed._Accounts(3, 60_000_000, 200_000_000)
+    p.init(handle)
+    rows, mark, out, fired = [], 0, [], 0
+    reads = []
+    get = p.waiting.get
+    p.waiting.get = lambda: reads.append(mark) or get()
+    for step in range(12):
+        if step not in (7, 8, 9):                     # here the key is idle and its account ends
+            part = pd.DataFrame({"at": [(mark + rng.randrange(1, 200_000)) * 1000 for _ in range(9)],
+                                 "id": range(step * 9, step * 9 + 9), "amount": 1})
+            rows += part["at"].tolist()
+            p.handleInputRows(("x",), iter([part]), None)
+        mark += 100_000
+        for t in sorted(t for t in handle.timers if t < mark):
+            handle.timers.remove(t)
+            values = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+            out += list(p.handleExpiredTimer(("x",), values, None))
+            fired += 1
+    assert fired > len(reads) == len(set(reads))
+    assert [t for o in out for t in o["at"]] == sorted(t for t in rows if t < mark * 1000)
+
+
 def test_one_visit_alerts_and_empty_stream(spark):
     s = Stream(spark)
     assert told(s.arrive([])) == []
