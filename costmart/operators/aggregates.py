@@ -94,8 +94,7 @@ def mode_or(df: DataFrame, keys: Sequence[str], value: str, out: str,
     """A2: the most frequent non-null value (ties -> smallest).
 
     Keys whose values are all null get no row; callers left-join and
-    ``coalesce`` to their default (see ``marts.patient_summary``), or use
-    ``mode_or_default``.
+    ``coalesce`` to their default, or use ``mode_or_default``.
     """
     counts = _value_counts(df, keys, value, count_col)
     w = Window.partitionBy(*keys).orderBy(F.desc(_N), F.col(value))
