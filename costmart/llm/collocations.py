@@ -11,7 +11,10 @@ halves do.
    reach ``least`` set bits of a filter of fixed size.  A bit set by mistake, as
    by two rare ones with equal bits, costs a row, nothing else.  The last pass
    counts words and phrases exactly, by their spelling, where all in them pass
-   the filters; what does not reach ``least`` is dropped.
+   the filters; what does not reach ``least`` is dropped.  Nearly every task of
+   that pass meets nearly every common phrase and puts out a row of it, so its
+   tasks are as many as the cores ask for, not as the input has splits; a full
+   table puts out its rarer half and goes on counting the other.
 2. Streams.  The counts are kept in prefix order (range-partitioned and sorted
    by language and words) and in suffix order (by the words reversed).  A phrase
    then follows its beginnings, and precedes its extensions, so one pass in
@@ -34,6 +37,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -249,12 +253,19 @@ def _exact(batches: Iterator[pa.RecordBatch], filters: list[Filter],
     counts: dict[str, Counter] = {}
     size = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, into in counts.items():
-            phrases, n = pa.array(list(into), pa.binary()), pa.array(list(into.values()), pa.int64())
+    def put_out(all_: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of all phrases, or of the half counted least often so far; they leave the table."""
+        each = [np.fromiter(into.values(), np.int64, len(into)) for into in counts.values()]
+        most = None if all_ or not each else int(np.median(np.concatenate(each)))
+        for (lang, into), n in zip(counts.items(), each):
+            rare = n >= 0 if most is None else n <= most
+            gone = list(compress(into, rare))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(into), pa.string()), phrases.cast(pa.string()), n],
+                [pa.array([lang] * len(gone), pa.string()),
+                 pa.array(gone, pa.binary()).cast(pa.string()), pa.array(n[rare])],
                 ["lang", "phrase", "n"])
+            for phrase in gone:
+                del into[phrase]
 
     for lang, found in _by_language(batches):
         hashes = found.hashes(_seed(lang))
@@ -277,9 +288,9 @@ def _exact(batches: Iterator[pa.RecordBatch], filters: list[Filter],
                 into[texts[i]] += int(n[i])
         size += len(into)
         if size > PHRASES:
-            yield from flush()
-            counts, size = {}, 0
-    yield from flush()
+            yield from put_out(False)
+            size = sum(map(len, counts.values()))
+    yield from put_out(True)
 
 
 def _broadcast_filter(texts: DataFrame, filters: list, least: int, log2: int):
@@ -289,8 +300,22 @@ def _broadcast_filter(texts: DataFrame, filters: list, least: int, log2: int):
     return texts.sparkSession.sparkContext.broadcast(_filter(counted, least, log2))
 
 
+def partial_counts(texts: DataFrame, filters: list, longest: int,
+                   tasks: int | None = None) -> DataFrame:
+    """lang, phrase and n of ``_exact``: at most one row for each phrase and task, unless tables fill.
+
+    Splits are read together in ``tasks`` tasks at most (None: two for each core
+    of the session, ``spark.default.parallelism`` if that is set).
+    """
+    tasks = tasks or 2 * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(tasks).mapInArrow(
+        lambda batches: _exact(batches, [f.value for f in filters], longest),
+        "lang string, phrase string, n long")
+
+
 def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str = "text",
-                  lang_col: str = "lang", filter_bits: int = FILTER_BITS) -> DataFrame:
+                  lang_col: str = "lang", filter_bits: int = FILTER_BITS,
+                  tasks: int | None = None) -> DataFrame:
     """lang, words and n: all phrases of up to ``longest`` words that stand ``least`` times.
 
     The row without words holds the number of all words of its language.
@@ -301,8 +326,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str = "te
     filters: list = []
     for _ in range(min(longest, FILTERS)):
         filters.append(_broadcast_filter(texts, list(filters), least, filter_bits))
-    return (texts.mapInArrow(lambda batches: _exact(batches, [f.value for f in filters], longest),
-                             "lang string, phrase string, n long")
+    return (partial_counts(texts, filters, longest, tasks)
             .groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
             .where((F.col("n") >= least) | (F.col("phrase") == ""))
             .select("lang", F.when(F.col("phrase") == "", F.array().cast("array<string>"))
@@ -390,13 +414,14 @@ def _decimal(c: Column) -> Column:
 
 def score(docs: DataFrame, least: int = 30, longest: int = 4, keep_percent: int = 80,
           text_col: str = "text", lang_col: str = "lang", filter_bits: int = FILTER_BITS,
-          range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+          range_rows: int = RANGE_ROWS, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, a, l, r and score of all phrases that no longer one explains; and lang, n.
 
     The score is floor(2000000 * a / (l + r)) at the lowest-scoring cut, the
-    shortest first part at ties; products are decimals of 38 digits.
+    shortest first part at ties; products are decimals of 38 digits.  ``tasks``
+    bounds the tasks of the exact count (None: two for each core).
     """
-    counts = keep_table(phrase_counts(docs, least, longest, text_col, lang_col, filter_bits),
+    counts = keep_table(phrase_counts(docs, least, longest, text_col, lang_col, filter_bits, tasks),
                         "phrase-counts")
     phrases = counts.where(F.size("words") > 0)
     totals = counts.where(F.size("words") == 0).select("lang", "n")

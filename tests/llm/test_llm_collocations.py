@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import EDGES, LOWER, edges, frame
@@ -95,3 +97,47 @@ def test_empty_table_and_clashing_columns(spark):
     got = found(collocations.top(*collocations.score(edges(spark), least=2), 100))
     want = brute([(lang, t) for _, t, lang, *_ in EDGES], least=2, most=100)
     assert got == want
+
+
+def all_pass():
+    return collocations.Filter(np.full(4, ~np.uint64(0)), 8)
+
+
+def test_rows_of_the_exact_count_do_not_grow_with_the_splits(spark):
+    rows = [(i, "en", "the red fox, the red hen. a fox") for i in range(240)]
+    made = {}
+    for splits in (4, 12, 60):
+        docs = frame(spark, rows, SCHEMA).repartition(splits).select("lang", "text")
+        filters = [spark.sparkContext.broadcast(all_pass())]
+        parts = collocations.partial_counts(docs, filters, 4, tasks=4)
+        made[splits] = parts.count()
+        sums = {r["phrase"]: r["n"] for r in parts.groupBy("phrase").sum("n")
+                .withColumnRenamed("sum(n)", "n").collect()}
+        assert sums["the red"] == 480 and sums["a fox"] == 240 and sums[""] == 8 * 240
+    assert made[4] == made[12] == made[60] == 4 * 12
+    cores = spark.sparkContext.defaultParallelism
+    docs = frame(spark, rows, SCHEMA).repartition(2 * cores + 7).select("lang", "text")
+    plain = collocations.partial_counts(docs, [spark.sparkContext.broadcast(all_pass())], 4)
+    assert plain.count() == 2 * cores * 12
+
+
+def test_a_full_table_goes_on_counting_common_phrases(monkeypatch):
+    """The rarer half leaves a full table; sums stay exact, common phrases make one row."""
+    monkeypatch.setattr(collocations, "PHRASES", 150)
+    want, batches = Counter(), []
+    for i in range(50):
+        text = "on and on, on and on. " + "; ".join(f"w{i} v{i}x{j}" for j in range(10))
+        for lang in ("en", "fr"):
+            batches.append(pa.RecordBatch.from_pydict({"lang": [lang], "text": [text]}))
+            want.update({(lang, ""): 26, (lang, "on"): 4, (lang, "and"): 2, (lang, "on and"): 2,
+                         (lang, "and on"): 2, (lang, "on and on"): 2, (lang, f"w{i}"): 10})
+            for j in range(10):
+                want.update({(lang, f"v{i}x{j}"): 1, (lang, f"w{i} v{i}x{j}"): 1})
+    got, rows, most = Counter(), Counter(), 0
+    for b in collocations._exact(iter(batches), [all_pass()], 3):
+        most = max(most, b.num_rows)
+        for lang, phrase, n in zip(*(b.column(c).to_pylist() for c in ("lang", "phrase", "n"))):
+            got[lang, phrase] += n
+            rows[lang, phrase] += 1
+    assert got == want and most < 200
+    assert rows["en", "on and"] == rows["fr", "on and on"] == rows["en", ""] == 1
