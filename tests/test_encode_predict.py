@@ -148,3 +148,112 @@ def test_forest_grows_in_groups_of_trees(spark):
     for r in found:
         trees = [t.predict(r["features"]) for f in forests for t in f.trees]
         assert r["prediction"] == pytest.approx(sum(trees) / 25)
+
+
+def _forest_rows(spark, n, parts=3):
+    rows = [(float(i * 7 % 12), float(i * i % 31), float(i * 37 % 23 + i * 7 % 12)) for i in range(n)]
+    return spark.createDataFrame(rows, "a double, b double, label double").repartition(parts)
+
+
+def test_forest_reads_the_rows_once_a_level_for_all_trees(spark, monkeypatch):
+    """Passes follow the depth, not the number of trees, and a kept row holds nothing per tree."""
+    from costmart.operators import forest as R
+    from costmart.operators import predict as P
+    passes, sums = [], R.node_sums
+
+    def watched(blocks, grown, level, trees, seed):
+        passes.append((level, len(trees)))
+        kept = blocks.selectExpr("sum(n)", "sum(length(bins) + length(label))").first()
+        assert tuple(kept) == (400, 400 * (2 + 8))
+        return sums(blocks, grown, level, trees, seed)
+
+    monkeypatch.setattr(R, "node_sums", watched)
+    model = P.fit_forest(_forest_rows(spark, 400), ["a", "b"], num_trees=30, max_depth=4)
+    assert passes == [(level, 30) for level in range(5)]
+    assert [s.getNumTrees for s in model.stages if hasattr(s, "trees")] == [30]
+
+
+def test_forest_passes_are_cut_by_memory_only(spark, monkeypatch):
+    from costmart.operators import forest as R
+    rows = _forest_rows(spark, 400)
+    whole = R.grow(rows, ["a", "b"], 6, 5, 16, 7, 100)
+    monkeypatch.setattr(R, "PASS_BYTES", 3000)
+    cut = R.grow(rows, ["a", "b"], 6, 5, 16, 7, 4)
+    same = [(x == y).all() for s, t in zip(whole.nodes, cut.nodes) for x, y in zip(s, t)]
+    assert all(same) and len(same) == 36
+
+
+def test_forest_trees_match_brute_force(spark):
+    """Each tree against a plain recursion over the same bootstrap, and Spark's own scoring."""
+    import numpy as np
+    from costmart.operators import forest as R
+    from costmart.operators import predict as P
+    rows, depth, seed = _forest_rows(spark, 300).cache(), 8, 11
+    rows.count()
+    model = P.fit_forest(rows, ["a", "b"], num_trees=3, max_depth=depth, max_bins=16, seed=seed)
+    cuts = R.find_cuts(rows, ["a", "b"], 16)
+    assert len(cuts[0]) == 11 and 10 <= len(cuts[1]) <= 15      # twelve values; quantiles of 16
+    blocks = R.write_blocks(rows, ["a", "b"], cuts, 0.0).orderBy("part").collect()
+
+    def value(x, y, w, at, left):
+        mean = (w * y).sum() / w.sum()
+        best = (1e-9, None)
+        for f in range(2) if left else ():
+            for c in cuts[f]:
+                go = x[f] <= c
+                if w[go].sum() and w[~go].sum():
+                    gain = sum((w[s] * y[s]).sum() ** 2 / w[s].sum() for s in (go, ~go)) \
+                        - (w * y).sum() ** 2 / w.sum()
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (f, c, go))
+        if best[1] is None:
+            return mean
+        f, c, go = best[1]
+        side = go if at[f] <= c else ~go
+        return value(x[:, side], y[side], w[side], at, left - 1)
+
+    given = rows.collect()
+    for t, tree in enumerate(model.stages[-1].trees):
+        w = np.concatenate([R.bootstrap(b.n, seed, t, b.part, b.seq) for b in blocks]).astype(float)
+        bins = np.concatenate([np.frombuffer(b.bins, np.uint8).reshape(2, -1) for b in blocks], 1)
+        y = np.concatenate([np.frombuffer(b.label) for b in blocks])
+        x = np.stack([np.append(c, 1e9)[k] for c, k in zip(cuts, bins)])   # a value of each bin
+        for r in given[:25]:
+            from pyspark.ml.linalg import Vectors
+            assert tree.predict(Vectors.dense(r.a, r.b)) == pytest.approx(
+                value(x, y, w, (r.a, r.b), depth))
+    ours = model.transform(rows).select("a", "b", "prediction").collect()
+    spark_own = model.stages[-1].transform(model.stages[0].transform(rows))
+    theirs = spark_own.select("a", "b", "prediction").collect()
+    assert sorted(map(tuple, ours)) == [pytest.approx(tuple(r)) for r in sorted(map(tuple, theirs))]
+
+
+def test_forest_bootstrap_is_poisson():
+    import numpy as np
+    from costmart.operators import forest as R
+    counts = R.bootstrap(400_000, 5, 1, 2, 3)
+    assert (counts == R.bootstrap(400_000, 5, 1, 2, 3)).all()
+    assert (counts != R.bootstrap(400_000, 5, 2, 2, 3)).any()
+    share = np.bincount(counts, minlength=6)[:6] / len(counts)
+    assert share == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613, 0.0153, 0.0031], abs=0.003)
+    assert counts.mean() == pytest.approx(1, abs=0.01) and counts.max() > 6
+
+
+def test_forest_of_odd_rows(spark):
+    """One label, one row, values not seen or missing when scored; nulls in training are refused."""
+    from costmart.operators import predict as P
+    kind = "a double, b double, label double"
+    for rows in ([(1.0, 2.0, 5.0)], [(float(i), 0.0, 0.1) for i in range(50)]):
+        model = P.fit_forest(spark.createDataFrame(rows, kind), ["a", "b"], 5, 3)
+        odd = spark.createDataFrame([(None, 2.0, 0.0), (float("nan"), -1e9, 0.0), (1e9, 1.0, 0.0)], kind)
+        got = [r.prediction for r in model.transform(odd).collect()]
+        assert got == [pytest.approx(rows[0][2])] * 3
+    model = P.fit_forest(spark.createDataFrame([(float(i), 0.0, float(i > 20)) for i in range(50)], kind),
+                         ["a", "b"], 5, 3)
+    odd = spark.createDataFrame([(None, 2.0, 0.0), (-1.0, None, 0.0)], kind)
+    got = [r.prediction for r in model.transform(odd).collect()]
+    own = model.stages[-1].transform(model.stages[0].transform(odd))
+    assert got == [pytest.approx(r.prediction) for r in own.collect()] and got[0] > 0.9 > 0.1 > got[1]
+    for bad in ([(1.0, 2.0, None)], [(None, 2.0, 1.0)], [(float("nan"), 2.0, 1.0)]):
+        with pytest.raises(Exception, match="MUST NOT be"):
+            P.fit_forest(spark.createDataFrame(bad + [(0.0, 0.0, 0.0)], kind), ["a", "b"], 3, 2)
