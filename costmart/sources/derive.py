@@ -4,16 +4,20 @@ Feed A (comma, no header, twelve positional columns) takes the open lines
 (``flag = 'O'``) and has no payer; feed B (semicolon, header, source names)
 takes the finished lines. Amounts are written with thousands separators and
 times as 'dd/MM/yyyy HH:mm', as the feeds carry them. Both are plain parallel
-CSV writes of the ``billing`` view.
+CSV writes of the ``billing`` view, compressed (a file is one task's work for the
+readers in any case).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from costmart.schema import FEED_A_COLUMNS, FEED_B_RENAME
+from costmart.session import free_shuffles
+
+#: Compression of the feed files.
+CODEC = "gzip"
 
 
 def _as_feed_text(billing: DataFrame) -> DataFrame:
@@ -45,7 +49,7 @@ def feed_b_frame(text: DataFrame) -> DataFrame:
 def _exact(writer: DataFrameWriter) -> DataFrameWriter:
     """Keep blanks at the ends of a value (Spark's writer trims them by default)."""
     return (writer.option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False))
+            .option("ignoreTrailingWhiteSpace", False).option("compression", CODEC))
 
 
 def write_feeds(billing: DataFrame, base: str, extra_a: DataFrame | None = None,
@@ -53,16 +57,16 @@ def write_feeds(billing: DataFrame, base: str, extra_a: DataFrame | None = None,
     """Write feed A (plus optional extra text rows, e.g. a header line read as
     data) and feed B (unless left out) below ``base``; return both paths."""
     path_a, path_b = f"{base}/feed_a", f"{base}/feed_b"
-    # Both layouts come from one pass over the view (kept until both are written).
-    text = _as_feed_text(billing).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _exact(feed_a_frame(text).write.mode("overwrite")).option("sep", ",").csv(path_a)
-        if extra_a is not None:
-            (_exact(extra_a.select(*FEED_A_COLUMNS).write.mode("append")).option("sep", ",")
-             .csv(path_a))
-        if feed_b:
-            (_exact(feed_b_frame(text).write.mode("overwrite")).option("sep", ";")
-             .option("header", True).csv(path_b))
-    finally:
-        text.unpersist()
+    # Each layout is a pass of its own: its flag is looked at in the scan of the lines, so a
+    # line is joined and shuffled in one of them only, and no copy of the rows is kept.
+    text = _as_feed_text(billing)
+    _exact(feed_a_frame(text).write.mode("overwrite")).option("sep", ",").csv(path_a)
+    if extra_a is not None:
+        (_exact(extra_a.select(*FEED_A_COLUMNS).write.mode("append")).option("sep", ",")
+         .csv(path_a))
+    free_shuffles(billing.sparkSession)
+    if feed_b:
+        (_exact(feed_b_frame(text).write.mode("overwrite")).option("sep", ";")
+         .option("header", True).csv(path_b))
+        free_shuffles(billing.sparkSession)
     return path_a, path_b

@@ -1,4 +1,7 @@
 """Dashboard plan, display tables and the streaming ingest."""
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from costmart.operators import marts
@@ -109,3 +112,54 @@ def test_stream_ingest_keeps_a_batch_for_both_reads(spark, billing_small, monkey
     assert kept and all(kept)
     assert not any(b.storageLevel.useMemory for b in batches)   # given up when written
     assert sinks.read_table(spark, f"{base}/table").count() == 200
+
+
+def test_stream_ingest_takes_bounded_batches(spark, billing_small, monkeypatch):
+    """What a batch keeps and shuffles is bounded in bytes; the batches hold all rows once."""
+    from costmart.streaming import ingest
+    base = shared_dir(spark, "test-stream-bytes")
+    pa, pb = write_feeds(billing_small.limit(600).repartition(3), base)
+    monkeypatch.setattr(ingest, "BATCH_BYTES", 1)
+    rows = []
+    monkeypatch.setattr(ingest, "write_table", lambda df, path, cols: (
+        rows.append(df.count()), sinks.write_table(df, path, cols)))
+    start_ingest(spark, [feed_a(pa), feed_b(pb)], f"{base}/table", f"{base}/_ckpt",
+                 header_columns={pb: list(FEED_B_RENAME)}).awaitTermination()
+    assert len(rows) == 3 and sum(rows) == 600 and max(rows) < 600      # a file of each feed
+    back = sinks.read_table(spark, f"{base}/table").select("id_transaksi")
+    assert sorted(map(tuple, back.collect())) == sorted(
+        map(tuple, clean(read_feeds(spark, [feed_a(pa), feed_b(pb)])).select("id_transaksi").collect()))
+
+
+def test_feeds_keep_no_copy_of_the_rows(spark, monkeypatch, tmp_path):
+    """Each feed's lines are picked in the scan, below the joins; nothing is cached."""
+    from conftest import SF_SMALL
+    from costmart.sources import derive
+    from costmart.sources.fixture import billing
+    view = billing(spark, SF_SMALL)
+    monkeypatch.setattr(type(view), "persist", lambda *_: pytest.fail("rows are kept"))
+    pa, pb = write_feeds(view, f"{tmp_path}/feeds")
+    for frame, flag in ((derive.feed_a_frame, "O"), (derive.feed_b_frame, "F")):
+        plan = frame(derive._as_feed_text(view))._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"l_linestatus#\d+ = {flag}\b", plan)
+    assert spark.read.text([pa]).count() == view.where("flag = 'O'").count()
+    files = [f for p in (pa, pb) for f in spark.read.text(p).inputFiles()]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_shuffle_files_are_freed(spark):
+    import time
+    from costmart.session import free_shuffles
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    free_shuffles(spark)
+    time.sleep(2)
+    before = disk.getAllFiles().size()
+    df = spark.range(0, 1000, 1, 9).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(df.collect()) == 7 and disk.getAllFiles().size() > before
+    del df
+    for _ in range(20):
+        free_shuffles(spark)
+        time.sleep(0.5)
+        if disk.getAllFiles().size() <= before:
+            break
+    assert disk.getAllFiles().size() <= before
