@@ -1,5 +1,6 @@
 """Dashboard plan, display tables and the streaming ingest."""
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,7 +137,8 @@ def test_feeds_keep_no_copy_of_the_rows(spark, monkeypatch, tmp_path):
     from conftest import SF_SMALL
     from costmart.sources import derive
     from costmart.sources.fixture import billing
-    view = billing(spark, SF_SMALL)
+    # Tables of its own: the view of the shared ones may be cached by other tests.
+    view = billing(spark, shutil.copytree(SF_SMALL, f"{tmp_path}/tables"))
     monkeypatch.setattr(type(view), "persist", lambda *_: pytest.fail("rows are kept"))
     pa, pb = write_feeds(view, f"{tmp_path}/feeds")
     for frame, flag in ((derive.feed_a_frame, "O"), (derive.feed_b_frame, "F")):
